@@ -8,8 +8,8 @@ is too much to hold or to move, so, as in blockwise construction with a differen
    suffixes that agree on `min_len - v + 1` bytes. Sample suffixes are dealt to suffix buckets by their name (a
    fingerprint of those bytes), each bucket is sorted on its own, and names that occur once are dropped.
 2. *Long ties.* Each tied sample suffix gets the rank of a longer string, of `min_len + v - 1` bytes, that starts v - 1
-   bytes before it. Where all suffixes that tie share one such string, every suffix that starts in those v positions is
-   repeated, in each of its places alike, and needs no sorting itself.
+   bytes before it. If that string occurs again, every suffix starting in those v positions is repeated without being
+   sorted; where the ties of a sample differ in it, one chunk speaks for all copies of the longer string.
 3. *Suffix buckets.* Only suffixes next to a tie that the long ranks left open are sorted, bucket by bucket. A 64-bit
    fingerprint of the `min_len` bytes names a suffix; its bucket comes from a second, independent fingerprint, so that
    names that agree by chance must do so in both.
@@ -46,9 +46,10 @@ COVERS = {
 
 KEYS = "bucket long, chunk long, tag int, once binary, more binary"
 FOUND = "chunk long, tag int, names binary"
-#: Tags: repeated names of the cover sample; those of them whose long strings all agree; repeated names of suffixes.
-SAMPLE, SETTLED, SUFFIX = 1, 2, 3
-NO_LONG = np.uint64(0)
+#: Tags: repeated names of the cover sample; repeated long strings that other chunks, or none, need to hear of; repeated
+#: long strings whose suffixes this chunk has to sort for all; repeated names of suffixes.
+SAMPLE, SILENT, SPEAKS, SUFFIX = 1, 2, 3, 4
+NO_LONG, LOW = np.uint64(0), np.uint64(2**48 - 1)
 
 
 class Cover:
@@ -89,35 +90,47 @@ def _among(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return kept[np.minimum(np.searchsorted(kept, names), len(kept) - 1)] == names
 
 
+def _packed(tag: int, names: np.ndarray) -> bytes:
+    """Names of the sample only rule suffixes out, so six bytes of them will do."""
+    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if tag == SAMPLE else names.tobytes()
+
+
+def _unpacked(tag: int, packed: bytes) -> np.ndarray:
+    if tag != SAMPLE:
+        return np.frombuffer(packed, np.uint64)
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _dealt(chunk: int, tag: int, names: np.ndarray, by: np.ndarray, buckets: int, more: np.ndarray | None = None) -> dict[str, list]:
-    """One row for each bucket. Without `more`: the chunk's distinct names in it, those met once apart from those met
-    more often. With it (one value a name): the distinct pairs."""
+def _dealt(chunk: int, tag: int, names: np.ndarray, by: np.ndarray, buckets: int, long: np.ndarray | None = None) -> dict[str, list]:
+    """One row for each bucket. Without `long`: the chunk's distinct names in it, those met once apart from those met
+    more often. With it: the distinct pairs; the last bit of the long name tells whether the pair was met more often."""
     out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "tag", "once", "more")}
     if not len(names):
         return out
     bucket = _bucket(by, buckets)
-    order = np.lexsort((names, bucket) if more is None else (more, names, bucket))
+    order = np.lexsort((names, bucket) if long is None else (long, names, bucket))
     names, bucket = names[order], bucket[order]
     new = np.ones(len(names), bool)
     new[1:] = (names[1:] != names[:-1]) | (bucket[1:] != bucket[:-1])
-    if more is not None:
-        more = more[order]
-        new[1:] |= more[1:] != more[:-1]
+    if long is not None:
+        long = long[order]
+        new[1:] |= long[1:] != long[:-1]
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(names))) > 1
     names, bucket = names[first], bucket[first]
+    if long is not None:
+        long = long[first] | many
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(edges)):
         part = slice(edges[b], edges[b + 1])
-        if more is None:
-            pair = names[part][~many[part]], names[part][many[part]]
-        else:
-            pair = names[part], more[first][part]
-        for k, x in zip(out, (int(b), chunk, tag, pair[0].tobytes(), pair[1].tobytes()), strict=True):
+        pair = (names[part][~many[part]], names[part][many[part]]) if long is None else (names[part], long[part])
+        for k, x in zip(out, (int(b), chunk, tag, _packed(tag, pair[0]), _packed(tag, pair[1])), strict=True):
             out[k].append(x)
     return out
 
@@ -127,41 +140,51 @@ def _table(rows: dict[str, list]) -> pa.Table:
     return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
 
+def _owned(chunks: list[int], tag: int, names: np.ndarray, owner: np.ndarray) -> dict[str, list]:
+    back = np.argsort(owner, kind="stable")
+    names, owner = names[back], owner[back]
+    edges = np.searchsorted(owner, np.arange(len(chunks) + 1))
+    mine = np.flatnonzero(np.diff(edges))
+    return {"chunk": [chunks[i] for i in mine], "tag": [tag] * len(mine), "names": [_packed(tag, names[edges[i] : edges[i + 1]]) for i in mine]}
+
+
 def _sort_bucket(rows: pa.Table) -> pa.Table:
-    """Sorts one bucket and tells each chunk which of its names are repeated in the corpus or, of pairs with long names,
-    which names always have the same long one. Names on their way to a later step pass in buckets below 0."""
+    """Sorts one bucket and tells each chunk which of its names are repeated in the corpus. Names on their way to a
+    later step pass in buckets below 0."""
     bucket, chunks, tags = (rows[k].to_pylist() for k in ("bucket", "chunk", "tag"))
-    once, more = ([np.frombuffer(x, np.uint64) for x in rows[k].to_pylist()] for k in ("once", "more"))
+    once, more = rows["once"].to_pylist(), rows["more"].to_pylist()
     if not bucket or bucket[0] < 0:
-        return _table({"chunk": chunks, "tag": tags, "names": [x.tobytes() for x in once]})
+        return _table({"chunk": chunks, "tag": tags, "names": once})
     tag = tags[0]
-    parts = once if tag == SETTLED else once + more
+    parts = [_unpacked(tag, x) for x in (once if tag == SILENT else once + more)]
     names, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    order = np.argsort(names, kind="stable")
-    names, owner = names[order], owner[order]
-    same = names[1:] == names[:-1]
-    if tag == SETTLED:
-        long = np.concatenate(more)[order]
-        bad = long == NO_LONG
-        bad[1:] |= same & (long[1:] != long[:-1])
-        group = np.concatenate(([0], np.cumsum(~same)))
-        kept = np.bincount(group, bad)[group] == 0
-    else:
+    if tag != SILENT:
+        order = np.argsort(names, kind="stable")
+        names, owner = names[order], owner[order]
+        same = names[1:] == names[:-1]
         kept = owner >= len(once)
         kept[1:] |= same
         kept[:-1] |= same
-    names, owner = names[kept], owner[kept] % len(once)
-    back = np.argsort(owner, kind="stable")
-    names, owner = names[back], owner[back]
-    edges = np.searchsorted(owner, np.arange(len(once) + 1))
-    mine = [i for i in range(len(chunks)) if edges[i] < edges[i + 1]]
-    return _table({"chunk": [chunks[i] for i in mine], "tag": [tag] * len(mine), "names": [names[edges[i] : edges[i + 1]].tobytes() for i in mine]})
+        return _table(_owned(chunks, tag, names[kept], owner[kept] % len(once)))
+    flagged = np.concatenate([_unpacked(tag, x) for x in more])
+    twice, long = (flagged & np.uint64(1)).astype(bool), flagged & ~np.uint64(1)
+    order = np.lexsort((owner, long, names))
+    names, owner, long, twice = names[order], owner[order], long[order], twice[order]
+    new_name = np.concatenate(([True], names[1:] != names[:-1]))
+    new_pair = new_name | np.concatenate(([True], long[1:] != long[:-1]))
+    pair = np.cumsum(new_pair) - 1
+    repeated = (np.bincount(pair, 1 + twice)[pair] > 1) & (long != NO_LONG)
+    alone = np.bincount(np.cumsum(new_name) - 1, new_pair)[np.cumsum(new_name) - 1] == 1
+    speaks = repeated & new_pair & ~alone
+    quiet = repeated & ~speaks
+    a, b = (_owned(chunks, t, long[x], owner[x]) for t, x in ((SILENT, quiet), (SPEAKS, speaks)))
+    return _table({k: a[k] + b[k] for k in a})
 
 
 def _known(found: pa.Table) -> dict[int, np.ndarray]:
     """What is known of a chunk's names, by tag, sorted."""
     tags, names = found["tag"].to_pylist(), found["names"].to_pylist()
-    return {tag: np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x, t in zip(names, tags, strict=True) if t == tag] or [np.zeros(0, np.uint64)])) for tag in (SAMPLE, SETTLED, SUFFIX)}
+    return {tag: np.unique(np.concatenate([_unpacked(t, x) for x, t in zip(names, tags, strict=True) if t == tag] or [np.zeros(0, np.uint64)])) for tag in (SAMPLE, SILENT, SPEAKS, SUFFIX)}
 
 
 def _tied(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,17 +192,15 @@ def _tied(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarr
     prefix = c.one.prefix(data)
     at = c.samples(len(data))
     names = c.one.at(prefix, at, length=c.short)
-    tied = _among(names, known[SAMPLE])
+    tied = _among(names & LOW, known[SAMPLE])
     return prefix, at[tied], names[tied]
 
 
-def _long(c: Cover, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Names of the long strings around sampled positions; NO_LONG where they don't fit."""
+def _long(c: Cover, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Names of the long strings around sampled positions, even numbers; NO_LONG where they don't fit."""
     out = np.full(len(at), NO_LONG)
-    fits = (at >= c.v - 1) & (at + c.min_len <= len(data))
-    if fits.any():
-        start = at[fits] - (c.v - 1)
-        out[fits] = np.maximum(c.two.at(c.two.prefix(data), start, length=c.long), np.uint64(1))
+    fits = (at >= c.v - 1) & (at + c.min_len < len(prefix))
+    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & ~np.uint64(1), np.uint64(2))
     return out
 
 
@@ -189,10 +210,12 @@ def _open(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarr
     prefix, at, names = _tied(c, data, known)
     if not len(at):
         return np.zeros(n, bool), at, names, names
-    settled = _among(names, known[SETTLED])
-    left = np.flatnonzero(c.marks(at[~settled], c.v - 1, 0, n))
-    second = c.two.at(c.two.prefix(data), left, length=c.min_len) if len(left) else np.zeros(0, np.uint64)
-    return c.marks(at[settled], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len), second
+    second = c.two.prefix(data)
+    long = _long(c, second, at)
+    silent = _among(long, known[SILENT])
+    speaks = _among(long, known[SPEAKS])
+    left = np.flatnonzero(c.marks(at[~silent | speaks], c.v - 1, 0, n))
+    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len), c.two.at(second, left, length=c.min_len)
 
 
 def _emit_samples(min_len: int, buckets: int):
@@ -222,19 +245,20 @@ def _emit_next(min_len: int, buckets: int, tag: int):
             data = texts[i]
             if len(data) < min_len:
                 continue
-            if tag == SETTLED:
+            if tag == SILENT:
                 _, at, name = _tied(c, data, known)
-                names.append(name)
-                seconds.append(_long(c, data, at))
+                if len(at):
+                    names.append(name)
+                    seconds.append(_long(c, c.two.prefix(data), at))
             else:
                 _, _, name, second = _open(c, data, known)
                 names.append(name)
                 seconds.append(second)
         chunk, names, seconds = docs["chunk"][0].as_py(), np.concatenate(names), np.concatenate(seconds)
-        rows = _dealt(chunk, tag, names, names, buckets, seconds) if tag == SETTLED else _dealt(chunk, tag, names, seconds, buckets)
+        rows = _dealt(chunk, tag, names, names, buckets, seconds) if tag == SILENT else _dealt(chunk, tag, names, seconds, buckets)
         for t, x in known.items():
             if len(x):
-                for k, y in zip(rows, (-1 - chunk, chunk, t, x.tobytes(), b""), strict=True):
+                for k, y in zip(rows, (-1 - chunk, chunk, t, _packed(t, x), b""), strict=True):
                     rows[k].append(y)
         return _table(rows)
 
@@ -279,7 +303,7 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(parts, "chunk")
     by_chunk = lambda df: df.groupBy("chunk")
     found = by_chunk(chunked).applyInArrow(_emit_samples(min_len, buckets), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
-    for tag in (SETTLED, SUFFIX):
+    for tag in (SILENT, SUFFIX):
         found = by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_emit_next(min_len, buckets, tag), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
     id_type = source.schema["id"].dataType.simpleString()
     return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_cut(min_len), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary")
