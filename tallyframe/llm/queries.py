@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import table
+from tallyframe.llm.orc_tokens import tokens_through_orc
 from tallyframe.llm.suffix_dedup import remove_repeats
+from tallyframe.llm.token_counts import count_tokens
+
+
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +32,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096).withColumnRenamed("id", "doc_id")
+
+
+def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_through_orc(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_orc_tokens": op4_orc_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {}
