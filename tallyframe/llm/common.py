@@ -98,7 +98,7 @@ class PieceCache(dict):
             for s in self.young:
                 del self[s]
             self.young = []
-        new = list(set(strings).difference(self.keys()))
+        new = [s for s in set(strings) if s not in self]
         if not new:
             return
         if len(self) + len(new) > self.cap:
@@ -106,4 +106,15 @@ class PieceCache(dict):
         self.update(zip(new, self.fill(new), strict=True))
 
 
-ODD_SPACE = re.compile(r"\s{3}|  |\s\s$|<\|")
+_RARE_SPACE = re.compile(r"[^\S \n]")
+
+
+def odd_space(text: str) -> bool:
+    """Whether a text has runs of white space that a tokenizer may treat as one, or strings like special tokens."""
+    return (
+        "  " in text
+        or "<|" in text
+        or any(run in text for run in ("\n\n\n", "\n\n ", " \n\n", "\n \n", " \n "))
+        or text[-2:].isspace()
+        or _RARE_SPACE.search(text) is not None
+    )

@@ -47,9 +47,10 @@ COVERS = {
 KEYS = "bucket long, chunk long, tag int, once binary, more binary"
 FOUND = "chunk long, tag int, names binary"
 #: Tags: repeated names of the cover sample; repeated long strings that other chunks, or none, need to hear of; repeated
-#: long strings whose suffixes this chunk has to sort for all; repeated names of suffixes.
-SAMPLE, SILENT, SPEAKS, SUFFIX = 1, 2, 3, 4
-NO_LONG, LOW = np.uint64(0), np.uint64(2**48 - 1)
+#: long strings whose suffixes this chunk has to sort for all; repeated names of suffixes; names that a chunk tells others
+#: and needs no answer for, as it knows them to be repeated.
+SAMPLE, SILENT, SPEAKS, SUFFIX, TOLD = 1, 2, 3, 4, 5
+NO_LONG, LOW, LOW7 = np.uint64(0), np.uint64(2**48 - 1), np.uint64(2**56 - 1)
 
 
 class Cover:
@@ -91,15 +92,16 @@ def _among(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 
 def _packed(tag: int, names: np.ndarray) -> bytes:
-    """Names of the sample only rule suffixes out, so six bytes of them will do."""
-    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if tag == SAMPLE else names.tobytes()
+    """Names of the sample only rule suffixes out, so six bytes of them will do; of others, seven beside the bucket's
+    number, which comes from independent bits."""
+    width = 6 if tag == SAMPLE else 7
+    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(tag: int, packed: bytes) -> np.ndarray:
-    if tag != SAMPLE:
-        return np.frombuffer(packed, np.uint64)
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    width = 6 if tag == SAMPLE else 7
+    wide = np.zeros((len(packed) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
     return wide.view(np.uint64).ravel()
 
 
@@ -130,7 +132,8 @@ def _dealt(chunk: int, tag: int, names: np.ndarray, by: np.ndarray, buckets: int
     for b in np.flatnonzero(np.diff(edges)):
         part = slice(edges[b], edges[b + 1])
         pair = (names[part][~many[part]], names[part][many[part]]) if long is None else (names[part], long[part])
-        for k, x in zip(out, (int(b), chunk, tag, _packed(tag, pair[0]), _packed(tag, pair[1])), strict=True):
+        kind = SAMPLE if long is not None else tag
+        for k, x in zip(out, (int(b), chunk, tag, _packed(kind, pair[0]), _packed(tag, pair[1])), strict=True):
             out[k].append(x)
     return out
 
@@ -155,8 +158,8 @@ def _sort_bucket(rows: pa.Table) -> pa.Table:
     once, more = rows["once"].to_pylist(), rows["more"].to_pylist()
     if not bucket or bucket[0] < 0:
         return _table({"chunk": chunks, "tag": tags, "names": once})
-    tag = tags[0]
-    parts = [_unpacked(tag, x) for x in (once if tag == SILENT else once + more)]
+    tag = tags[0] if tags[0] != TOLD else SUFFIX
+    parts = [_unpacked(SAMPLE, x) for x in once] if tag == SILENT else [_unpacked(tag, x) for x in once + more]
     names, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     if tag != SILENT:
         order = np.argsort(names, kind="stable")
@@ -165,6 +168,7 @@ def _sort_bucket(rows: pa.Table) -> pa.Table:
         kept = owner >= len(once)
         kept[1:] |= same
         kept[:-1] |= same
+        kept &= np.array(tags)[owner % len(once)] != TOLD
         return _table(_owned(chunks, tag, names[kept], owner[kept] % len(once)))
     flagged = np.concatenate([_unpacked(tag, x) for x in more])
     twice, long = (flagged & np.uint64(1)).astype(bool), flagged & ~np.uint64(1)
@@ -193,14 +197,14 @@ def _tied(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarr
     at = c.samples(len(data))
     names = c.one.at(prefix, at, length=c.short)
     tied = _among(names & LOW, known[SAMPLE])
-    return prefix, at[tied], names[tied]
+    return prefix, at[tied], names[tied] & LOW
 
 
 def _long(c: Cover, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Names of the long strings around sampled positions, even numbers; NO_LONG where they don't fit."""
     out = np.full(len(at), NO_LONG)
     fits = (at >= c.v - 1) & (at + c.min_len < len(prefix))
-    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & ~np.uint64(1), np.uint64(2))
+    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & LOW7 & ~np.uint64(1), np.uint64(2))
     return out
 
 
@@ -215,7 +219,7 @@ def _open(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarr
     silent = _among(long, known[SILENT])
     speaks = _among(long, known[SPEAKS])
     left = np.flatnonzero(c.marks(at[~silent | speaks], c.v - 1, 0, n))
-    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len), c.two.at(second, left, length=c.min_len)
+    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len) & LOW7, c.two.at(second, left, length=c.min_len)
 
 
 def _emit_samples(min_len: int, buckets: int):
@@ -240,7 +244,7 @@ def _emit_next(min_len: int, buckets: int, tag: int):
         if not docs.num_rows or not found.num_rows:
             return _table(_dealt(0, tag, none, none, buckets))
         c, texts, known = _cover(min_len), Flat(docs["bytes"]), _known(found)
-        names, seconds = [none], [none]
+        names, seconds, told = [none], [none], [np.zeros(0, bool)]
         for i in range(len(texts)):
             data = texts[i]
             if len(data) < min_len:
@@ -251,11 +255,17 @@ def _emit_next(min_len: int, buckets: int, tag: int):
                     names.append(name)
                     seconds.append(_long(c, c.two.prefix(data), at))
             else:
-                _, _, name, second = _open(c, data, known)
+                sure, left, name, second = _open(c, data, known)
                 names.append(name)
                 seconds.append(second)
+                told.append(sure[left])
         chunk, names, seconds = docs["chunk"][0].as_py(), np.concatenate(names), np.concatenate(seconds)
-        rows = _dealt(chunk, tag, names, names, buckets, seconds) if tag == SILENT else _dealt(chunk, tag, names, seconds, buckets)
+        if tag == SILENT:
+            rows = _dealt(chunk, tag, names, names << np.uint64(16), buckets, seconds)
+        else:
+            told = np.concatenate(told)
+            a, b = (_dealt(chunk, t, names[x], seconds[x], buckets) for t, x in ((SUFFIX, ~told), (TOLD, told)))
+            rows = {k: a[k] + b[k] for k in a}
         for t, x in known.items():
             if len(x):
                 for k, y in zip(rows, (-1 - chunk, chunk, t, _packed(t, x), b""), strict=True):
@@ -298,7 +308,7 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    buckets, chunks = 4 * parts, 4 * parts
+    buckets, chunks = parts, 2 * parts
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(parts, "chunk")
     by_chunk = lambda df: df.groupBy("chunk")

@@ -22,8 +22,13 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import Flat, PieceCache, text_bytes
 
 SPACE = "▁"
-#: Texts that need no normalizing and whose white space is single spaces and line ends between words.
-UNPROVED = re.compile("  | \n|\n |^\\s|\\s\\Z|[^\n\x20-\x7e¡¿-ÿŒœ–—‘’“”]")
+#: Characters that the normalizer may change, or white space other than spaces and line ends.
+UNSAFE = re.compile("[^\n\x20-\x7e¡¿-ÿŒœ–—‘’“”]")
+
+
+def unproved(text: str) -> bool:
+    """Whether a text has anything but safe characters and words between single spaces and line ends."""
+    return "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or UNSAFE.search(text) is not None
 
 
 def prove(processor) -> dict[str, int]:
@@ -33,7 +38,7 @@ def prove(processor) -> dict[str, int]:
     pieces = [processor.id_to_piece(i) for i in range(size) if not (processor.is_control(i) or processor.is_byte(i) or processor.is_unknown(i))]
     if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
         raise ValueError("a vocabulary string spans words or lines")
-    words = [p[1:] for p in pieces if p.startswith(SPACE) and p[1:] and SPACE not in p[1:] and not UNPROVED.search(p[1:])]
+    words = [p[1:] for p in pieces if p.startswith(SPACE) and p[1:] and SPACE not in p[1:] and not unproved(p[1:])]
     return {w: 1 for w, ids in zip(words, processor.encode(words, num_threads=1), strict=True) if len(ids) == 1 and processor.id_to_piece(ids[0]) == SPACE + w}
 
 
@@ -66,7 +71,7 @@ class Counter:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if UNPROVED.search(t) or not self.lines_split:
+            if unproved(t) or not self.lines_split:
                 direct.append(i)
             else:
                 first, *lines = t.split("\n")
