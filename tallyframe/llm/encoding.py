@@ -47,6 +47,8 @@ def ranked(tok):
 
 
 class Encoder:
+    SIGNS = (".", ",", ";", ":", "!", "?")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -59,13 +61,27 @@ class Encoder:
         if not self.drops and self._raw(["a b\nc"])[0] != b"".join(self._raw(["a", " b", "\n", "c"])):
             raise ValueError("this tokenizer joins words over spaces or line ends")
         self.after_space = PieceCache(lambda words: self._raw([" " + w for w in words]), 500_000)
-        self.first = PieceCache(self._raw, 500_000 if self.drops else 100_000)
+        self.first = PieceCache(self._stems if self.drops else self._raw, 500_000 if self.drops else 100_000)
         self.newline = self._raw(["\n"])[0]
+        #: Lower case first, where that is what the file does anyway.
+        self.lowers = self.drops and self._raw(["ABÀ"]) == self._raw(["abà"])
+        self.stems_split = self.drops and self._raw(["ab."])[0] == b"".join(self._raw(["ab", "."]))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, words: list[str]) -> list[bytes]:
+        """Words, and words with one sign after them: a letter run and the sign are separate to the file."""
+        if not self.stems_split:
+            return self._raw(words)
+        parted = [(w[:-1], w[-1]) if w[-1:] in self.SIGNS and w[:-1].isalpha() else (w, "") for w in words]
+        known = self.first
+        new = [w for w in {*(stem for stem, _ in parted), *self.SIGNS} if w not in known]
+        values = dict(zip(new, self._raw(new), strict=True))
+        of = lambda w: values[w] if w in values else known[w]
+        return [of(stem) + of(sign) if sign else of(stem) for stem, sign in parted]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
         direct, split = [], []
@@ -90,6 +106,8 @@ class Encoder:
             if odd_space(t):
                 direct.append(i)
             elif self.drops:
+                if self.lowers and "İ" not in t and not UNSURE.search(t):
+                    t = t.lower()
                 split.append((i, t.replace("\n", " ").split(" ")))
             else:
                 split.append((i, [line.split(" ") for line in t.split("\n")]))

@@ -9,9 +9,12 @@ each partner. A set that does not (a few very small ones) also signs its empty p
 
 Work on candidates:
 * Equal sets (copies, also with other case or spacing) share one class from the start; classes, not rows, are joined.
+* A class that fills f partitions and may differ in k elements shares f - k signatures, at least, with each set it links
+  with. Classes that share fewer, with all others together, leave; what they leave behind is counted once more.
 * A class is first compared with the partner it shares most signatures with, among the first classes of its groups.
-* Only groups that still hold several components are looked at again: pairs across components, unless the distances
-  to a common partner prove them apart (1 - likeness is a metric). Every candidate pair is decided by counting.
+* Only groups that still hold several components are looked at again: pairs across components that share enough
+  signatures, unless the distances to a common partner prove them apart (1 - likeness is a metric). Every pair that is
+  left is decided by counting both sets' common shingles.
 
 Signatures travel as blocks of binary names per bucket, with each block listing a class once; a bucket is sorted by one
 task. The number of buckets follows spark.sql.shuffle.partitions.
@@ -125,7 +128,7 @@ class Bands:
     @functools.cache  # noqa: B019  one instance lives as long as its process
     def partitions(self, band: int) -> int:
         end = self.end(band)
-        return self.differ(end, end) + 2 + math.ceil(end / 25)
+        return self.differ(end, end) + 2 + math.ceil(4 * end / 25)
 
     @functools.cache  # noqa: B019
     def most(self, size: int, band: int) -> int:
@@ -138,10 +141,10 @@ def _bands(numerator: int, denominator: int) -> Bands:
     return Bands(numerator, denominator)
 
 
-def signatures(of: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit signature) of every set, for its own band and the next."""
+def signatures(of: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
+    """(row, 64-bit signature, band, how many signatures a partner must share) for the own band and the next."""
     own = bands.of(sizes)
-    rows, names = [], []
+    rows, names, levels, needs = [], [], [], []
     for step in (0, 1):
         band = own + step
         kinds, inverse = np.unique(band, return_inverse=True)
@@ -155,49 +158,46 @@ def signatures(of: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: B
         sums = _sums(place[order], spread[order] * np.uint64(0xD6E8FEB86659FD93), int(base[-1]))
         filled = np.bincount(place, minlength=int(base[-1])) > 0
         owner = np.repeat(np.arange(len(sizes)), n1)
-        few = np.bincount(owner, filled, minlength=len(sizes)) <= most
+        full = np.bincount(owner, filled, minlength=len(sizes)).astype(np.int64)
+        few = full <= most
         keep = (filled | few[owner]) & (sizes[owner] > 0) & (most[owner] > 0)
         part = (np.arange(int(base[-1])) - base[owner]).astype(np.uint64)
         rows.append(owner[keep])
         names.append(mix(sums + part * np.uint64(0xA24BAED4963EE407) + salt[owner])[keep])
-    return np.concatenate(rows), np.concatenate(names)
+        levels.append(band[owner[keep]])
+        needs.append(np.maximum(full - most, 1)[owner[keep]])
+    return tuple(map(np.concatenate, (rows, names, levels, needs)))
+
+
+DEALT = "bucket long, {id}, sid long, sid2 long, size long, band long, names binary, members binary, sids binary, needs binary"
+SORTED = "{id}, sid long, sid2 long, size long, gid long, band long, n long, need long"
 
 
 def _emit(words: int, bands_of: tuple[int, int], buckets: int):
-    """Rows of two kinds: documents (bucket null) and blocks of signatures for one bucket."""
+    """A row for each document, in buckets below 0, and blocks of signatures for the other buckets."""
+    binary = ("names", "members", "sids", "needs")
 
     def run(batches):
         bands = _bands(*bands_of)
         for batch in batches:
             texts, ids = Flat(batch.column("bytes")), batch.column("id")
-            for lo, hi in texts.runs(2 << 20):
+            for lo, hi in texts.runs(4 << 20):
                 of, shingles = shingle_sets(texts, lo, hi, words)
                 n = hi - lo
                 sizes = np.bincount(of, minlength=n)
                 sid, sid2 = (mix(_sums(of, mix(shingles ^ np.uint64(k)), n) + sizes.astype(np.uint64)) for k in (5, 6))
-                live = sizes > 0
+                none = pa.nulls(n, pa.binary())
                 yield pa.record_batch(
                     {
+                        "bucket": pa.array(-1 - (mix(np.arange(n, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64)),
                         "id": ids.slice(lo, n),
-                        "sid": pa.array(sid.view(np.int64), mask=~live),
-                        "sid2": pa.array(sid2.view(np.int64), mask=~live),
+                        "sid": pa.array(sid.view(np.int64), mask=sizes == 0),
+                        "sid2": pa.array(sid2.view(np.int64), mask=sizes == 0),
                         "size": pa.array(sizes.astype(np.int64)),
-                        "bucket": pa.nulls(n, pa.int64()),
-                        "names": pa.nulls(n, pa.binary()),
-                        "members": pa.nulls(n, pa.binary()),
-                        "sids": pa.nulls(n, pa.binary()),
+                        "band": pa.nulls(n, pa.int64()),
                     }
+                    | dict.fromkeys(binary, none)
                 )
-
-    def blocks(batches):
-        bands = _bands(*bands_of)
-        for batch in batches:
-            texts = Flat(batch.column("bytes"))
-            for lo, hi in texts.runs(4 << 20):
-                of, shingles = shingle_sets(texts, lo, hi, words)
-                n = hi - lo
-                sizes = np.bincount(of, minlength=n)
-                sid = mix(_sums(of, mix(shingles ^ np.uint64(5)), n) + sizes.astype(np.uint64))
                 # a block lists equal sets once
                 _, first = np.unique(sid, return_index=True)
                 first = np.sort(first[sizes[first] > 0])
@@ -206,64 +206,79 @@ def _emit(words: int, bands_of: tuple[int, int], buckets: int):
                 place = np.full(n, -1)
                 place[first] = np.arange(len(first))
                 keep = place[of] >= 0
-                owner, name = signatures(place[of[keep]], shingles[keep], sizes[first], bands)
-                bucket = ((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.lexsort((owner, bucket))
-                owner, name, bucket = owner[order], name[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                out: dict[str, list] = {"bucket": [], "names": [], "members": [], "sids": []}
-                for b in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[b], edges[b + 1])
-                    who, member = np.unique(owner[part], return_inverse=True)
-                    out["bucket"].append(int(b))
-                    out["names"].append(np.ascontiguousarray(name[part]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                owner, name, band, need = signatures(place[of[keep]], shingles[keep], sizes[first], bands)
+                bucket = (((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((owner, band, bucket))
+                owner, name, band, need, bucket = (x[order] for x in (owner, name, band, need, bucket))
+                edges = np.append(np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (band[1:] != band[:-1])))), len(bucket))
+                out: dict[str, list] = {k: [] for k in ("bucket", "band", *binary)}
+                for a, b in zip(edges[:-1], edges[1:], strict=True) if len(bucket) else ():
+                    who, at, member = np.unique(owner[a:b], return_index=True, return_inverse=True)
+                    out["bucket"].append(int(bucket[a]))
+                    out["band"].append(int(band[a]))
+                    out["names"].append(np.ascontiguousarray(name[a:b]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                     out["members"].append(member.astype(np.uint16 if len(who) < 65536 else np.uint32).tobytes())
                     out["sids"].append(sid[first][who].tobytes())
-                yield pa.record_batch({k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in out.items()})
+                    out["needs"].append(need[a:b][at].astype(np.uint32).tobytes())
+                n = len(out["bucket"])
+                empty = {"id": pa.nulls(n, ids.type)} | {k: pa.nulls(n, pa.int64()) for k in ("sid", "sid2", "size")}
+                full = {k: pa.array(v, pa.binary() if k in binary else pa.int64()) for k, v in out.items()}
+                yield pa.record_batch({k: (full | empty)[k] for k in ("bucket", "id", "sid", "sid2", "size", "band", *binary)})
 
-    return run, blocks
+    return run
 
 
 def _groups(rows: pa.Table) -> pa.Table:
-    """The classes that share a signature, of one bucket; groups with the same members come once."""
-    names, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for packed, members, listed in zip(*(rows[k].to_pylist() for k in ("names", "members", "sids")), strict=True):
+    """The classes that share a signature, of one bucket; groups with the same members come once, with their number.
+    Documents pass."""
+    ids = rows["id"].type
+
+    def table(rows_out: int, **columns) -> pa.Table:
+        whole = {k: columns.get(k, pa.nulls(rows_out, ids if k == "id" else pa.int64())) for k in ("id", "sid", "sid2", "size", "gid", "band", "n", "need")}
+        return pa.table(whole)
+
+    if rows["bucket"][0].as_py() < 0:
+        return table(rows.num_rows, **{k: rows[k] for k in ("id", "sid", "sid2", "size")})
+    names, sids, bands, needs = [], [], [], []
+    for packed, members, listed, least, band in zip(*(rows[k].to_pylist() for k in ("names", "members", "sids", "needs", "band")), strict=True):
         wide = np.zeros((len(packed) // 5, 8), np.uint8)
         wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
         member = np.frombuffer(members, np.uint16 if len(members) == 2 * len(wide) else np.uint32)
         names.append(wide.view(np.uint64).ravel())
         sids.append(np.frombuffer(listed, np.uint64)[member])
-    names, sids = np.concatenate(names), np.concatenate(sids)
-    order = np.lexsort((sids, names))
-    names, sids = names[order], sids[order]
-    if len(names):
-        new = np.ones(len(names), bool)
-        new[1:] = (names[1:] != names[:-1]) | (sids[1:] != sids[:-1])
-        names, sids = names[new], sids[new]
-        same = names[1:] == names[:-1]
-        shared = np.zeros(len(names), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        names, sids = names[shared], sids[shared]
+        needs.append(np.frombuffer(least, np.uint32)[member])
+        bands.append(np.full(len(wide), band))
+    names, sids, bands, needs = map(np.concatenate, (names, sids, bands, needs))
+    order = np.lexsort((sids, names, bands))
+    names, sids, bands, needs = (x[order] for x in (names, sids, bands, needs))
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (sids[1:] != sids[:-1]) | (bands[1:] != bands[:-1])
+    names, sids, bands, needs = (x[new] for x in (names, sids, bands, needs))
+    same = (names[1:] == names[:-1]) & (bands[1:] == bands[:-1])
+    shared = np.zeros(len(names), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    names, sids, bands, needs = (x[shared] for x in (names, sids, bands, needs))
     if not len(names):
-        return pa.table({k: pa.array([], pa.int64()) for k in ("gid", "n", "hub", "member")})
-    group = np.concatenate(([0], np.cumsum(names[1:] != names[:-1])))
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    gid = mix(np.add.reduceat(mix(sids), first))
-    kinds, index, count = np.unique(gid, return_index=True, return_counts=True)
+        return table(0)
+    first = np.concatenate(([True], (names[1:] != names[:-1]) | (bands[1:] != bands[:-1])))
+    group, first = np.cumsum(first) - 1, np.flatnonzero(first)
+    gid = mix(np.add.reduceat(mix(sids), first) + bands[first].astype(np.uint64))
+    _, index, count = np.unique(gid, return_index=True, return_counts=True)
     take = np.zeros(len(first), np.int64)
     take[index] = count
-    size = np.diff(np.append(first, len(sids)))
     keep = take[group] > 0
     at = group[keep]
-    return pa.table(
-        {
-            "gid": pa.array(gid[at].view(np.int64)),
-            "n": pa.array(take[at]),
-            "hub": pa.array(np.repeat(sids[first], size)[keep].view(np.int64)),
-            "member": pa.array(sids[keep].view(np.int64)),
-        }
-    )
+    columns = {"sid": sids[keep].view(np.int64), "gid": gid[at].view(np.int64), "band": bands[keep], "n": take[at], "need": needs[keep].astype(np.int64)}
+    return table(int(keep.sum()), **{k: pa.array(v) for k, v in columns.items()})
+
+
+def _enough(groups: DataFrame) -> DataFrame:
+    """Without the classes that share too few signatures, and the groups left with one class."""
+    kept = groups.groupBy("sid", "band").agg(F.sum("n").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("sid", "band")
+    left = groups.join(kept, ["sid", "band"], "left_semi")
+    alive = left.groupBy("gid").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("gid")
+    return left.join(alive, "gid", "left_semi")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -278,7 +293,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch({"node": batch.column("node").slice(lo, hi - lo), "shingles": pa.ListArray.from_arrays(pa.array(edge), pa.array(shingles.view(np.int64)))})
 
     kind = docs.schema["node"].dataType.simpleString()
-    return docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, f"node {kind}, shingles array<long>").dropDuplicates(["node"])
+    return docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, f"node {kind}, shingles array<long>")
 
 
 def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,32 +309,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     kind = source.schema["id"].dataType.simpleString()
-    per_doc, blocks = _emit(words, (numerator, denominator), shuffle_partitions(spark))
-    rows = materialize(source.mapInArrow(per_doc, f"id {kind}, sid long, sid2 long, size long, bucket long, names binary, members binary, sids binary").select("id", "sid", "sid2", "size"), "sets")
+    id_of = f"id {kind}"
+    dealt = source.mapInArrow(_emit(words, (numerator, denominator), shuffle_partitions(spark)), DEALT.format(id=id_of))
+    both = materialize(dealt.groupBy("bucket").applyInArrow(_groups, SORTED.format(id=id_of)), "signatures")
+    rows = both.filter("gid is null").select("id", "sid", "sid2", "size")
     classes = materialize(rows.filter("sid is not null").groupBy("sid", "sid2", "size").agg(F.min("id").alias("node")), "classes")
-    groups = materialize(source.mapInArrow(blocks, "bucket long, names binary, members binary, sids binary").groupBy("bucket").applyInArrow(_groups, "gid long, n long, hub long, member long"), "groups")
+    found = both.filter("gid is not null").groupBy("gid", "band", "sid").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    groups = materialize(_enough(_enough(found)).join(classes.select("sid", "node", "size"), "sid"), "groups")
 
     # first comparison: each class with the partner it shares most signatures with
     t = f"{denominator} * both >= {numerator} * (n_a + n_b - both)"
-    best = groups.filter("hub <> member").groupBy("member", "hub").agg(F.sum("n").alias("n")).groupBy("member").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-    node = classes.select("sid", "node", "size")
-    as_nodes = lambda pairs, a, b: pairs.join(node.select(F.col("sid").alias(a), F.col("node").alias("a"), F.col("size").alias("size_a")), a).join(node.select(F.col("sid").alias(b), F.col("node").alias("b"), F.col("size").alias("size_b")), b)
+    hubs = groups.groupBy("gid").agg(F.min("node").alias("hub"))
     fits = f"least(size_a, size_b) * {denominator} >= greatest(size_a, size_b) * {numerator}"
-    members = groups.select("gid", "member").distinct()
-    wanted = members.select("member").distinct().join(node.withColumnRenamed("sid", "member"), "member").select("node")
-    sets = materialize(_sets_of(source.withColumnRenamed("id", "node"), wanted, words), "shingles")
-    first = materialize(_decided(as_nodes(best, "hub", "member").select("a", "b"), sets), "first")
+    best = groups.join(hubs, "gid").filter("hub <> node").groupBy("node", "hub").agg(F.sum("n").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    sets = materialize(_sets_of(source.withColumnRenamed("id", "node"), groups.select("node").distinct(), words), "shingles")
+    first = materialize(_decided(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "first")
     links = first.filter(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
     root = components(links)
 
     # groups that hold several components still
-    placed = members.join(node.withColumnRenamed("sid", "member"), "member").join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = groups.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
     away = first.select(F.col("b").alias("node"), F.col("a").alias("via"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
-    left = materialize(placed.join(open_groups, "gid", "left_semi").join(away, "node", "left").select("gid", "node", "root", "size", "via", "far"), "open")
-    x, y = (left.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "size", "via", "far"))) for s in "ab")
+    left = materialize(placed.join(open_groups, "gid", "left_semi").join(away, "node", "left").select("gid", "band", "n", "need", "node", "root", "size", "via", "far"), "open")
+    x, y = (left.select("gid", "band", "n", *(F.col(c).alias(f"{c}_{s}") for c in ("need", "node", "root", "size", "via", "far"))) for s in "ab")
     apart = (F.col("via_a") == F.col("via_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - numerator / denominator + 1e-9)
-    pairs = x.join(y, "gid").filter("root_a < root_b").filter(fits).filter(~F.coalesce(apart, F.lit(False))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    across = x.join(y.drop("band", "n"), "gid").filter("root_a < root_b").filter(fits).filter(~F.coalesce(apart, F.lit(False)))
+    pairs = across.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "band").agg(F.sum("n").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).filter("n >= need").select("a", "b").distinct()
     done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = materialize(_decided(pairs.join(done, ["a", "b"], "left_anti"), sets), "second")
     more = second.filter(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
