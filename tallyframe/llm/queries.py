@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import table
 from tallyframe.llm.decontamination import contamination
+from tallyframe.llm.fingerprints import fingerprints
 from tallyframe.llm.jaccard_join import near_duplicates
+from tallyframe.llm.language_id import identify
+from tallyframe.llm.lm_scoring import pseudo_likelihood
 from tallyframe.llm.orc_tokens import tokens_through_orc
 from tallyframe.llm.packing import pack
+from tallyframe.llm.quality import score_quality
 from tallyframe.llm.suffix_dedup import remove_repeats
 from tallyframe.llm.token_counts import count_tokens
 
@@ -35,6 +39,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096).withColumnRenamed("id", "doc_id")
 
@@ -55,20 +63,36 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3).withColumnRenamed("id", "doc_id")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 5, 3, 4).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048, 1).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
 
