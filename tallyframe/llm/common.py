@@ -109,6 +109,13 @@ class PieceCache(dict):
 _RARE_SPACE = re.compile(r"[^\S \n]")
 
 
+def rare_space(text: str) -> bool:
+    """Whether a text has white space other than spaces and line ends."""
+    if text.isascii():
+        return any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return _RARE_SPACE.search(text) is not None
+
+
 def odd_space(text: str) -> bool:
     """Whether a text has runs of white space that a tokenizer may treat as one, or strings like special tokens."""
     return (
@@ -116,5 +123,5 @@ def odd_space(text: str) -> bool:
         or "<|" in text
         or any(run in text for run in ("\n\n\n", "\n\n ", " \n\n", "\n \n", " \n "))
         or text[-2:].isspace()
-        or _RARE_SPACE.search(text) is not None
+        or rare_space(text)
     )

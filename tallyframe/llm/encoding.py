@@ -61,7 +61,7 @@ class Encoder:
         if not self.drops and self._raw(["a b\nc"])[0] != b"".join(self._raw(["a", " b", "\n", "c"])):
             raise ValueError("this tokenizer joins words over spaces or line ends")
         self.after_space = PieceCache(lambda words: self._raw([" " + w for w in words]), 500_000)
-        self.first = PieceCache(self._stems if self.drops else self._raw, 500_000 if self.drops else 100_000)
+        self.first = PieceCache(self._stems if self.drops else self._raw, 600_000 if self.drops else 100_000)
         self.newline = self._raw(["\n"])[0]
         #: Lower case first, where that is what the file does anyway.
         self.lowers = self.drops and self._raw(["ABÀ"]) == self._raw(["abà"])
@@ -106,7 +106,7 @@ class Encoder:
             if odd_space(t):
                 direct.append(i)
             elif self.drops:
-                if self.lowers and "İ" not in t and not UNSURE.search(t):
+                if self.lowers and (t.isascii() or "İ" not in t and not UNSURE.search(t)):
                     t = t.lower()
                 split.append((i, t.replace("\n", " ").split(" ")))
             else:

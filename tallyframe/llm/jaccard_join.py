@@ -12,9 +12,10 @@ Work on candidates:
 * A class that fills f partitions and may differ in k elements shares f - k signatures, at least, with each set it links
   with. Classes that share fewer, with all others together, leave; what they leave behind is counted once more.
 * A class is first compared with the partner it shares most signatures with, among the first classes of its groups.
-* Only groups that still hold several components are looked at again: pairs across components that share enough
-  signatures, unless the distances to a common partner prove them apart (1 - likeness is a metric). Every pair that is
-  left is decided by counting both sets' common shingles.
+* Only groups that still hold several components are looked at again, class against component: a class is compared with
+  the component's root, and the members are compared with it too. As 1 - likeness is a metric, a member can link with the
+  class only if it lies as far from the root as the class does, less 1 - t. Only such pairs, if they share enough
+  signatures, are decided by counting common shingles as well.
 
 Signatures travel as blocks of binary names per bucket, with each block listing a class once; a bucket is sorted by one
 task. The number of buckets follows spark.sql.shuffle.partitions.
@@ -181,7 +182,7 @@ def _emit(words: int, bands_of: tuple[int, int], buckets: int):
         bands = _bands(*bands_of)
         for batch in batches:
             texts, ids = Flat(batch.column("bytes")), batch.column("id")
-            for lo, hi in texts.runs(4 << 20):
+            for lo, hi in texts.runs(2 << 20):
                 of, shingles = shingle_sets(texts, lo, hi, words)
                 n = hi - lo
                 sizes = np.bincount(of, minlength=n)
@@ -327,17 +328,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     links = first.filter(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
     root = components(links)
 
-    # groups that hold several components still
+    # groups that hold several components still: classes against the roots of foreign components
     placed = groups.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
-    away = first.select(F.col("b").alias("node"), F.col("a").alias("via"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
-    left = materialize(placed.join(open_groups, "gid", "left_semi").join(away, "node", "left").select("gid", "band", "n", "need", "node", "root", "size", "via", "far"), "open")
-    x, y = (left.select("gid", "band", "n", *(F.col(c).alias(f"{c}_{s}") for c in ("need", "node", "root", "size", "via", "far"))) for s in "ab")
-    apart = (F.col("via_a") == F.col("via_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - numerator / denominator + 1e-9)
-    across = x.join(y.drop("band", "n"), "gid").filter("root_a < root_b").filter(fits).filter(~F.coalesce(apart, F.lit(False)))
-    pairs = across.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "band").agg(F.sum("n").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).filter("n >= need").select("a", "b").distinct()
-    done = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = materialize(_decided(pairs.join(done, ["a", "b"], "left_anti"), sets), "second")
+    left = materialize(placed.join(open_groups, "gid", "left_semi").select("gid", "band", "n", "need", "node", "root", "size"), "open")
+    roots = left.groupBy("gid", F.col("root").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    near = f"size * {denominator} >= low * {numerator} AND high * {denominator} >= size * {numerator}"
+    met = left.join(roots, "gid").filter("root <> other").filter(near).groupBy("node", "root", "other", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    foreign = met.filter("n >= need").select("node", "root", "other").distinct()
+    inner = left.filter("node <> root").select("node", "root").distinct()
+    ask = foreign.select(F.col("other").alias("a"), F.col("node").alias("b")).unionByName(inner.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct()
+    asked = materialize(_decided(ask, sets).withColumn("far", 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))), "asked")
+    slack = 1 - numerator / denominator + 1e-9
+    away = asked.select(F.col("b").alias("node"), F.col("a").alias("other"), "far")
+    unsettled = foreign.join(away, ["node", "other"]).filter(F.col("far") > slack)
+    depth = left.select("node", "root").distinct().join(away.withColumnRenamed("other", "root"), ["node", "root"], "left").select(F.col("node").alias("y"), F.col("root").alias("other"), F.coalesce("far", F.when(F.col("node") == F.col("root"), 0.0).otherwise(1.0)).alias("deep"))
+    # most components are too shallow: their deepest member rules them out
+    deepest = depth.groupBy("other").agg(F.max("deep").alias("deepest"))
+    possible = unsettled.join(deepest, "other").filter(F.col("deepest") >= F.col("far") - slack).select("node", "other", "far")
+    x = left.join(possible, "node").select("gid", "band", "n", "other", "far", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("need").alias("need_a"))
+    y = left.join(depth.withColumnRenamed("y", "node"), "node").filter("node <> root").filter("root = other").select("gid", "other", "deep", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("need").alias("need_b"))
+    across = x.join(y, ["gid", "other"]).filter(F.col("deep") >= F.col("far") - slack).filter(fits)
+    pairs = across.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "band").agg(F.sum("n").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).filter("n >= need").select("a", "b").distinct()
+    done = first.select("a", "b").unionByName(asked.select("a", "b"))
+    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    second = materialize(_decided(pairs.join(done, ["a", "b"], "left_anti"), sets).unionByName(asked.select("a", "b", "n_a", "n_b", "both")), "second")
     more = second.filter(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
     all_links = links.unionByName(more)
     if more.limit(1).count():

@@ -71,7 +71,7 @@ def cut(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_col: st
         encode, end = encoder(tokenizer_path).encode, np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             texts = Flat(batch.column("bytes"))
-            for lo, hi in texts.runs(1 << 20):
+            for lo, hi in texts.runs(3 << 20):
                 ids = [x + end for x in encode([texts[i].tobytes().decode("utf-8", "replace") for i in range(lo, hi)])]
                 rows, starts, parts, totals = [], [], [], []
                 for i, x in enumerate(ids):

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,15 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
     docs = []
     for t in texts:
         found, counts = np.unique([words.setdefault(w, len(words)) for w in t.split()], return_counts=True)
-        docs.append((found.astype(np.int64), counts.astype(np.float32)))
-    ids = [np.array(features(w), np.int64) for w in words]
-    n_ids = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        docs.append((found.astype(np.int32), counts.astype(np.float32)))
+    grams = array("i")
+    n_ids = np.zeros(len(words), np.int64)
+    for i, w in enumerate(words):
+        own = features(w)
+        n_ids[i] = len(own)
+        grams.extend(own)
+    words.clear()
+    flat = np.frombuffer(grams, np.int32) if grams else np.zeros(0, np.int32)
     begin = np.concatenate(([0], np.cumsum(n_ids)))
     y = np.array(labels)
     some = [i for i, (found, _) in enumerate(docs) if len(found)]
@@ -114,7 +120,7 @@ class Scorer:
         return [float(1 / (1 + np.exp(-(self.bias + (x.real / x.imag if x else 0.0))))) for x in totals]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Returns id, held_out, score (chance of label 1), predicted."""
     adds, bias = fit(docs, labels, sample, id_col, text_col, label_col)
     model = docs.sparkSession.sparkContext.broadcast((adds, bias))  # a number for each hash bucket

@@ -27,7 +27,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if n > len(self.powers):
-            n = max(n, 2 * len(self.powers), 1 << 14)
+            n = max(n, min(2 * len(self.powers), 1 << 20), 1 << 14)
             for name, step in (("powers", self.base), ("inverses", self.inverse)):
                 steps = np.full(n, step, np.uint64)
                 steps[0] = 1

@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    buckets, chunks = parts, 2 * parts
+    buckets, chunks = max(1, 2 * parts // 3), 2 * parts
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(parts, "chunk")
     by_chunk = lambda df: df.groupBy("chunk")
