@@ -12,10 +12,11 @@ Work on candidates:
 * A class that fills f partitions and may differ in k elements shares f - k signatures, at least, with each set it links
   with. Classes that share fewer, with all others together, leave; what they leave behind is counted once more.
 * A class is first compared with the partner it shares most signatures with, among the first classes of its groups.
-* Only groups that still hold several components are looked at again, class against component: a class is compared with
-  the component's root, and the members are compared with it too. As 1 - likeness is a metric, a member can link with the
-  class only if it lies as far from the root as the class does, less 1 - t. Only such pairs, if they share enough
-  signatures, are decided by counting common shingles as well.
+* Only groups that still hold several components are looked at again, and of these, in one order with small groups first,
+  only those by which a class can first meet a partner that shares as many signatures as it must (a prefix filter on both
+  sides). There a class meets components: it is compared with the component's root, and the members are compared with it
+  too. As 1 - likeness is a metric, a member can link with the class only if it lies as far from the root as the class
+  does, less 1 - t. Only such pairs are decided by counting common shingles as well.
 
 Signatures travel as blocks of binary names per bucket, with each block listing a class once; a bucket is sorted by one
 task. The number of buckets follows spark.sql.shuffle.partitions.
@@ -33,7 +34,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Flat, materialize, shuffle_partitions, text_bytes
@@ -282,6 +283,21 @@ def _enough(groups: DataFrame) -> DataFrame:
     return left.join(alive, "gid", "left_semi")
 
 
+def _rarest(groups: DataFrame, bands: Bands) -> DataFrame:
+    """The rows by which a class can first meet a partner, and whether they are of its own band.
+
+    A partner shares `need` of the `total` signatures that the class has in a band, so in one order of all groups, small
+    ones first, the first shared group lies among the class's first total - need + 1: for both sides, as both use one order.
+    """
+    bands.of(np.array([2**31]))
+    ends = F.array(*(F.lit(x) for x in bands.hi))
+    own = F.size(F.filter(ends, lambda x: x < F.col("size"))) == F.col("band")
+    held = groups.groupBy("gid").agg(F.count("*").alias("held"))
+    of = Window.partitionBy("node", "band")
+    sums = groups.join(held, "gid").withColumn("total", F.sum("n").over(of)).withColumn("before", F.sum("n").over(of.orderBy("held", "gid").rowsBetween(Window.unboundedPreceding, -1)))
+    return sums.filter("coalesce(before, 0) <= total - need").withColumn("own", own).select("gid", "node", "root", "size", "own")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles (sorted array) of the wanted nodes, which are ids of documents."""
 
@@ -331,25 +347,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     # groups that hold several components still: classes against the roots of foreign components
     placed = groups.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
-    left = materialize(placed.join(open_groups, "gid", "left_semi").select("gid", "band", "n", "need", "node", "root", "size"), "open")
-    roots = left.groupBy("gid", F.col("root").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    left = placed.join(open_groups, "gid", "left_semi").select("gid", "band", "n", "need", "node", "root", "size")
+    left = materialize(_rarest(left, _bands(numerator, denominator)), "open")
+    roots = left.groupBy("gid", F.col("root").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.bool_or("own").alias("other_own"))
     near = f"size * {denominator} >= low * {numerator} AND high * {denominator} >= size * {numerator}"
-    met = left.join(roots, "gid").filter("root <> other").filter(near).groupBy("node", "root", "other", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    foreign = met.filter("n >= need").select("node", "root", "other").distinct()
+    met = left.join(roots, "gid").filter("root <> other AND (own OR other_own)").filter(near)
+    foreign = materialize(met.select("node", "root", "other").distinct(), "foreign")
     inner = left.filter("node <> root").select("node", "root").distinct()
-    ask = foreign.select(F.col("other").alias("a"), F.col("node").alias("b")).unionByName(inner.select(F.col("root").alias("a"), F.col("node").alias("b"))).distinct()
+    both_ways = foreign.select("node", "other").unionByName(inner.withColumnRenamed("root", "other"))
+    ask = both_ways.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     asked = materialize(_decided(ask, sets).withColumn("far", 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))), "asked")
     slack = 1 - numerator / denominator + 1e-9
-    away = asked.select(F.col("b").alias("node"), F.col("a").alias("other"), "far")
+    away = asked.select(F.col("b").alias("node"), F.col("a").alias("other"), "far").unionByName(asked.select(F.col("a").alias("node"), F.col("b").alias("other"), "far"))
     unsettled = foreign.join(away, ["node", "other"]).filter(F.col("far") > slack)
     depth = left.select("node", "root").distinct().join(away.withColumnRenamed("other", "root"), ["node", "root"], "left").select(F.col("node").alias("y"), F.col("root").alias("other"), F.coalesce("far", F.when(F.col("node") == F.col("root"), 0.0).otherwise(1.0)).alias("deep"))
     # most components are too shallow: their deepest member rules them out
     deepest = depth.groupBy("other").agg(F.max("deep").alias("deepest"))
     possible = unsettled.join(deepest, "other").filter(F.col("deepest") >= F.col("far") - slack).select("node", "other", "far")
-    x = left.join(possible, "node").select("gid", "band", "n", "other", "far", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("need").alias("need_a"))
-    y = left.join(depth.withColumnRenamed("y", "node"), "node").filter("node <> root").filter("root = other").select("gid", "other", "deep", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("need").alias("need_b"))
-    across = x.join(y, ["gid", "other"]).filter(F.col("deep") >= F.col("far") - slack).filter(fits)
-    pairs = across.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "band").agg(F.sum("n").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")).filter("n >= need").select("a", "b").distinct()
+    x = left.join(possible, "node").select("gid", "other", "far", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("own").alias("own_a"))
+    y = left.join(depth.withColumnRenamed("y", "node"), "node").filter("node <> root").filter("root = other").select("gid", "other", "deep", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
+    across = x.join(y, ["gid", "other"]).filter(F.col("deep") >= F.col("far") - slack).filter(fits).filter("own_a OR own_b")
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = first.select("a", "b").unionByName(asked.select("a", "b"))
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     second = materialize(_decided(pairs.join(done, ["a", "b"], "left_anti"), sets).unionByName(asked.select("a", "b", "n_a", "n_b", "both")), "second")
