@@ -12,7 +12,8 @@ Work on candidates:
 * A class that fills f partitions and may differ in k elements shares f - k signatures, at least, with each set it links
   with. Classes that share fewer, with all others together, leave; what they leave behind is counted once more.
 * A class is first compared with the partner it shares most signatures with, among the first classes of its groups.
-* Only groups that still hold several components are looked at again, and of these, in one order with small groups first,
+* Only groups that still hold several components are looked at again, without the classes that hold too many shingles of
+  their own to link with a partner of any size there; and of these, in one order with small groups first,
   only those by which a class can first meet a partner that shares as many signatures as it must (a prefix filter on both
   sides). There a class meets components: it is compared with the component's root, and the members are compared with it
   too. As 1 - likeness is a metric, a member can link with the class only if it lies as far from the root as the class
@@ -295,7 +296,28 @@ def _rarest(groups: DataFrame, bands: Bands) -> DataFrame:
     held = groups.groupBy("gid").agg(F.count("*").alias("held"))
     of = Window.partitionBy("node", "band")
     sums = groups.join(held, "gid").withColumn("total", F.sum("n").over(of)).withColumn("before", F.sum("n").over(of.orderBy("held", "gid").rowsBetween(Window.unboundedPreceding, -1)))
-    return sums.filter("coalesce(before, 0) <= total - need").withColumn("own", own).select("gid", "node", "root", "size", "own")
+    return sums.filter("coalesce(before, 0) <= total - need").withColumn("own", own).select("gid", "node", "root", "size", "cap", "own")
+
+
+def _capped(left: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Adds cap, the largest size that a partner can have, and leaves out classes that can have none.
+
+    Linked sets of sizes a, b share (a + b) t / (1 + t) elements at least, and a set shares only what some other open
+    class holds too. So what no other holds bounds the partner's size; copies with many edits of their own link with
+    nothing of about their size, and need not meet the rest of their group.
+    """
+    nodes = left.select("node", "size").distinct()
+    held = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    cap = F.expr(f"(size - coalesce(alone, 0)) * {numerator + denominator} div {numerator} - size")
+    caps = nodes.join(alone, "node", "left").withColumn("cap", cap).filter(f"cap * {denominator} >= size * {numerator}").select("node", "cap")
+    return left.join(caps, "node")
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """The rows of groups that hold more than one component."""
+    open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
+    return placed.join(open_groups, "gid", "left_semi")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -337,7 +359,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     # first comparison: each class with the partner it shares most signatures with
     t = f"{denominator} * both >= {numerator} * (n_a + n_b - both)"
     hubs = groups.groupBy("gid").agg(F.min("node").alias("hub"))
-    fits = f"least(size_a, size_b) * {denominator} >= greatest(size_a, size_b) * {numerator}"
     best = groups.join(hubs, "gid").filter("hub <> node").groupBy("node", "hub").agg(F.sum("n").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     sets = materialize(_sets_of(source.withColumnRenamed("id", "node"), groups.select("node").distinct(), words), "shingles")
     first = materialize(_decided(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "first")
@@ -346,11 +367,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
 
     # groups that hold several components still: classes against the roots of foreign components
     placed = groups.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
-    left = placed.join(open_groups, "gid", "left_semi").select("gid", "band", "n", "need", "node", "root", "size")
-    left = materialize(_rarest(left, _bands(numerator, denominator)), "open")
-    roots = left.groupBy("gid", F.col("root").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.bool_or("own").alias("other_own"))
-    near = f"size * {denominator} >= low * {numerator} AND high * {denominator} >= size * {numerator}"
+    several = materialize(_several(placed).select("gid", "band", "n", "need", "node", "root", "size"), "several")
+    capped = materialize(_several(_capped(several, sets, numerator, denominator)), "capped")
+    left = materialize(_rarest(capped, _bands(numerator, denominator)), "open")
+    roots = left.groupBy("gid", F.col("root").alias("other")).agg(F.min("size").alias("low"), F.max("cap").alias("high"), F.bool_or("own").alias("other_own"))
+    near = "low <= cap AND size <= high"
     met = left.join(roots, "gid").filter("root <> other AND (own OR other_own)").filter(near)
     foreign = materialize(met.select("node", "root", "other").distinct(), "foreign")
     inner = left.filter("node <> root").select("node", "root").distinct()
@@ -364,9 +385,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     # most components are too shallow: their deepest member rules them out
     deepest = depth.groupBy("other").agg(F.max("deep").alias("deepest"))
     possible = unsettled.join(deepest, "other").filter(F.col("deepest") >= F.col("far") - slack).select("node", "other", "far")
-    x = left.join(possible, "node").select("gid", "other", "far", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("own").alias("own_a"))
-    y = left.join(depth.withColumnRenamed("y", "node"), "node").filter("node <> root").filter("root = other").select("gid", "other", "deep", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
-    across = x.join(y, ["gid", "other"]).filter(F.col("deep") >= F.col("far") - slack).filter(fits).filter("own_a OR own_b")
+    x = left.join(possible, "node").select("gid", "other", "far", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("cap").alias("cap_a"), F.col("own").alias("own_a"))
+    y = left.join(depth.withColumnRenamed("y", "node"), "node").filter("node <> root").filter("root = other").select("gid", "other", "deep", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("cap").alias("cap_b"), F.col("own").alias("own_b"))
+    across = x.join(y, ["gid", "other"]).filter(F.col("deep") >= F.col("far") - slack).filter("size_a <= cap_b AND size_b <= cap_a").filter("own_a OR own_b")
     pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = first.select("a", "b").unionByName(asked.select("a", "b"))
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
