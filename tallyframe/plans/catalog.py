@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
-from tallyframe.operators import changes, relations, rules
+from tallyframe.operators import changes, ordered, relations, rules
 from tallyframe.plans.facts import FACTS_SQL, facts, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,3 +278,62 @@ def greedy_snippets(spark, sf_dir):
 
 
 QUERIES["greedy_snippets"] = greedy_snippets
+
+
+LINES = "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), "
+
+
+@registered(LINES + """o AS (SELECT doc_id, lines, len(lines) AS n, CAST(list_position(lines, lines[2]) AS BIGINT) - 1 AS s FROM t WHERE len(lines) >= 2)
+SELECT doc_id, s AS start, coalesce(list_min([i FOR i IN range(0, n) IF i > s AND length(lines[i + 1]) <= 40]), n) AS stop FROM o""")
+def section_interval(spark, sf_dir):
+    """From the line that equals a text's second line to the next short line."""
+    d = read(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("lines")).filter(F.size("lines") >= 2)
+    start, stop = ordered.section(F.col("lines"), F.get("lines", 1), lambda x: F.length(x) <= 40)
+    return d.select("doc_id", start.alias("start"), stop.alias("stop"))
+
+
+@registered(LINES + "o AS (SELECT doc_id, ([x FOR x IN lines IF regexp_matches(x, '[0-9]')])[1] AS line FROM t) SELECT * FROM o")
+def first_match_in_order(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", ordered.first_match(T.lines(F.col("text")), lambda x: x.rlike("[0-9]")).alias("line"))
+
+
+@registered("SELECT o_custkey, arg_min(o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate, o_orderkey)) AS o_orderkey, bool_and(o_orderstatus <> 'F') AS substitute FROM orders GROUP BY 1")
+def row_preference(spark, sf_dir):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return ordered.preferred(read(spark, sf_dir, "orders"), "o_custkey", rank, F.col("o_orderdate"), "o_orderkey")
+
+
+@registered("SELECT user_id, CAST(round_even(value, 0) AS BIGINT) AS band, string_agg(event_type, ' ' ORDER BY ts, event_id) AS words FROM events GROUP BY 1, 2")
+def same_band_words(spark, sf_dir):
+    return ordered.bands(read(spark, sf_dir, "events"), "user_id", "value", ("ts", "event_id"), "event_type")
+
+
+@registered(
+    PAIRS
+    + """SELECT entity, metric, year, CASE WHEN entity % 3 = 2 THEN CASE WHEN year % 2 = 0 THEN 'interpretation' ELSE 'rejected' END
+ WHEN entity % 5 = 0 THEN 'text_mismatch' WHEN entity % 7 = 0 THEN 'evidence_mismatch' ELSE 'verified' END AS status FROM usable"""
+)
+def claim_check(spark, sf_dir):
+    """Claims, some with an injected error. A claim of fact must have the exact text and the exact set of evidence; an
+    inference is at most an interpretation, and that only with alternatives."""
+    usable = _pairs(spark, sf_dir).filter("n_cur = 1 AND n_pri = 1 AND NOT mixed AND verified AND NOT restated")
+    exact, evidence = F.concat_ws(" ", "metric", "entity", "year", "cur_value"), F.array(F.concat_ws("-", "metric", "year"), F.concat_ws("-", "metric", F.col("year") - 1))
+    claims = usable.select(
+        "entity", "metric", "year", exact.alias("exact"), evidence.alias("evidence"),
+        F.when(F.expr("entity % 5 = 0"), F.concat(exact, F.lit("0"))).otherwise(exact).alias("told"),
+        F.when(F.expr("entity % 7 = 0"), F.slice(evidence, 1, 1)).otherwise(F.reverse(evidence)).alias("cited"),
+        F.when(F.expr("entity % 3 = 2"), "inference").otherwise("fact").alias("kind"),
+        F.when(F.expr("year % 2 = 0"), F.array(F.lit("other cause"))).otherwise(F.array().cast("array<string>")).alias("alternatives"),
+    )
+    as_fact = F.when(F.col("told") != F.col("exact"), "text_mismatch").when(F.array_sort("cited") != F.array_sort("evidence"), "evidence_mismatch").otherwise("verified")
+    as_inference = F.when(F.size("alternatives") > 0, "interpretation").otherwise("rejected")
+    return claims.select("entity", "metric", "year", F.when(F.col("kind") == "inference", as_inference).otherwise(as_fact).alias("status"))
+
+
+def row_assembly_fold(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", ordered.assembled(T.lines(F.col("text"))).alias("r"))
+    return d.select("doc_id", "r.rows", "r.longest")
+
+
+QUERIES["row_assembly_fold"] = row_assembly_fold

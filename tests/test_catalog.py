@@ -4,10 +4,12 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyframe.functions.text import parse_amount
+from tallyframe.functions.text import lines, parse_amount
 from tallyframe.operators import changes, rules
+from tallyframe.operators.ordered import assembled, section
 from tallyframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +88,21 @@ def test_amounts(spark):
     df = spark.createDataFrame([(t,) for t in ("1,234.50", "(5.00)", "(-5.00)", "−7", "（3，000）", "x", "1.005", None)], "t string")
     got = [r[0] for r in df.select(parse_amount(df["t"])).collect()]
     assert got == [Decimal("1234.50"), Decimal("-5.00"), None, Decimal("-7.00"), Decimal("-3000.00"), None, None, None]
+
+
+def test_rows_assembled_with_state(spark):
+    cases = {
+        "a\nb 1.50\nc": (2, 2),
+        "a (\n1.50\n)\nx 2.00": (2, 3),
+        "2.00\n3.00\n4.00": (3, 1),
+        "none\nat\nall": (1, 3),
+        "": (1, 1),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select(assembled(lines(F.col("t"))).alias("r"), "t")
+    assert {r["t"]: (r["r"]["rows"], r["r"]["longest"]) for r in df.collect()} == cases
+
+
+def test_section(spark):
+    df = spark.createDataFrame([("x\nHead\nlong line\nNext\ny",), ("x\ny",), ("Head\nlong line",)], "t string")
+    start, stop = section(lines(F.col("t")), F.lit("Head"), lambda x: x.isin("Head", "Next"))
+    assert [tuple(r) for r in df.select(start, stop).collect()] == [(1, 3), (None, None), (0, 2)]
