@@ -6,7 +6,7 @@ left and two to the right (the masked word itself is hidden), each with an embed
 a softmax over the classes; a word's probability is its class's times its share of the class (of rare words, one over
 their number of kinds). A document's score is the sum of the log-probabilities of its tokens.
 
-The network is trained in numpy by stochastic gradient descent on every `stride`-th position of every document: each task
+The network is trained in numpy by stochastic gradient descent on every position of every document (`stride` 1): each task
 trains a copy on its own documents, and the copies are averaged by the number of windows they saw.
 
 Defined cases: null, empty and blank texts have 0 tokens and log-probability 0; repeated rows count each; an empty table
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Flat, text_bytes
+from tallyframe.llm.common import Flat, materialize, text_bytes
 
 OFFSETS = (-2, -1, 1, 2)
 
@@ -85,17 +85,24 @@ class Model:
         return hidden, hidden @ self.layer[:-1] + self.layer[-1]
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        hidden, z = self.logits(context)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
+        n, dim = len(context), self.vectors.shape[1]
+        near = self.vectors[context.T]
+        hidden = np.tanh((near * self.scales[:, None]).sum(axis=0))
+        p = hidden @ self.layer[:-1] + self.layer[-1]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
+        p[np.arange(n), target] -= 1
         back = (p @ self.layer[:-1].T) * (1 - hidden**2)
-        self.layer[:-1] -= rate * hidden.T @ p / len(p)
-        self.layer[-1] -= rate * p.mean(axis=0)
-        for o in range(len(OFFSETS)):
-            inward = back * self.scales[o]
-            self.scales[o] -= rate * (back * self.vectors[context[:, o]]).mean(axis=0)
-            np.add.at(self.vectors, context[:, o], -rate / 16 * inward)
+        mean = np.full(n, rate / n, np.float32)
+        pull = back * (self.scales * np.float32(-rate / 16))[:, None]
+        near *= back
+        self.layer[:-1] -= (rate / n * hidden).T @ p
+        self.layer[-1] -= mean @ p
+        self.scales -= mean @ near
+        # one-dimensional indices, which numpy adds at much faster
+        at = context.T[:, :, None] * dim + np.arange(dim)
+        np.add.at(self.vectors.reshape(-1), at.ravel(), pull.ravel())
 
 
 def contexts(ids: np.ndarray, edge: np.ndarray, pad: int) -> np.ndarray:
@@ -110,6 +117,14 @@ def contexts(ids: np.ndarray, edge: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
+def positions(edge: np.ndarray, stride: int = 1) -> np.ndarray:
+    """The positions trained on: every `stride`-th of each document."""
+    if stride == 1:
+        return np.arange(edge[0], edge[-1])
+    first = edge[:-1] + (np.diff(edge) * 7919) % stride
+    return np.concatenate([np.arange(a, b, stride) for a, b in zip(first, edge[1:], strict=True)]).astype(np.int64)
+
+
 def numbered(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
     words = [t.lower().split() for t in texts]
     edge = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
@@ -118,7 +133,7 @@ def numbered(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(source: DataFrame, vocabulary: int, n_classes: int) -> dict:
     """What the corpus tells: the vocabulary with classes and shares, and the numbers of rare words."""
-    counts = word_counts(source)
+    counts = materialize(word_counts(source), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
     words, n = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.float64)
     kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -128,7 +143,7 @@ def gather(source: DataFrame, vocabulary: int, n_classes: int) -> dict:
     return {"words": words, "class": of, "share": share, "total": total}
 
 
-def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, stride: int, rate: float = 0.5, batch_size: int = 256, blocks: int = 32) -> np.ndarray:
+def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, stride: int = 1, rate: float = 0.5, batch_size: int = 256, blocks: int = 32) -> np.ndarray:
     start = Model(len(corpus["words"]), n_classes, dim).flat()
     told = source.sparkSession.sparkContext.broadcast(corpus)
 
@@ -139,8 +154,7 @@ def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, stride: int
             texts = Flat(batch.column("bytes"))
             for lo, hi in texts.runs(1 << 20):
                 words, edge = numbered([texts[i].tobytes().decode("utf-8", "replace") for i in range(lo, hi)], ids)
-                first = edge[:-1] + (np.diff(edge) * 7919) % stride
-                at = np.concatenate([np.arange(a, b, stride) for a, b in zip(first, edge[1:], strict=True)]).astype(np.int64)
+                at = positions(edge, stride)
                 around, target = contexts(words, edge, pad)[at], know["class"][words[at]]
                 mixed = np.random.default_rng(len(at)).permutation(len(at))
                 for k in range(0, len(at), batch_size):
@@ -163,13 +177,17 @@ def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, stride: int
 
 def token_scores(model: Model, corpus: dict, words: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Log-probability of every token given its neighbours."""
-    _, z = model.logits(contexts(words, edge, len(corpus["words"]) + 1))
-    top = z.max(axis=1)
-    log_sum = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-    return z[np.arange(len(words)), corpus["class"][words]].astype(np.float64) - log_sum + corpus["share"][words]
+    around, out = contexts(words, edge, len(corpus["words"]) + 1), np.zeros(len(words))
+    for lo in range(0, len(words), 1024):
+        some = words[lo : lo + 1024]
+        _, z = model.logits(around[lo : lo + 1024])
+        top = z.max(axis=1)
+        log_sum = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+        out[lo : lo + 1024] = z[np.arange(len(some)), corpus["class"][some]].astype(np.float64) - log_sum + corpus["share"][some]
+    return out
 
 
-def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int = 64, dim: int = 16, stride: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int = 64, dim: int = 16, stride: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_tokens, log_prob, mean_log_prob (0 without tokens)."""
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     corpus = gather(source.select("bytes"), vocabulary, n_classes)

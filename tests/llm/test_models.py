@@ -126,3 +126,16 @@ def test_token_scores_by_hand():
     for _ in range(50):
         model.step(around, corpus["class"][words], 0.5)
     assert lm_scoring.token_scores(model, corpus, words, edge).sum() > before
+
+
+def test_every_position_is_trained_on(spark):
+    from inspect import signature
+
+    stride = signature(pseudo_likelihood).parameters["stride"].default
+    edge = np.array([0, 3, 3, 20, 21])
+    assert lm_scoring.positions(edge, stride).tolist() == list(range(21))
+    # documents of three words each are learned from
+    df = spark.createDataFrame([("the cat sat",), ("a dog ran",)], "text string").selectExpr("cast(text as binary) as bytes")
+    corpus = lm_scoring.gather(df, 10, 2)
+    learned = lm_scoring.train(df, corpus, 2, 4, stride)
+    assert not np.array_equal(learned, lm_scoring.Model(6, 2, 4).flat())
