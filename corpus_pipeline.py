@@ -2,6 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read as the next one's docs.
 All but the last return the columns of documents. Null texts are empty texts to every stage; empty tables pass through.
+Rows are told apart by their place in the files, not by doc_id, so null ids and ids that several rows share lose nothing:
+each row is decided by its own text, and repeated rows are near duplicates of which one stays.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import shared_dir, table
+from tallyframe.llm.common import materialize, shared_dir, table
 from tallyframe.llm.decontamination import contamination
 from tallyframe.llm.jaccard_join import near_duplicates
 from tallyframe.llm.packing import pack
@@ -22,30 +24,48 @@ from tallyframe.llm.suffix_dedup import remove_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds row, a key no other row has: the number of the row's file and its place there, both fixed once the file is
+    written. A frame that is not just read from files is written first."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialize(docs, "rows")
+    path = F.col("_metadata.file_path").alias("_file")
+    names = sorted(r[0] for r in docs.select(path).distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "_n long, _file string")
+    at = docs.select("*", path, F.col("_metadata.row_index").alias("_at")).join(F.broadcast(files), "_file")
+    return at.withColumn("row", F.col("_n") * (1 << 40) + F.col("_at")).drop("_file", "_n", "_at")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    kept = score_quality(docs, table(spark, sf_dir, "labels"), threshold=0.3).filter("predicted = 1").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = keyed(docs)
+    kept = score_quality(docs, table(spark, sf_dir, "labels"), threshold=0.3, key_col="row").filter("predicted = 1").select(F.col("id").alias("row"))
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id."""
-    kept = near_duplicates(docs).filter("id = component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group stays: that with the smallest id, null ids last, and of these the first."""
+    docs = keyed(docs)
+    of = near_duplicates(docs, id_col="row").select(F.col("id").alias("row"), "component_id").join(docs.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = of.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 400 or more that occur twice are cut out; a character cut through goes with them."""
-    cut = remove_repeats(docs, 400).filter(F.size("starts") > 0).select(F.col("id").alias("doc_id"), F.col("kept"))
+    docs = keyed(docs)
+    cut = remove_repeats(docs, 400, id_col="row").filter(F.size("starts") > 0).select(F.col("id").alias("row"), F.col("kept"))
     left = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", left)
+    joined = docs.join(cut, "row", "left").withColumn("text", left)
     return joined.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("id").alias("doc_id"))
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs)
+    hit = contamination(docs, table(spark, sf_dir, "benchmark"), id_col="row").filter("n_hit > 0").select(F.col("id").alias("row"))
+    return docs.join(hit, "row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

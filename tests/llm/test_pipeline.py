@@ -45,3 +45,34 @@ def test_stages(spark, tmp_path):
             assert {r["doc_id"] for r in at.collect()} == set(now)
         before = now
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_repeated_rows_equal_ids_and_null_ids(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    word = lambda seed, n: " ".join(f"w{(seed * 7919 + i * 104729) % 99991}" for i in range(n))
+
+    def through(stage, rows):
+        path = f"{tmp_path}/{stage.__name__}"
+        spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+        out = stage(spark, spark.read.parquet(path), sf).collect()
+        assert all(r["n_chars"] == len(r["text"]) for r in out)
+        return Counter((r["doc_id"], r["text"]) for r in out)
+
+    a, b, c, d = (word(k, 60) for k in range(4))
+    assert through(corpus_pipeline.near_duplicate, [(1, a), (1, a), (1, b), (None, b), (None, c), (None, c), (None, d)]) == Counter([(1, a), (1, b), (None, c), (None, d)])
+    p, (w, x, y, z) = word(9, 90), (f" {k} " + word(20 + i, 5) for i, k in enumerate("WXYZ"))
+    assert through(corpus_pipeline.repeats, [(1, p + w), (1, p + x), (None, p + y), (None, "_" + z)]) == Counter([(1, w[1:]), (1, x[1:]), (None, y[1:]), (None, "_" + z)])
+    item = max((r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    assert through(corpus_pipeline.decontaminate, [(1, item), (1, a), (None, item), (None, b), (None, b)]) == Counter({(1, a): 1, (None, b): 2})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marked = {r["doc_id"] for r in labels.collect()}
+    good = next(texts[r["id"]] for r in score_quality(docs, labels).orderBy("score", ascending=False).collect() if texts[r["id"]])
+    free = next(k for k in texts if k not in marked)
+    odd = spark.createDataFrame([(free, good), (free, good), (None, good), (None, good)], "doc_id long, text string")
+    docs.select(*corpus_pipeline.COLUMNS).unionByName(odd, allowMissingColumns=True).write.parquet(f"{tmp_path}/quality")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/quality"), sf).collect())
+    assert got[(None, good)] == 2 and got[(free, good)] >= 2 and got.total() > 0.5 * len(texts)
+    accepted = {r["id"] for r in score_quality(docs, labels).collect() if r["predicted"]}
+    assert got - Counter({(None, good): 2, (free, good): 2}) == Counter((k, t) for k, t in texts.items() if k in accepted)
