@@ -31,6 +31,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Probabilities are multiplied by this for each character, so that those of usual words stay near 1.
 LIFT = 16.0
+#: Below this a sum may have lost parts that were too small for a number.
+TINY = 1e-200
+#: From this many letters on, words are learned from by logarithms.
+LONG = 40
 
 
 @functools.lru_cache(2)
@@ -90,7 +94,12 @@ def log_words(words: list[str], vocab: dict[str, int], longest: int, table: np.n
         word, start, end, piece = edges
         alpha = forward(len(some), max(map(len, some)), edges, table[piece] * LIFT ** (end - start)[:, None])
         sizes = np.array([len(s) for s in some])
-        out[group] = np.log(alpha[np.arange(len(some)), sizes]) - sizes[:, None] * math.log(LIFT)
+        last = alpha[np.arange(len(some)), sizes]
+        # sums near the smallest number have lost digits or are 0: these words are summed again, rescaled as they go
+        tiny = (last < TINY).any(axis=1)
+        out[group] = np.log(np.maximum(last, TINY)) - sizes[:, None] * math.log(LIFT)
+        for i in np.flatnonzero(tiny):
+            out[group[i]] = _log_long(some[i], vocab, longest, table)
         at += len(group)
     return out
 
@@ -111,13 +120,30 @@ def _log_long(word: str, vocab: dict[str, int], longest: int, table: np.ndarray)
     return scale
 
 
+def _log_shares(size: int, edges: tuple[np.ndarray, ...], log_weight: np.ndarray) -> np.ndarray:
+    """The chance of each edge among the segmentations of one word of any length."""
+    _, start, end, _ = edges
+    ahead, behind = np.zeros(size + 1), np.zeros(size + 1)
+    cut = np.searchsorted(end, np.arange(1, size + 2))
+    for k in range(1, size + 1):
+        part = slice(cut[k - 1], cut[k])
+        ahead[k] = np.logaddexp.reduce(ahead[start[part]] + log_weight[part])
+    by_start = np.argsort(start, kind="stable")
+    cut = np.searchsorted(start[by_start], np.arange(size + 1))
+    for k in range(size - 1, -1, -1):
+        part = by_start[cut[k] : cut[k + 1]]
+        behind[k] = np.logaddexp.reduce(behind[end[part]] + log_weight[part])
+    return np.exp(ahead[start] + log_weight + behind[end] - ahead[size])
+
+
 def learn(counts: dict[str, dict[str, int]], path: str, rounds: int = 4, floor: float = 1e-7) -> tuple[list[str], np.ndarray]:
     """Languages in order and the (piece, language) table from word counts by language."""
     vocab, longest = vocabulary(path)
     names = sorted(counts)
     table = np.zeros((len(vocab) + 1, len(names)))
     for column, name in enumerate(names):
-        words = sorted(w for w in counts[name] if len(w) < 40)
+        words = sorted(w for w in counts[name] if len(w) < LONG)
+        long = [(counts[name][w], len(w) + 1, lattice([START + w], vocab, longest)) for w in sorted(counts[name]) if len(w) >= LONG]
         n = np.array([counts[name][w] for w in words], float)
         groups = []
         for size, some in itertools.groupby(sorted(range(len(words)), key=lambda i: (len(words[i]), i)), key=lambda i: len(words[i])):
@@ -135,6 +161,8 @@ def learn(counts: dict[str, dict[str, int]], path: str, rounds: int = 4, floor:
                 behind = forward(len(some), width, mirrored, weight[back_order])[:, :, 0]
                 share = ahead[word, start] * weight[:, 0] * behind[word, width - end] / ahead[word, width]
                 expected += np.bincount(piece, share * n[some][word], minlength=len(vocab) + 1)
+            for times, size, edges in long:
+                expected += np.bincount(edges[3], _log_shares(size, edges, np.log(p[edges[3]])) * times, minlength=len(vocab) + 1)
             p = expected / max(expected.sum(), 1) + floor
         table[:, column] = p / p.sum()
     if len(names):
@@ -162,8 +190,11 @@ class Scorer:
         self.cache.know(itertools.chain.from_iterable(words))
         flat = np.fromiter(map(self.cache.__getitem__, itertools.chain.from_iterable(words)), np.int64)
         edge = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-        run = np.concatenate((np.zeros((1, len(self.names))), np.cumsum(self.rows[flat], axis=0)))
-        total = run[edge[1:]] - run[edge[:-1]] + self.prior
+        # each text is summed by itself, so that no text touches another's score
+        total = np.tile(self.prior, (len(texts), 1))
+        some = np.flatnonzero(np.diff(edge))
+        if len(some):
+            total[some] += np.add.reduceat(self.rows[flat], edge[some], axis=0)
         best = total.argmax(axis=1)
         with np.errstate(over="ignore"):
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)

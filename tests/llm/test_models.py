@@ -139,3 +139,27 @@ def test_every_position_is_trained_on(spark):
     corpus = lm_scoring.gather(df, 10, 2)
     learned = lm_scoring.train(df, corpus, 2, 4, stride)
     assert not np.array_equal(learned, lm_scoring.Model(6, 2, 4).flat())
+
+
+def test_words_of_an_unseen_script_touch_no_other_text():
+    names, table = language_id.learn({"a": {"the": 9, "cat": 3}, "b": {"le": 9, "chat": 3}}, PATH)
+    one = lambda texts: language_id.Scorer(names, table, np.log(np.full(2, 0.5)), PATH).score(texts)
+    texts = ["the cat", *("\u10d0" * n for n in range(52, 64)), "\u12a0" * 57 + " le chat", "le chat", "", "the cat the"]
+    lang, score = one(texts)
+    assert np.isfinite(score).all()
+    for i, t in enumerate(texts):
+        assert lang[i] == one([t])[0][0] and math.isclose(score[i], one([t])[1][0])
+    assert (lang[0], lang[-4], lang[-3], lang[-2], lang[-1]) == ("a", "b", "b", "und", "a")
+    vocab, longest = language_id.vocabulary(PATH)
+    for n in range(50, 62):
+        word = "\u10d0" * n + "the"
+        assert np.allclose(language_id.log_words([word], vocab, longest, table)[0], language_id._log_long("▁" + word, vocab, longest, table))
+
+
+def test_long_words_are_learned_from(monkeypatch):
+    counts = {"a": {"the": 9, "cat": 3, "abba" * 9: 2}, "b": {"chat" * 25: 5}}
+    names, table = language_id.learn(counts, PATH)
+    vocab, _ = language_id.vocabulary(PATH)
+    assert table[vocab["chat"] if "chat" in vocab else vocab["c"], 1] > 0.01
+    monkeypatch.setattr(language_id, "LONG", 1)
+    assert np.allclose(language_id.learn(counts, PATH)[1], table)
