@@ -342,9 +342,27 @@ def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("both"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denominator: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_shingles, class_id (smallest id with an equal set), n_links (of its class, as far as links were
-    needed to settle the groups), component_id (smallest id reachable by links)."""
+def _all_links(groups: DataFrame, sets: DataFrame, numerator: int, denominator: int, block: int = 500) -> DataFrame:
+    """u, n_links: with how many other classes a class links, in both directions.
+
+    Linked classes share a group, so all pairs of each group whose sizes allow a link are compared. A group of more than
+    `block` classes is cut into blocks, and each pair of blocks is joined by itself.
+    """
+    held = groups.groupBy("gid").agg(F.countDistinct("node").alias("held"))
+    rows = groups.select("gid", "node", "size").distinct().join(held, "gid").withColumn("blocks", F.ceil(F.col("held") / block))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = rows.select("gid", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("size").alias("size_a"))
+    right = rows.select("gid", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("size").alias("size_b"))
+    fit = f"a < b AND size_a * {denominator} >= size_b * {numerator} AND size_b * {denominator} >= size_a * {numerator}"
+    pairs = left.join(right, ["gid", "i", "j"]).filter(fit).select("a", "b").distinct()
+    links = materialize(_decided(pairs, sets).filter(f"{denominator} * both >= {numerator} * (n_a + n_b - both)").select("a", "b"), "links")
+    return links.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denominator: int = 4, id_col: str = "doc_id", text_col: str = "text", links_too: bool = False) -> DataFrame:
+    """Returns id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links);
+    with `links_too` also n_links (how many other classes its class links with), for which all candidate pairs are
+    compared. The components alone need far fewer comparisons."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     kind = source.schema["id"].dataType.simpleString()
@@ -396,8 +414,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     all_links = links.unionByName(more)
     if more.limit(1).count():
         root = components(all_links)
-    degree = all_links.unionByName(all_links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().groupBy("u").agg(F.count("*").alias("n_links"))
 
-    per_class = classes.join(root.withColumnRenamed("u", "node"), "node", "left").join(degree.withColumnRenamed("u", "node"), "node", "left")
-    per_class = per_class.select("sid", "sid2", "size", F.col("node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    return rows.join(per_class, ["sid", "sid2", "size"], "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    per_class = classes.join(root.withColumnRenamed("u", "node"), "node", "left")
+    columns = ["sid", "sid2", "size", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("component_id")]
+    out = [F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")]
+    if links_too:
+        per_class = per_class.join(_all_links(groups, sets, numerator, denominator).withColumnRenamed("u", "node"), "node", "left")
+        columns.append("n_links")
+        out.insert(1, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(per_class.select(*columns), ["sid", "sid2", "size"], "left").select("id", F.col("size").alias("n_shingles"), *out)

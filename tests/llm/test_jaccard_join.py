@@ -62,3 +62,16 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [(5, None), (4, "")]) == {5: (0, 5), 4: (0, 4)}
+
+
+def test_links_of_each_class(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    near = [(i, " ".join([*base[:-1], f"x{i}"] if i else base)) for i in range(12)] + [(50, " ".join(base)), (51, None), (52, "alone")]
+    for rows, block in ((near, 500), (near, 3), (corpus(2, 260, (20, 60, 200), 9), 500)):
+        monkeypatch.setattr("tallyframe.llm.jaccard_join._all_links.__defaults__", (block,))
+        sets = {d: frozenset(shingles(t)) for d, t in rows}
+        kinds = set(sets.values()) - {frozenset()}
+        want = {d: sum(4 * len(s & o) >= 3 * len(s | o) for o in kinds if o != s) if s else 0 for d, s in sets.items()}
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["id"]: r["n_links"] for r in near_duplicates(df, links_too=True).collect()} == want
+    assert "n_links" not in near_duplicates(df).columns
