@@ -149,6 +149,15 @@ def band_join(spark, sf_dir):
     return events.join(sizes, "p_size").filter("value BETWEEN p_size - 0.25 AND p_size + 0.25").select("event_id", "p_partkey")
 
 
+@registered("SELECT e.event_id, count(*) AS n_parts, min(p.p_partkey) AS first_part FROM events e JOIN part p ON e.value BETWEEN p.p_size - 0.25 AND p.p_size + 0.25 GROUP BY e.event_id")
+def band_join_all(spark, sf_dir):
+    """All events with all parts of the band: parts are gathered by size first, of which an event's band holds one at most."""
+    events = read(spark, sf_dir, "events").select("event_id", "value", F.round("value").cast("int").alias("p_size"))
+    sizes = read(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    met = events.join(sizes, "p_size").filter("value BETWEEN p_size - 0.25 AND p_size + 0.25")
+    return met.groupBy("event_id").agg(F.sum("n").alias("n_parts"), F.min("first").alias("first_part"))
+
+
 @registered("SELECT CAST(round_even(value, 0) AS BIGINT) AS band, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
 def row_band_clusters(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.bround("value").cast("bigint").alias("band")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))

@@ -106,3 +106,11 @@ def test_section(spark):
     df = spark.createDataFrame([("x\nHead\nlong line\nNext\ny",), ("x\ny",), ("Head\nlong line",)], "t string")
     start, stop = section(lines(F.col("t")), F.lit("Head"), lambda x: x.isin("Head", "Next"))
     assert [tuple(r) for r in df.select(start, stop).collect()] == [(1, 3), (None, None), (0, 2)]
+
+
+def test_band_join_covers_all_events_and_sizes(spark):
+    got = {r["event_id"]: r["n_parts"] for r in catalog.QUERIES["band_join_all"](spark, SF).collect()}
+    sizes = [r["p_size"] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_size").collect()]
+    events = [(r["event_id"], float(r["value"])) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect()]
+    want = {e: sum(abs(v - s) <= 0.25 for s in sizes) for e, v in events}
+    assert got == {e: n for e, n in want.items() if n} and len(got) > 0
