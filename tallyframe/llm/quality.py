@@ -120,7 +120,7 @@ class Scorer:
         return [float(1 / (1 + np.exp(-(self.bias + (x.real / x.imag if x else 0.0))))) for x in totals]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
     """Returns id (of key_col where given: a key of rows, while labels go by id_col), held_out, score (chance of label 1), predicted."""
     adds, bias = fit(docs, labels, sample, id_col, text_col, label_col)
     model = docs.sparkSession.sparkContext.broadcast((adds, bias))  # a number for each hash bucket

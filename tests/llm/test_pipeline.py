@@ -76,3 +76,15 @@ def test_repeated_rows_equal_ids_and_null_ids(spark, tmp_path):
     assert got[(None, good)] == 2 and got[(free, good)] >= 2 and got.total() > 0.5 * len(texts)
     accepted = {r["id"] for r in score_quality(docs, labels).collect() if r["predicted"]}
     assert got - Counter({(None, good): 2, (free, good): 2}) == Counter((k, t) for k, t in texts.items() if k in accepted)
+
+
+def test_quality_rejects_some(spark, tmp_path):
+    from inspect import signature
+
+    good, bad = "careful notes on rivers and their history", "click now win cash buy cheap pills"
+    rows = [(i, f"{good if i % 2 else bad} {i % 7}", "en", "s", 1) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = {r["doc_id"] for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert now == set(range(1, 120, 2))
+    assert signature(score_quality).parameters["sample"].default == 5000
