@@ -1,30 +1,34 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures, and the groups that its links form.
 
 Sets with a Jaccard likeness of t or more and sizes a, b differ in at most (a + b)(1 - t)/(1 + t) elements. Sizes are cut
-into bands whose ends lie a factor 1/t apart, so linked sets are in one band or in neighbours. For the larger set's band
-the feature domain (64-bit shingle hashes) is cut into more partitions than two such sets can differ in; some partition is
-then equal in both. A set's signatures are its non-empty partitions, in its own band and in the next one. Equal empty
-partitions say nothing, and are not needed: a set that fills more partitions than it may differ in shares a filled one with
-each partner. A set that does not (a few very small ones) also signs its empty partitions, so no link is lost.
+into bands whose ends lie a factor 1/t apart, so linked sets are in one band or in neighbours; each set signs in its own
+band and in the next one. For a band whose sets can differ in k elements, the feature domain (64-bit shingle hashes) is cut
+into n1 > k/2 first-level partitions, so that linked sets differ by one element at most in some of them. Each is cut into
+three second-level partitions, and each subset of two of the three is a signature: one element can spoil one of the three
+only, so linked sets have an equal signature.
 
-Work on candidates:
+Equal empty subsets say nothing, and are rarely needed: n1 is a fifth larger than k/2 + 1, and a set with fewer empty
+subsets than that leaves shares a filled signature with each partner. A set that has more (a few very small ones) signs its
+empty subsets too, so no link is lost.
+
+Work on candidates, that is sets in one signature group:
 * Equal sets (copies, also with other case or spacing) share one class from the start; classes, not rows, are joined.
-* A class that fills f partitions and may differ in k elements shares f - k signatures, at least, with each set it links
-  with. Classes that share fewer, with all others together, leave; what they leave behind is counted once more.
+* Most linked sets share more signatures than one, as n1 is larger than needed. A class that shares fewer, with all others
+  together, than it must with each partner, leaves; what it leaves behind is counted once more.
 * A class is first compared with the partner it shares most signatures with, among the first classes of its groups.
-* Only groups that still hold several components are looked at again, without the classes that hold too many shingles of
-  their own to link with a partner of any size there; and of these, in one order with small groups first,
-  only those by which a class can first meet a partner that shares as many signatures as it must (a prefix filter on both
-  sides). There a class meets components: it is compared with the component's root, and the members are compared with it
-  too. As 1 - likeness is a metric, a member can link with the class only if it lies as far from the root as the class
-  does, less 1 - t. Only such pairs are decided by counting common shingles as well.
+  In a large group of near copies this settles most of them, without pairs among them.
+* Only classes of groups that still hold several components are looked at again. Their pairs must share a signature and
+  pass a prefix filter with positions: shingles are ordered by how few of these classes hold them, and two linked sets
+  share one that is early enough in both for the shingles from there on to reach the overlap they need.
+* What is left is decided by counting common shingles.
 
 Signatures travel as blocks of binary names per bucket, with each block listing a class once; a bucket is sorted by one
 task. The number of buckets follows spark.sql.shuffle.partitions.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and are their own component; fewer than five
-words make one shingle; rows with equal ids are one vertex; an empty table gives an empty result; other columns are not
-read.
+words make one shingle; rows with equal ids are one vertex; a row without id joins the class of its text, and has the
+component of that class (null if no row of the class has an id); an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -130,8 +134,9 @@ class Bands:
 
     @functools.cache  # noqa: B019  one instance lives as long as its process
     def partitions(self, band: int) -> int:
-        end = self.end(band)
-        return self.differ(end, end) + 2 + math.ceil(4 * end / 25)
+        """First-level partitions: more than half of what sets up to the band's end can differ in, and a fifth to spare."""
+        least = self.differ(self.end(band), self.end(band)) // 2 + 1
+        return least + 1 + least // 5
 
     @functools.cache  # noqa: B019
     def most(self, size: int, band: int) -> int:
@@ -145,9 +150,10 @@ def _bands(numerator: int, denominator: int) -> Bands:
 
 
 def signatures(of: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, ...]:
-    """(row, 64-bit signature, band, how many signatures a partner must share) for the own band and the next."""
+    """(row, 64-bit signature, step: 0 for the own band, 1 for the next), and how many signatures a partner must share at
+    least, by row and step. A signature tells its band, partition and subset."""
     own = bands.of(sizes)
-    rows, names, levels, needs = [], [], [], []
+    rows, names, steps, needs = [], [], [], []
     for step in (0, 1):
         band = own + step
         kinds, inverse = np.unique(band, return_inverse=True)
@@ -156,24 +162,32 @@ def signatures(of: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands: B
         most = np.array([bands.most(int(s), int(b)) for s, b in zip(sizes, band, strict=True)])
         base = np.concatenate(([0], np.cumsum(n1)))
         spread = mix(shingles ^ salt[of])
-        place = base[of] + (((spread >> np.uint64(32)) * n1[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        sums = _sums(place[order], spread[order] * np.uint64(0xD6E8FEB86659FD93), int(base[-1]))
-        filled = np.bincount(place, minlength=int(base[-1])) > 0
+        high, low = spread >> np.uint64(32), spread & np.uint64(0xFFFFFFFF)
+        first = base[of] + ((high * n1[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        cell = 3 * first + ((low * np.uint64(3)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        total = int(base[-1])
+        sums = _sums(cell[order], spread[order] * np.uint64(0xD6E8FEB86659FD93), 3 * total).reshape(total, 3)
+        held = np.bincount(cell, minlength=3 * total).reshape(total, 3)
+        # the subset of two partitions that leaves out each one
+        sums, held = sums.sum(axis=1, dtype=np.uint64, keepdims=True) - sums, held.sum(axis=1, keepdims=True) - held
         owner = np.repeat(np.arange(len(sizes)), n1)
-        full = np.bincount(owner, filled, minlength=len(sizes)).astype(np.int64)
-        few = full <= most
-        keep = (filled | few[owner]) & (sizes[owner] > 0) & (most[owner] > 0)
-        part = (np.arange(int(base[-1])) - base[owner]).astype(np.uint64)
-        rows.append(owner[keep])
-        names.append(mix(sums + part * np.uint64(0xA24BAED4963EE407) + salt[owner])[keep])
-        levels.append(band[owner[keep]])
-        needs.append(np.maximum(full - most, 1)[owner[keep]])
-    return tuple(map(np.concatenate, (rows, names, levels, needs)))
+        hollow = np.bincount(owner, (held == 0).any(axis=1), minlength=len(sizes))
+        need = n1 - most // 2 - hollow
+        few = need < 1
+        needs.append(np.maximum(need, 1))
+        keep = (held > 0) | few[owner][:, None]
+        keep &= ((sizes > 0) & (most > 0))[owner][:, None]
+        part = (np.arange(total) - base[owner]).astype(np.uint64)[:, None] * np.uint64(3) + np.arange(3, dtype=np.uint64)
+        at = np.nonzero(keep)[0]
+        rows.append(owner[at])
+        names.append(mix(sums + part * np.uint64(0xA24BAED4963EE407) + salt[owner][:, None])[keep])
+        steps.append(np.full(len(at), step))
+    return np.concatenate(rows), np.concatenate(names), np.concatenate(steps), np.stack(needs, axis=1)
 
 
-DEALT = "bucket long, {id}, sid long, sid2 long, size long, band long, names binary, members binary, sids binary, needs binary"
-SORTED = "{id}, sid long, sid2 long, size long, gid long, band long, n long, need long"
+DEALT = "bucket long, {id}, sid long, sid2 long, size long, names binary, members binary, sids binary, needs binary"
+SORTED = "{id}, sid long, sid2 long, size long, gid long, step long, n long, need long"
 
 
 def _emit(words: int, bands_of: tuple[int, int], buckets: int):
@@ -197,7 +211,6 @@ def _emit(words: int, bands_of: tuple[int, int], buckets: int):
                         "sid": pa.array(sid.view(np.int64), mask=sizes == 0),
                         "sid2": pa.array(sid2.view(np.int64), mask=sizes == 0),
                         "size": pa.array(sizes.astype(np.int64)),
-                        "band": pa.nulls(n, pa.int64()),
                     }
                     | dict.fromkeys(binary, none)
                 )
@@ -209,24 +222,23 @@ def _emit(words: int, bands_of: tuple[int, int], buckets: int):
                 place = np.full(n, -1)
                 place[first] = np.arange(len(first))
                 keep = place[of] >= 0
-                owner, name, band, need = signatures(place[of[keep]], shingles[keep], sizes[first], bands)
+                owner, name, step, need = signatures(place[of[keep]], shingles[keep], sizes[first], bands)
                 bucket = (((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((owner, band, bucket))
-                owner, name, band, need, bucket = (x[order] for x in (owner, name, band, need, bucket))
-                edges = np.append(np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (band[1:] != band[:-1])))), len(bucket))
-                out: dict[str, list] = {k: [] for k in ("bucket", "band", *binary)}
+                order = np.lexsort((owner, bucket))
+                owner, name, step, bucket = owner[order], name[order], step[order], bucket[order]
+                edges = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
+                out: dict[str, list] = {k: [] for k in ("bucket", *binary)}
                 for a, b in zip(edges[:-1], edges[1:], strict=True) if len(bucket) else ():
-                    who, at, member = np.unique(owner[a:b], return_index=True, return_inverse=True)
+                    who, member = np.unique(owner[a:b], return_inverse=True)
                     out["bucket"].append(int(bucket[a]))
-                    out["band"].append(int(band[a]))
                     out["names"].append(np.ascontiguousarray(name[a:b]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                    out["members"].append(member.astype(np.uint16 if len(who) < 65536 else np.uint32).tobytes())
+                    out["members"].append((2 * member + step[a:b]).astype(np.uint16 if len(who) < 32768 else np.uint32).tobytes())
                     out["sids"].append(sid[first][who].tobytes())
-                    out["needs"].append(need[a:b][at].astype(np.uint32).tobytes())
+                    out["needs"].append(need[who].astype(np.uint32).tobytes())
                 n = len(out["bucket"])
                 empty = {"id": pa.nulls(n, ids.type)} | {k: pa.nulls(n, pa.int64()) for k in ("sid", "sid2", "size")}
                 full = {k: pa.array(v, pa.binary() if k in binary else pa.int64()) for k, v in out.items()}
-                yield pa.record_batch({k: (full | empty)[k] for k in ("bucket", "id", "sid", "sid2", "size", "band", *binary)})
+                yield pa.record_batch({k: (full | empty)[k] for k in ("bucket", "id", "sid", "sid2", "size", *binary)})
 
     return run
 
@@ -237,89 +249,58 @@ def _groups(rows: pa.Table) -> pa.Table:
     ids = rows["id"].type
 
     def table(rows_out: int, **columns) -> pa.Table:
-        whole = {k: columns.get(k, pa.nulls(rows_out, ids if k == "id" else pa.int64())) for k in ("id", "sid", "sid2", "size", "gid", "band", "n", "need")}
+        whole = {k: columns.get(k, pa.nulls(rows_out, ids if k == "id" else pa.int64())) for k in ("id", "sid", "sid2", "size", "gid", "step", "n", "need")}
         return pa.table(whole)
 
     if rows["bucket"][0].as_py() < 0:
         return table(rows.num_rows, **{k: rows[k] for k in ("id", "sid", "sid2", "size")})
-    names, sids, bands, needs = [], [], [], []
-    for packed, members, listed, least, band in zip(*(rows[k].to_pylist() for k in ("names", "members", "sids", "needs", "band")), strict=True):
+    names, sids, steps, needs = [], [], [], []
+    for packed, members, listed, least in zip(*(rows[k].to_pylist() for k in ("names", "members", "sids", "needs")), strict=True):
         wide = np.zeros((len(packed) // 5, 8), np.uint8)
         wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
         member = np.frombuffer(members, np.uint16 if len(members) == 2 * len(wide) else np.uint32)
         names.append(wide.view(np.uint64).ravel())
-        sids.append(np.frombuffer(listed, np.uint64)[member])
+        sids.append(np.frombuffer(listed, np.uint64)[member >> 1])
+        steps.append((member & 1).astype(np.int8))
         needs.append(np.frombuffer(least, np.uint32)[member])
-        bands.append(np.full(len(wide), band))
-    names, sids, bands, needs = map(np.concatenate, (names, sids, bands, needs))
-    order = np.lexsort((sids, names, bands))
-    names, sids, bands, needs = (x[order] for x in (names, sids, bands, needs))
-    new = np.ones(len(names), bool)
-    new[1:] = (names[1:] != names[:-1]) | (sids[1:] != sids[:-1]) | (bands[1:] != bands[:-1])
-    names, sids, bands, needs = (x[new] for x in (names, sids, bands, needs))
-    same = (names[1:] == names[:-1]) & (bands[1:] == bands[:-1])
+    names, sids, steps, needs = map(np.concatenate, (names, sids, steps, needs))
+    order = np.argsort(names, kind="stable")
+    names, sids, steps, needs = (x[order] for x in (names, sids, steps, needs))
+    same = names[1:] == names[:-1]
     shared = np.zeros(len(names), bool)
     shared[1:] |= same
     shared[:-1] |= same
-    names, sids, bands, needs = (x[shared] for x in (names, sids, bands, needs))
+    names, sids, steps, needs = (x[shared] for x in (names, sids, steps, needs))
+    # a class counts once in its group, and groups of one class are none
+    order = np.lexsort((sids, names))
+    names, sids, steps, needs = (x[order] for x in (names, sids, steps, needs))
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (sids[1:] != sids[:-1])
+    names, sids, steps, needs = (x[new] for x in (names, sids, steps, needs))
     if not len(names):
         return table(0)
-    first = np.concatenate(([True], (names[1:] != names[:-1]) | (bands[1:] != bands[:-1])))
-    group, first = np.cumsum(first) - 1, np.flatnonzero(first)
-    gid = mix(np.add.reduceat(mix(sids), first) + bands[first].astype(np.uint64))
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    held = np.diff(np.append(first, len(names)))
+    group = np.repeat(np.arange(len(first)), held)
+    gid = mix(np.add.reduceat(mix(sids ^ steps.astype(np.uint64)), first))
     _, index, count = np.unique(gid, return_index=True, return_counts=True)
     take = np.zeros(len(first), np.int64)
     take[index] = count
+    take[held < 2] = 0
     keep = take[group] > 0
     at = group[keep]
-    columns = {"sid": sids[keep].view(np.int64), "gid": gid[at].view(np.int64), "band": bands[keep], "n": take[at], "need": needs[keep].astype(np.int64)}
+    columns = {"sid": sids[keep].view(np.int64), "gid": gid[at].view(np.int64), "step": steps[keep].astype(np.int64), "n": take[at], "need": needs[keep].astype(np.int64)}
     return table(int(keep.sum()), **{k: pa.array(v) for k, v in columns.items()})
 
 
 def _enough(groups: DataFrame) -> DataFrame:
-    """Without the classes that share too few signatures, and the groups left with one class."""
-    kept = groups.groupBy("sid", "band").agg(F.sum("n").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("sid", "band")
-    left = groups.join(kept, ["sid", "band"], "left_semi")
+    """Without the classes that share too few signatures, with all others together, and the groups left with one class."""
+    kept = groups.groupBy("sid", "step").agg(F.sum("n").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("sid", "step")
+    left = groups.join(kept, ["sid", "step"], "left_semi")
     alive = left.groupBy("gid").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("gid")
     return left.join(alive, "gid", "left_semi")
 
 
-def _rarest(groups: DataFrame, bands: Bands) -> DataFrame:
-    """The rows by which a class can first meet a partner, and whether they are of its own band.
-
-    A partner shares `need` of the `total` signatures that the class has in a band, so in one order of all groups, small
-    ones first, the first shared group lies among the class's first total - need + 1: for both sides, as both use one order.
-    """
-    bands.of(np.array([2**31]))
-    ends = F.array(*(F.lit(x) for x in bands.hi))
-    own = F.size(F.filter(ends, lambda x: x < F.col("size"))) == F.col("band")
-    held = groups.groupBy("gid").agg(F.count("*").alias("held"))
-    of = Window.partitionBy("node", "band")
-    sums = groups.join(held, "gid").withColumn("total", F.sum("n").over(of)).withColumn("before", F.sum("n").over(of.orderBy("held", "gid").rowsBetween(Window.unboundedPreceding, -1)))
-    return sums.filter("coalesce(before, 0) <= total - need").withColumn("own", own).select("gid", "node", "root", "size", "cap", "own")
-
-
-def _capped(left: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Adds cap, the largest size that a partner can have, and leaves out classes that can have none.
-
-    Linked sets of sizes a, b share (a + b) t / (1 + t) elements at least, and a set shares only what some other open
-    class holds too. So what no other holds bounds the partner's size; copies with many edits of their own link with
-    nothing of about their size, and need not meet the rest of their group.
-    """
-    nodes = left.select("node", "size").distinct()
-    held = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    alone = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    cap = F.expr(f"(size - coalesce(alone, 0)) * {numerator + denominator} div {numerator} - size")
-    caps = nodes.join(alone, "node", "left").withColumn("cap", cap).filter(f"cap * {denominator} >= size * {numerator}").select("node", "cap")
-    return left.join(caps, "node")
-
-
-def _several(placed: DataFrame) -> DataFrame:
-    """The rows of groups that hold more than one component."""
-    open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
-    return placed.join(open_groups, "gid", "left_semi")
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles (sorted array) of the wanted nodes, which are ids of documents."""
 
@@ -342,27 +323,33 @@ def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("both"))
 
 
-def _all_links(groups: DataFrame, sets: DataFrame, numerator: int, denominator: int, block: int = 500) -> DataFrame:
-    """u, n_links: with how many other classes a class links, in both directions.
+def _pairs(nodes: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of different roots whose sets can link, by a prefix filter with positions.
 
-    Linked classes share a group, so all pairs of each group whose sizes allow a link are compared. A group of more than
-    `block` classes is cut into blocks, and each pair of blocks is joined by itself.
+    nodes: node, root, size, gids (their signature groups). Linked sets of sizes x, y share (x + y) t / (1 + t) elements
+    at least. In one order of all shingles, rare ones first, the first shingle they share has in both sets so many
+    elements from it on. Shingles that one class holds come first in it, and are counted only.
     """
-    held = groups.groupBy("gid").agg(F.countDistinct("node").alias("held"))
-    rows = groups.select("gid", "node", "size").distinct().join(held, "gid").withColumn("blocks", F.ceil(F.col("held") / block))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = rows.select("gid", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("size").alias("size_a"))
-    right = rows.select("gid", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-    fit = f"a < b AND size_a * {denominator} >= size_b * {numerator} AND size_b * {denominator} >= size_a * {numerator}"
-    pairs = left.join(right, ["gid", "i", "j"]).filter(fit).select("a", "b").distinct()
-    links = materialize(_decided(pairs, sets).filter(f"{denominator} * both >= {numerator} * (n_a + n_b - both)").select("a", "b"), "links")
-    return links.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(F.count("*").alias("n_links"))
+    rows = sets.join(nodes.select("node", "root", "size"), "node").select("node", "root", "size", F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("root").alias("x"), F.max("root").alias("y")).filter("often > 1")
+    mine = Window.partitionBy("node")
+    place = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("often", "shingle")) - 1
+    ranked = rows.join(often, "shingle").withColumn("rest", F.col("size") - place)
+    # how many elements a set must share with the smallest partner, and with partners of its size or more
+    prefix = materialize(ranked.filter(f"x <> y AND rest * {denominator} >= size * {numerator}").select("shingle", "node", "root", "size", "rest"), "prefix")
+    small = prefix.filter(f"rest * {numerator + denominator} >= 2 * {numerator} * size").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "rest")))
+    large = prefix.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "rest")))
+    fit = f"root_a <> root_b AND (size_a < size_b OR size_a = size_b AND node_a < node_b) AND size_b * {numerator} <= size_a * {denominator}"
+    reach = f"least(rest_a, rest_b) * {numerator + denominator} >= (size_a + size_b) * {numerator}"
+    met = small.join(large, "shingle").filter(f"{fit} AND {reach}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("gids").alias(f"gids_{c}"))
+    return met.join(of("a"), "a").join(of("b"), "b").filter(F.arrays_overlap("gids_a", "gids_b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denominator: int = 4, id_col: str = "doc_id", text_col: str = "text", links_too: bool = False) -> DataFrame:
     """Returns id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links);
-    with `links_too` also n_links (how many other classes its class links with), for which all candidate pairs are
-    compared. The components alone need far fewer comparisons."""
+    with `links_too` also n_links (how many other classes its class links with), for which all pairs that pass the filters
+    are decided. The components alone need far fewer comparisons."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     kind = source.schema["id"].dataType.simpleString()
@@ -370,56 +357,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     dealt = source.mapInArrow(_emit(words, (numerator, denominator), shuffle_partitions(spark)), DEALT.format(id=id_of))
     both = materialize(dealt.groupBy("bucket").applyInArrow(_groups, SORTED.format(id=id_of)), "signatures")
     rows = both.filter("gid is null").select("id", "sid", "sid2", "size")
-    classes = materialize(rows.filter("sid is not null").groupBy("sid", "sid2", "size").agg(F.min("id").alias("node")), "classes")
-    found = both.filter("gid is not null").groupBy("gid", "band", "sid").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    classes = materialize(rows.filter("sid is not null").groupBy("sid", "sid2", "size").agg(F.min("id").alias("node")).filter("node is not null"), "classes")
+    found = both.filter("gid is not null").groupBy("gid", "sid", "step").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     groups = materialize(_enough(_enough(found)).join(classes.select("sid", "node", "size"), "sid"), "groups")
 
     # first comparison: each class with the partner it shares most signatures with
-    t = f"{denominator} * both >= {numerator} * (n_a + n_b - both)"
+    linked = f"{denominator} * both >= {numerator} * (n_a + n_b - both)"
     hubs = groups.groupBy("gid").agg(F.min("node").alias("hub"))
     best = groups.join(hubs, "gid").filter("hub <> node").groupBy("node", "hub").agg(F.sum("n").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     sets = materialize(_sets_of(source.withColumnRenamed("id", "node"), groups.select("node").distinct(), words), "shingles")
-    first = materialize(_decided(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets), "first")
-    links = first.filter(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    first = materialize(_decided(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets).filter(linked), "first")
+    links = first.select(F.col("a").alias("u"), F.col("b").alias("v"))
     root = components(links)
 
-    # groups that hold several components still: classes against the roots of foreign components
+    # classes of groups that still hold several components
     placed = groups.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = materialize(_several(placed).select("gid", "band", "n", "need", "node", "root", "size"), "several")
-    capped = materialize(_several(_capped(several, sets, numerator, denominator)), "capped")
-    left = materialize(_rarest(capped, _bands(numerator, denominator)), "open")
-    roots = left.groupBy("gid", F.col("root").alias("other")).agg(F.min("size").alias("low"), F.max("cap").alias("high"), F.bool_or("own").alias("other_own"))
-    near = "low <= cap AND size <= high"
-    met = left.join(roots, "gid").filter("root <> other AND (own OR other_own)").filter(near)
-    foreign = materialize(met.select("node", "root", "other").distinct(), "foreign")
-    inner = left.filter("node <> root").select("node", "root").distinct()
-    both_ways = foreign.select("node", "other").unionByName(inner.withColumnRenamed("root", "other"))
-    ask = both_ways.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    asked = materialize(_decided(ask, sets).withColumn("far", 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))), "asked")
-    slack = 1 - numerator / denominator + 1e-9
-    away = asked.select(F.col("b").alias("node"), F.col("a").alias("other"), "far").unionByName(asked.select(F.col("a").alias("node"), F.col("b").alias("other"), "far"))
-    unsettled = foreign.join(away, ["node", "other"]).filter(F.col("far") > slack)
-    depth = left.select("node", "root").distinct().join(away.withColumnRenamed("other", "root"), ["node", "root"], "left").select(F.col("node").alias("y"), F.col("root").alias("other"), F.coalesce("far", F.when(F.col("node") == F.col("root"), 0.0).otherwise(1.0)).alias("deep"))
-    # most components are too shallow: their deepest member rules them out
-    deepest = depth.groupBy("other").agg(F.max("deep").alias("deepest"))
-    possible = unsettled.join(deepest, "other").filter(F.col("deepest") >= F.col("far") - slack).select("node", "other", "far")
-    x = left.join(possible, "node").select("gid", "other", "far", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("cap").alias("cap_a"), F.col("own").alias("own_a"))
-    y = left.join(depth.withColumnRenamed("y", "node"), "node").filter("node <> root").filter("root = other").select("gid", "other", "deep", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("cap").alias("cap_b"), F.col("own").alias("own_b"))
-    across = x.join(y, ["gid", "other"]).filter(F.col("deep") >= F.col("far") - slack).filter("size_a <= cap_b AND size_b <= cap_a").filter("own_a OR own_b")
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = first.select("a", "b").unionByName(asked.select("a", "b"))
-    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    second = materialize(_decided(pairs.join(done, ["a", "b"], "left_anti"), sets).unionByName(asked.select("a", "b", "n_a", "n_b", "both")), "second")
-    more = second.filter(t).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    all_links = links.unionByName(more)
+    several = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid")
+    still = placed.join(several, "gid", "left_semi").groupBy("node", "root", "size").agg(F.collect_set("gid").alias("gids"))
+    pairs = _pairs(materialize(still, "open"), sets, numerator, denominator)
+    more = materialize(_decided(pairs, sets).filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "second")
     if more.limit(1).count():
-        root = components(all_links)
+        root = components(links.unionByName(more))
 
     per_class = classes.join(root.withColumnRenamed("u", "node"), "node", "left")
     columns = ["sid", "sid2", "size", F.col("node").alias("class_id"), F.coalesce("root", "node").alias("component_id")]
     out = [F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")]
     if links_too:
-        per_class = per_class.join(_all_links(groups, sets, numerator, denominator).withColumnRenamed("u", "node"), "node", "left")
+        every = groups.groupBy("node", F.col("node").alias("root"), "size").agg(F.collect_set("gid").alias("gids"))
+        decided = _decided(_pairs(materialize(every, "every"), sets, numerator, denominator), sets).filter(linked)
+        n_links = decided.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        per_class = per_class.join(n_links, "node", "left")
         columns.append("n_links")
         out.insert(1, F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.join(per_class.select(*columns), ["sid", "sid2", "size"], "left").select("id", F.col("size").alias("n_shingles"), *out)
