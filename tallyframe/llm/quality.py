@@ -21,7 +21,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Flat, PieceCache, held_out, text_bytes
@@ -120,8 +120,9 @@ class Scorer:
         return [float(1 / (1 + np.exp(-(self.bias + (x.real / x.imag if x else 0.0))))) for x in totals]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
-    """Returns id (of key_col where given: a key of rows, while labels go by id_col), held_out, score (chance of label 1), predicted."""
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key: Column | None = None) -> DataFrame:
+    """Returns id (or `key` in its place, such as a struct of columns to pass through, while labels go by id_col), held_out,
+    score (chance of label 1), predicted."""
     adds, bias = fit(docs, labels, sample, id_col, text_col, label_col)
     model = docs.sparkSession.sparkContext.broadcast((adds, bias))  # a number for each hash bucket
 
@@ -133,5 +134,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, thresh
                 score = scorer.score([texts[i].tobytes().decode("utf-8", "replace") for i in range(lo, hi)])
                 yield pa.record_batch({"id": batch.column("id").slice(lo, hi - lo), "held_out": batch.column("held_out").slice(lo, hi - lo), "score": pa.array(score, pa.float64()), "predicted": pa.array([int(s >= threshold) for s in score], pa.int32())})
 
-    source = docs.select(F.col(key_col or id_col).alias("id"), held_out(id_col).alias("held_out"), text_bytes(text_col).alias("bytes"))
+    source = docs.select((F.col(id_col) if key is None else key).alias("id"), held_out(id_col).alias("held_out"), text_bytes(text_col).alias("bytes"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -29,7 +29,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Flat, shuffle_partitions, text_bytes
@@ -283,7 +283,15 @@ def _repeated(c: Cover, data: np.ndarray, known: dict) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def _cut(min_len: int):
+def _worth(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int, min_words: int) -> np.ndarray:
+    """Which spans are long enough: twice min_len bytes, or so many words (runs of bytes above the space)."""
+    inside = data > 32
+    begins = np.concatenate(([0], np.cumsum(inside & ~np.concatenate(([False], inside[:-1])))))
+    words = begins[ends] - begins[starts] + (inside[starts] & (begins[starts + 1] == begins[starts]))
+    return (ends - starts >= 2 * min_len) | (words >= min_words)
+
+
+def _cut(min_len: int, min_words: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         c, texts, known = _cover(min_len), Flat(docs["bytes"]), _known(found)
         sizes, starts, ends, kept = [], [], [], []
@@ -291,6 +299,11 @@ def _cut(min_len: int):
             data = texts[i]
             gone = c.marks(_repeated(c, data, known), 0, min_len - 1, len(data))
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False]))))
+            if min_words and len(edge):
+                edge = edge.reshape(-1, 2)[_worth(data, edge[::2], edge[1::2], min_len, min_words)].ravel()
+                step = np.zeros(len(data) + 1, np.int8)
+                step[edge[::2]], step[edge[1::2]] = 1, -1
+                gone = np.cumsum(step)[:-1] > 0
             sizes.append(len(data))
             starts.append(edge[::2])
             ends.append(edge[1::2])
@@ -301,19 +314,20 @@ def _cut(min_len: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_bytes, starts and ends (arrays: the maximal byte spans removed), kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, min_words: int = 0) -> DataFrame:
+    """Returns id (or `key` in its place, such as a struct of columns to pass through), n_bytes, starts and ends (arrays: the maximal byte spans removed), kept (the remaining bytes).
+    With `min_words`, a span of fewer words stays, unless it has twice `min_len` bytes or more.
 
     The number of chunks and suffix buckets follows spark.sql.shuffle.partitions, which the cluster sizes to its input.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     buckets, chunks = max(1, 2 * parts // 3), 2 * parts
-    source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
-    chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(parts, "chunk")
+    source = docs.select((F.col(id_col) if key is None else key).alias("id"), text_bytes(text_col).alias("bytes"))
+    chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id", "bytes"), F.lit(chunks))).repartition(parts, "chunk")
     by_chunk = lambda df: df.groupBy("chunk")
     found = by_chunk(chunked).applyInArrow(_emit_samples(min_len, buckets), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
     for tag in (SILENT, SUFFIX):
         found = by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_emit_next(min_len, buckets, tag), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
     id_type = source.schema["id"].dataType.simpleString()
-    return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_cut(min_len), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_cut(min_len, min_words), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary")

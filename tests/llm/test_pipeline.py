@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -7,7 +8,8 @@ from test_jaccard_join import brute as grouped
 from tallyframe.llm.quality import score_quality
 
 
-def cut(texts, k=400):
+def cut(texts, k=200, words=51):
+    """Runs of repeated strings of k bytes go if they have so many words, or twice the bytes."""
     seen = Counter(t[i : i + k] for t in texts.values() for i in range(len(t) - k + 1))
     out = {}
     for d, t in texts.items():
@@ -15,6 +17,9 @@ def cut(texts, k=400):
         for i in range(len(t) - k + 1):
             if seen[t[i : i + k]] > 1:
                 gone[i : i + k] = b"\1" * k
+        for run in re.finditer(b"\x01+", bytes(gone)):
+            if run.end() - run.start() < 2 * k and len(re.findall(rb"[^\x00-\x20]+", t[run.start() : run.end()])) < words:
+                gone[run.start() : run.end()] = bytes(run.end() - run.start())
         out[d] = bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore")
     return out
 
@@ -88,3 +93,39 @@ def test_quality_rejects_some(spark, tmp_path):
     now = {r["doc_id"] for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
     assert now == set(range(1, 120, 2))
     assert signature(score_quality).parameters["sample"].default == 5000
+
+
+def test_edge_tables(spark, tmp_path):
+    """Empty tables, null and empty texts, a very long text, and columns with clashing names, through every stage."""
+    sf = "/root/testdata/sf0.001"
+    long = " ".join(f"w{i * 7919 % 99991}" for i in range(25_000))
+    rows = [(1, None), (2, ""), (None, None), (None, None), (3, long), (4, long), (5, " \n ")]
+    wide = "doc_id long, text string, lang string, source string, n_chars long, id int, row int, bytes int, bucket int, chunk int, size int, node int, words int, key int, start int, length int"
+    for name, some in (("none", []), ("some", rows)):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame([(d, t, None, None, None if t is None else len(t), *[7] * 11) for d, t in some], wide).write.parquet(at)
+        for stage in (corpus_pipeline.near_duplicate, corpus_pipeline.repeats, corpus_pipeline.decontaminate):
+            out = stage(spark, spark.read.parquet(at), sf)
+            got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            want = Counter(some)
+            if stage is corpus_pipeline.near_duplicate:
+                want -= Counter([(4, long)])
+            if stage is corpus_pipeline.repeats:
+                want = Counter((d, "" if t == long else t) for d, t in some)
+            assert got == want, stage
+        scored = corpus_pipeline.quality(spark, spark.read.parquet(at), sf)
+        assert scored.columns == list(corpus_pipeline.COLUMNS) and Counter((r["doc_id"], r["text"]) for r in scored.collect()) <= Counter(some)
+        packed = corpus_pipeline.packing(spark, spark.read.parquet(at), sf).collect()
+        assert sum(r["start"] == 0 for r in packed) == len(some)
+
+
+def test_passage_of_51_short_words(spark, tmp_path):
+    word = lambda k, n: [f"{'abcdefghijk'[i % 11]}{(k * 31 + i * 17) % 997}" for i in range(n)]
+    shared, short = word(1, 51), word(2, 40)
+    texts = {1: word(3, 30) + shared + word(4, 9), 2: shared + word(5, 30), 3: word(6, 9) + short, 4: short + word(7, 11)}
+    rows = [(d, " ".join(w), "en", "s", 0) for d, w in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/p")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats(spark, spark.read.parquet(f"{tmp_path}/p"), "").collect()}
+    assert len(" ".join(shared)) < 260
+    assert not any(" ".join(shared[5:-5]) in got[d] for d in (1, 2)) and got[3] == rows[2][1] and got[4] == rows[3][1]
