@@ -23,11 +23,12 @@ def amounts(text: Column) -> Column:
 
 
 def parse_amount(token: Column) -> Column:
-    """Exact amount: commas dropped, minus signs unified, brackets negative; brackets around a sign are an error (null)."""
+    """Exact amount with up to ten decimals: commas dropped, minus signs unified, brackets negative; brackets around a sign are
+    an error (null), as is anything that is no number."""
     signed = F.regexp_replace(F.translate(F.trim(token), ",，", ""), "[−－]", "-")
-    inner = F.regexp_extract(signed, r"^[(（](.*)[)）]$", 1)
+    inner = F.regexp_extract(signed, r"^[(（]\s*(.*?)\s*[)）]$", 1)
     value = F.when(inner.startswith("-"), None).when(inner != "", F.concat(F.lit("-"), inner)).otherwise(signed)
-    return F.when(value.rlike(r"^-?[0-9]+(\.[0-9]{1,2})?$"), value.try_cast("decimal(20,2)"))
+    return F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), value.try_cast("decimal(30,10)"))
 
 
 def evidence_id(prefix: str, *material: Column) -> Column:

@@ -191,7 +191,7 @@ def amount_parse(spark, sf_dir):
     token = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
     shown = F.expr("o_orderkey % 3")
     written = F.when(shown == 1, F.concat(F.lit("("), token, F.lit(")"))).when(shown == 2, F.concat(F.lit("(-"), token, F.lit(")"))).otherwise(token)
-    return read(spark, sf_dir, "orders").select("o_orderkey", T.parse_amount(written).alias("amount"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.parse_amount(written).cast("decimal(20,2)").alias("amount"))
 
 
 SCORE = "4 * contains(lower(text), 'cash')::INT + 3 * contains(text, 'the')::INT + 2 * (contains(text, 'of') AND contains(text, 'is'))::INT + contains(text, 'and')::INT"
@@ -249,7 +249,11 @@ def claim_text_render(spark, sf_dir):
     return usable.select("entity", "metric", "year", F.concat("metric", F.lit(" of "), F.col("entity").cast("string"), F.lit(" in "), F.col("year").cast("string"), F.lit(" is "), F.col("cur_value").cast("string"), F.lit(" CNY")).alias("claim"))
 
 
-@registered(PAIRS + "SELECT entity, metric, year, entity % 4 <> 1 AS agrees FROM ladder WHERE pair_status = 'succeeded'")
+@registered(
+    PAIRS
+    + """SELECT l.entity, l.metric, l.year, (CASE WHEN l.entity % 4 = 1 THEN l.c - l.p + 1 ELSE l.c - l.p END) = now.value - before.value AS agrees
+ FROM ladder l JOIN facts now ON now.entity = l.entity AND now.metric = l.metric AND now.y = l.year JOIN facts before ON before.entity = l.entity AND before.metric = l.metric AND before.y = l.year - 1 WHERE pair_status = 'succeeded'"""
+)
 def independent_recompute(spark, sf_dir):
     """Differences, some with an injected error, against amounts read again from the facts and not from the producer."""
     told = changes.annual_changes(_pairs(spark, sf_dir)).filter("pair_status = 'succeeded'").withColumn("told", F.expr("CASE WHEN entity % 4 = 1 THEN difference + 1 ELSE difference END"))
@@ -278,6 +282,13 @@ def dedupe_first_seen(spark, sf_dir):
     return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
+_LINES_OF = "t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)"
+_FITS = "used + length(lines[i + 1]) <= 900 AND n < 4"
+
+
+@registered(f"""WITH RECURSIVE {_LINES_OF}, f(doc_id, lines, i, used, n) AS (SELECT doc_id, lines, 0, 0, 0 FROM t
+  UNION ALL SELECT doc_id, lines, i + 1, CAST(CASE WHEN {_FITS} THEN used + length(lines[i + 1]) ELSE used END AS INTEGER), CASE WHEN {_FITS} THEN n + 1 ELSE n END FROM f WHERE i < len(lines))
+SELECT doc_id, CASE WHEN lines IS NOT NULL THEN used END AS used, CASE WHEN lines IS NOT NULL THEN n END AS n FROM f WHERE lines IS NULL OR i = len(lines)""")
 def greedy_snippets(spark, sf_dir):
     """Lines in order while they fit a budget of characters; a line that does not fit is skipped and the scan goes on."""
     d = read(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("lines"))
@@ -286,9 +297,6 @@ def greedy_snippets(spark, sf_dir):
     return d.select("doc_id", F.aggregate("lines", start, step).alias("r")).select("doc_id", "r.used", "r.n")
 
 
-QUERIES["greedy_snippets"] = greedy_snippets
-
-
 LINES = "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), "
 
 
@@ -320,8 +328,9 @@ def same_band_words(spark, sf_dir):
 
 @registered(
     PAIRS
-    + """SELECT entity, metric, year, CASE WHEN entity % 3 = 2 THEN CASE WHEN year % 2 = 0 THEN 'interpretation' ELSE 'rejected' END
- WHEN entity % 5 = 0 THEN 'text_mismatch' WHEN entity % 7 = 0 THEN 'evidence_mismatch' ELSE 'verified' END AS status FROM usable"""
+    + """, claims AS (SELECT *, concat_ws(' ', metric, entity, year, c) AS exact, [metric || '-' || year, metric || '-' || (year - 1)] AS evidence, year % 2 = 0 AS others FROM usable),
+told AS (SELECT *, CASE WHEN entity % 5 = 0 THEN exact || '0' ELSE exact END AS told, CASE WHEN entity % 7 = 0 THEN evidence[1:1] ELSE list_reverse(evidence) END AS cited, CASE WHEN entity % 3 = 2 THEN 'inference' ELSE 'fact' END AS kind FROM claims)
+SELECT entity, metric, year, CASE WHEN kind = 'inference' THEN CASE WHEN others THEN 'interpretation' ELSE 'rejected' END WHEN told <> exact THEN 'text_mismatch' WHEN list_sort(cited) <> list_sort(evidence) THEN 'evidence_mismatch' ELSE 'verified' END AS status FROM told"""
 )
 def claim_check(spark, sf_dir):
     """Claims, some with an injected error. A claim of fact must have the exact text and the exact set of evidence; an
@@ -340,9 +349,14 @@ def claim_check(spark, sf_dir):
     return claims.select("entity", "metric", "year", F.when(F.col("kind") == "inference", as_inference).otherwise(as_fact).alias("status"))
 
 
+_OPENED = "(length(regexp_replace(lines[i + 1], '[^(（]', '', 'g')) - length(regexp_replace(lines[i + 1], '[^)）]', '', 'g')))"
+_ENDS = f"(amount OR regexp_matches(lines[i + 1], '{T.AMOUNT}')) AND depth + {_OPENED} = 0"
+
+
+@registered(f"""WITH RECURSIVE {_LINES_OF}, f(doc_id, lines, i, n, longest, held, amount, depth) AS (SELECT doc_id, lines, 0, 0, 0, 0, false, 0::BIGINT FROM t
+  UNION ALL SELECT doc_id, lines, i + 1, n + ({_ENDS})::INT, greatest(longest, held + 1), CASE WHEN {_ENDS} THEN 0 ELSE held + 1 END,
+    (amount OR regexp_matches(lines[i + 1], '{T.AMOUNT}')) AND NOT ({_ENDS}), CASE WHEN {_ENDS} THEN 0 ELSE depth + {_OPENED} END FROM f WHERE i < len(lines))
+SELECT doc_id, CASE WHEN lines IS NOT NULL THEN n + (held > 0)::INT END AS rows, CASE WHEN lines IS NOT NULL THEN longest END AS longest FROM f WHERE lines IS NULL OR i = len(lines)""")
 def row_assembly_fold(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", ordered.assembled(T.lines(F.col("text"))).alias("r"))
     return d.select("doc_id", "r.rows", "r.longest")
-
-
-QUERIES["row_assembly_fold"] = row_assembly_fold

@@ -10,7 +10,7 @@ import __spark_entry__
 from tallyframe.functions.text import lines, parse_amount
 from tallyframe.operators import changes, rules
 from tallyframe.operators.ordered import assembled, section
-from tallyframe.plans import catalog
+from tallyframe.plans import catalog, report_catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,9 +85,9 @@ def test_rules_at_their_boundaries(spark, revenue, third, total):
 
 
 def test_amounts(spark):
-    df = spark.createDataFrame([(t,) for t in ("1,234.50", "(5.00)", "(-5.00)", "−7", "（3，000）", "x", "1.005", None)], "t string")
+    df = spark.createDataFrame([(t,) for t in ("1,234.50", "(5.00)", "(-5.00)", "−7", "（3，000）", "x", "1.005", "( 2.50 )", None)], "t string")
     got = [r[0] for r in df.select(parse_amount(df["t"])).collect()]
-    assert got == [Decimal("1234.50"), Decimal("-5.00"), None, Decimal("-7.00"), Decimal("-3000.00"), None, None, None]
+    assert got == [Decimal("1234.50"), Decimal("-5.00"), None, Decimal("-7.00"), Decimal("-3000.00"), None, Decimal("1.005"), Decimal("-2.50"), None]
 
 
 def test_rows_assembled_with_state(spark):
