@@ -86,9 +86,9 @@ def test_positions(spark):
     assert {r["k"]: r["y"] for r in positions.nearest(left, "k", "x", right, "y", 1.0).collect()} == {1: -1.0, 2: 1.0, 3: -1.0, 4: None, 5: None}
     assert positions.within(left, "x", right, "y", 0.5).count() == 3
     assert positions.within(left, "x", right.limit(0), "y", 0.5).count() == 0
-    values = [([3.0, 0.0, 2.5, 2.6, 5.2], 2), ([], 0), ([1.0, 1.0], 1)]
+    values = [([3.0, 0.0, 2.5, 2.6, 5.2], 3), ([], 0), ([1.0, 1.0], 1)]
     df = spark.createDataFrame(values, "v array<double>, n int")
-    assert [r[0] for r in df.select(positions.clusters(F.col("v"), 2.5)).collect()] == [2, 0, 1]
+    assert [r[0] for r in df.select(positions.clusters(F.col("v"), 2.5)).collect()] == [3, 0, 1]
     words = spark.createDataFrame([(["a", "b", "c"],), ([],), (["z"],)], "w array<string>")
     assert [r[0] for r in words.select(positions.longest_fragment(F.col("w"), "xbcy")).collect()] == ["bc", "", ""]
     lengths = spark.createDataFrame([([5, 9, 3, 1, 1],), ([],)], "v array<int>")
