@@ -1,16 +1,27 @@
 """Masked pseudo-likelihood: every token of a document is predicted from the words on both sides of it.
 
-The vocabulary are the `vocabulary` most frequent words of the corpus, from counts over all documents; all other words are
-one class of rare words. Words are cut by frequency into classes of about equal mass. A small network sees two words to the
-left and two to the right (the masked word itself is hidden), each with an embedding and a scale for its place, and gives
-a softmax over the classes; a word's probability is its class's times its share of the class (of rare words, one over
-their number of kinds). A document's score is the sum of the log-probabilities of its tokens.
-
-The network is trained in numpy by stochastic gradient descent on every position of every document (`stride` 1): each task
-trains a copy on its own documents, and the copies are averaged by the number of windows they saw.
-
-Defined cases: null, empty and blank texts have 0 tokens and log-probability 0; repeated rows count each; an empty table
-gives an empty result; other columns are not read.
+Two parts give a token's probability, both made from the whole corpus:
+
+1. *A window network.* It sees two words to the left and two to the right (the masked word itself is hidden), each with an
+   embedding and a scale for its place, and gives a softmax over classes of words; a word's probability is its class's times
+   its share of the class. Classes go by shape (initial capital, final punctuation) and frequency, about equal in mass. The
+   `vocabulary` most frequent words have embeddings and shares of their own; of the others, words of one shape are one class,
+   in which each kind that the corpus has is as likely as any. The network is trained in numpy by stochastic gradient descent
+   on every position of every document: each task trains a copy on its own documents, and the copies are averaged by the
+   number of windows they saw, first in groups of tasks and then over the groups.
+2. *Counts of two-sided contexts*, which grow with the corpus. How often does the pair of words around a token occur
+   elsewhere, and how often with this token? With counts M and m, both without the token itself, its probability is
+   (m + P) / (M + 1): the network's P is the prior that the corpus updates.
+
+A document's score is the sum of the log-probabilities of its tokens.
+
+For the counts, documents are dealt to chunks. A chunk sends each distinct (context, token) once with its count, by ranges
+of a 48-bit context hash; a bucket sums them and answers each chunk in the order of its names. So a context of a third of
+all documents costs one entry per chunk and token.
+
+Defined cases: tokens are runs without ASCII white space; null, empty and blank texts have 0 tokens and log-probability 0;
+repeated rows count each; rows with equal or null ids are scored one by one; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,53 +31,72 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Flat, materialize, text_bytes
+from tallyframe.llm.common import Flat, materialize, shuffle_partitions, text_bytes
+from tallyframe.llm.jaccard_join import BLANK
+from tallyframe.llm.rolling import Rolling, mix
 
 OFFSETS = (-2, -1, 1, 2)
+SHAPES = 4
+#: Counts up to this are told exactly, larger ones by their logarithm.
+EXACT = 128
+COUNTS = np.concatenate((np.arange(EXACT), EXACT * 2 ** (np.arange(256 - EXACT) / 4)))
+
+
+def shape_of(word: bytes) -> int:
+    text = word.decode("utf-8", "replace")
+    return text[0].isupper() + 2 * (not text[-1].isalnum())
 
 
 class Ids(dict):
-    """Word numbers; unknown words are the one after the last, and are not kept."""
+    """Word numbers; unknown words have the number of their shape after the last, and are not kept."""
 
-    def __missing__(self, word: str) -> int:
-        return len(self)
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + shape_of(word)
 
 
 def word_counts(source: DataFrame) -> DataFrame:
-    """word, n over all rows of a frame with a column bytes."""
+    """word, shape, n over all rows of a frame with a column bytes."""
 
     def run(batches):
         found: Counter = Counter()
-        flush = lambda: pa.record_batch({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+        def flush():
+            words = list(found)
+            return pa.record_batch({"word": pa.array(words, pa.binary()), "shape": pa.array(map(shape_of, words), pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+
         for batch in batches:
             texts = Flat(batch.column("bytes"))
             for i in range(len(texts)):
-                found.update(texts[i].tobytes().decode("utf-8", "replace").lower().split())
+                found.update(texts[i].tobytes().split())
                 if len(found) > 400_000:
                     yield flush()
                     found.clear()
         yield flush()
 
-    return source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(run, "word binary, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def classes_of(counts: np.ndarray, n_classes: int) -> np.ndarray:
-    """Class of each word, by descending frequency, so that classes have about equal mass."""
-    mass = np.cumsum(counts) - counts / 2
-    return np.minimum((mass / max(counts.sum(), 1) * n_classes).astype(np.int64), n_classes - 1)
+def classes_of(counts: np.ndarray, shapes: np.ndarray, n_classes: int) -> np.ndarray:
+    """Class of each word: by shape, then by descending frequency, so that classes have about equal mass."""
+    order = np.lexsort((-counts, shapes))
+    mass = np.cumsum(counts[order]) - counts[order] / 2
+    out = np.zeros(len(counts), np.int64)
+    out[order] = np.minimum((mass / max(counts.sum(), 1) * n_classes).astype(np.int64), n_classes - 1)
+    return out
 
 
 class Model:
-    """vectors: vocabulary, rare, and padding; scales: one a place; layer: to the classes and that of rare words."""
+    """vectors: vocabulary, rare ones by shape, and padding; scales: one a place; layer: to the classes and those of rare words."""
 
     def __init__(self, words: int, n_classes: int, dim: int):
         rng = np.random.default_rng(8)
-        self.vectors = rng.normal(0, 0.1, (words + 2, dim)).astype(np.float32)
+        self.vectors = rng.normal(0, 0.1, (words + SHAPES + 1, dim)).astype(np.float32)
         self.scales = np.ones((len(OFFSETS), dim), np.float32)
-        self.layer = rng.normal(0, 0.1, (dim + 1, n_classes + 1)).astype(np.float32)
+        self.layer = rng.normal(0, 0.1, (dim + 1, n_classes + SHAPES)).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
         return [self.vectors, self.scales, self.layer]
@@ -80,29 +110,38 @@ class Model:
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def logits(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.tanh(sum(self.vectors[context[:, o]] * self.scales[o] for o in range(len(OFFSETS))))
-        return hidden, hidden @ self.layer[:-1] + self.layer[-1]
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        """near: (place, position, dim)."""
+        total = near[0] * self.scales[0]
+        for o in range(1, len(OFFSETS)):
+            total += near[o] * self.scales[o]
+        return np.tanh(total, out=total)
+
+    def logits(self, context: np.ndarray) -> np.ndarray:
+        """(class, position): sums over classes run along whole rows."""
+        hidden = self.hidden(self.vectors.take(context.T, axis=0))
+        return self.layer[:-1].T @ hidden.T + self.layer[-1][:, None]
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         n, dim = len(context), self.vectors.shape[1]
-        near = self.vectors[context.T]
-        hidden = np.tanh((near * self.scales[:, None]).sum(axis=0))
-        p = hidden @ self.layer[:-1] + self.layer[-1]
-        p -= p.max(axis=1, keepdims=True)
+        places = np.array(context.T, order="C")
+        near = self.vectors.take(places, axis=0)
+        hidden = self.hidden(near)
+        p = self.layer[:-1].T @ hidden.T
+        p += self.layer[-1][:, None]
+        p -= p.max(axis=0)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        back = (p @ self.layer[:-1].T) * (1 - hidden**2)
-        mean = np.full(n, rate / n, np.float32)
+        p /= p.sum(axis=0)
+        p[target, np.arange(n)] -= 1
+        back = (self.layer[:-1] @ p).T * (1 - hidden**2)
         pull = back * (self.scales * np.float32(-rate / 16))[:, None]
         near *= back
-        self.layer[:-1] -= (rate / n * hidden).T @ p
-        self.layer[-1] -= mean @ p
-        self.scales -= mean @ near
+        self.layer[:-1] -= hidden.T @ p.T * np.float32(rate / n)
+        self.layer[-1] -= p.sum(axis=1) * np.float32(rate / n)
+        self.scales -= near.sum(axis=1) * np.float32(rate / n)
         # one-dimensional indices, which numpy adds at much faster
-        at = context.T[:, :, None] * dim + np.arange(dim)
-        np.add.at(self.vectors.reshape(-1), at.ravel(), pull.ravel())
+        places *= dim
+        np.add.at(self.vectors.reshape(-1), (places[:, :, None] + np.arange(dim)).ravel(), pull.ravel())
 
 
 def contexts(ids: np.ndarray, edge: np.ndarray, pad: int) -> np.ndarray:
@@ -117,93 +156,199 @@ def contexts(ids: np.ndarray, edge: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def positions(edge: np.ndarray, stride: int = 1) -> np.ndarray:
-    """The positions trained on: every `stride`-th of each document."""
-    if stride == 1:
-        return np.arange(edge[0], edge[-1])
-    first = edge[:-1] + (np.diff(edge) * 7919) % stride
-    return np.concatenate([np.arange(a, b, stride) for a, b in zip(first, edge[1:], strict=True)]).astype(np.int64)
-
-
-def numbered(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.lower().split() for t in texts]
+def numbered(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
+    words = [t.split() for t in texts]
     edge = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
     return np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(edge[-1])), edge
 
 
 def gather(source: DataFrame, vocabulary: int, n_classes: int) -> dict:
-    """What the corpus tells: the vocabulary with classes and shares, and the numbers of rare words."""
+    """What the corpus tells: the vocabulary with classes and shares, and the numbers of rare words by shape."""
     counts = materialize(word_counts(source), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    words, n = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.float64)
-    kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    of = np.append(classes_of(n, n_classes), n_classes)
-    mass = np.bincount(of[:-1], n, n_classes)
-    share = np.append(np.log(n / np.maximum(mass[of[:-1]], 1)), -np.log(max(kinds - len(words), 1)))
-    return {"words": words, "class": of, "share": share, "total": total}
-
-
-def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, stride: int = 1, rate: float = 0.5, batch_size: int = 256, blocks: int = 32) -> np.ndarray:
+    words, n, shapes = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.float64), np.array(top["shape"].to_pylist(), np.int64)
+    kinds = np.zeros(SHAPES)
+    for shape, count in counts.groupBy("shape").agg(F.count("*")).collect():
+        kinds[shape] = count
+    rare = np.maximum(kinds - np.bincount(shapes, minlength=SHAPES), 1)
+    of = np.concatenate((classes_of(n, shapes, n_classes), n_classes + np.arange(SHAPES)))
+    mass = np.bincount(of[: len(n)], n, n_classes)
+    share = np.concatenate((np.log(n / np.maximum(mass[of[: len(n)]], 1)), -np.log(rare)))
+    return {"words": words, "class": of, "share": share}
+
+
+def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, rate: float = 0.5, batch_size: int = 256, blocks: int = 32) -> np.ndarray:
     start = Model(len(corpus["words"]), n_classes, dim).flat()
-    told = source.sparkSession.sparkContext.broadcast(corpus)
+    told = source.sparkSession.sparkContext.broadcast(corpus)  # bounded by the vocabulary
 
     def run(batches):
         know, ids = told.value, Ids((w, i) for i, w in enumerate(told.value["words"]))
-        model, seen, pad = Model(len(ids), n_classes, dim), 0, len(ids) + 1
+        model, seen, pad = Model(len(ids), n_classes, dim), 0, len(ids) + SHAPES
         for batch in batches:
             texts = Flat(batch.column("bytes"))
             for lo, hi in texts.runs(1 << 20):
-                words, edge = numbered([texts[i].tobytes().decode("utf-8", "replace") for i in range(lo, hi)], ids)
-                at = positions(edge, stride)
-                around, target = contexts(words, edge, pad)[at], know["class"][words[at]]
-                mixed = np.random.default_rng(len(at)).permutation(len(at))
-                for k in range(0, len(at), batch_size):
+                words, edge = numbered([texts[i].tobytes() for i in range(lo, hi)], ids)
+                around, target = contexts(words, edge, pad), know["class"][words]
+                mixed = np.random.default_rng(len(words)).permutation(len(words))
+                for k in range(0, len(words), batch_size):
                     some = mixed[k : k + batch_size]
                     model.step(around[some], target[some], rate / (1 + seen / 200_000))
                     seen += len(some)
         if seen:
-            parts = np.array_split(model.flat(), blocks)
-            yield pa.record_batch({"block": pa.array(range(blocks), pa.int32()), "seen": pa.array([seen] * blocks, pa.int64()), "part": pa.array([p.tobytes() for p in parts], pa.binary())})
+            parts, team = np.array_split(model.flat(), blocks), TaskContext.get().partitionId() // 256
+            yield pa.record_batch({"block": pa.array(range(blocks), pa.int32()), "team": pa.array([team] * blocks, pa.int32()), "seen": pa.array([seen] * blocks, pa.int64()), "part": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def mean(rows: pa.Table) -> pa.Table:
         total, n = 0.0, 0
         for seen, part in zip(rows["seen"].to_pylist(), rows["part"].to_pylist(), strict=True):
             total, n = total + seen * np.frombuffer(part, np.float32).astype(np.float64), n + seen
-        return pa.table({"block": rows["block"].slice(0, 1), "part": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"block": rows["block"].slice(0, 1), "seen": pa.array([n], pa.int64()), "part": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
-    parts = source.mapInArrow(run, "block int, seen long, part binary").groupBy("block").applyInArrow(mean, "block int, part binary").collect()
+    copies = source.mapInArrow(run, "block int, team int, seen long, part binary")
+    teams = copies.groupBy("block", "team").applyInArrow(mean, "block int, seen long, part binary")
+    parts = teams.groupBy("block").applyInArrow(mean, "block int, seen long, part binary").collect()
     return np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(parts, key=lambda r: r["block"])]) if parts else start
 
 
 def token_scores(model: Model, corpus: dict, words: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Log-probability of every token given its neighbours."""
-    around, out = contexts(words, edge, len(corpus["words"]) + 1), np.zeros(len(words))
+    """The network's log-probability of every token given its neighbours."""
+    around, out = contexts(words, edge, len(corpus["words"]) + SHAPES), np.zeros(len(words))
     for lo in range(0, len(words), 1024):
         some = words[lo : lo + 1024]
-        _, z = model.logits(around[lo : lo + 1024])
-        top = z.max(axis=1)
-        log_sum = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-        out[lo : lo + 1024] = z[np.arange(len(some)), corpus["class"][some]].astype(np.float64) - log_sum + corpus["share"][some]
+        z = model.logits(around[lo : lo + 1024])
+        picked = z[corpus["class"][some], np.arange(len(some))]
+        top = z.max(axis=0)
+        z -= top
+        out[lo : lo + 1024] = picked.astype(np.float64) - top - np.log(np.exp(z, out=z).sum(axis=0)) + corpus["share"][some]
     return out
 
 
-def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int = 64, dim: int = 16, stride: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_tokens, log_prob, mean_log_prob (0 without tokens)."""
+_ROLL = Rolling(81)
+
+
+def pair_names(texts: Flat, lo: int, hi: int) -> np.ndarray:
+    """One 64-bit name for each token of rows lo to hi: 48 bits of the words on both sides, 16 of the token."""
+    base = int(texts.offsets[lo])
+    data = texts.data[base : int(texts.offsets[hi])]
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[texts.offsets[lo : hi + 1].astype(np.int64) - base] = True
+    inside = ~BLANK[data]
+    starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | cut[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | cut[1:])) + 1
+    word = _ROLL.at(_ROLL.prefix(data), starts, ends)
+    row = np.searchsorted(texts.offsets[lo : hi + 1].astype(np.int64) - base, starts, "right")
+    same = row[1:] == row[:-1]
+    left, right = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
+    left[1:][same] = word[:-1][same]
+    right[:-1][same] = word[1:][same]
+    around = mix(left * np.uint64(0x9E3779B97F4A7C15) + right + np.uint64(1))
+    return (around & ~np.uint64(0xFFFF)) | (word >> np.uint64(48))
+
+
+def chunk_names(texts: Flat) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The names of a chunk's tokens by run of rows, and the distinct ones in order with their counts."""
+    runs = [pair_names(texts, lo, hi) for lo, hi in texts.runs(2 << 20)]
+    return runs, *np.unique(np.concatenate(runs or [np.zeros(0, np.uint64)]), return_counts=True)
+
+
+def _edges(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins: buckets are equal ranges of the upper half of the names."""
+    return np.searchsorted(((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _planes(names: np.ndarray) -> bytes:
+    """Sorted names byte by byte, which compresses: the upper bytes hardly change."""
+    return np.ascontiguousarray(names.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _tell(buckets: int):
+    def run(docs: pa.Table) -> pa.Table:
+        _, names, counts = chunk_names(Flat(docs["bytes"]))
+        edge, out = _edges(names, buckets), []
+        for b in np.flatnonzero(np.diff(edge)):
+            part, n = names[edge[b] : edge[b + 1]], counts[edge[b] : edge[b + 1]]
+            many = np.flatnonzero(n > 1)
+            out.append((int(b), docs["chunk"][0].as_py(), _planes(part), many.astype(np.uint32).tobytes(), n[many].astype(np.int64).tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (("bucket", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary()), ("many", pa.binary()), ("counts", pa.binary()))
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds, columns, strict=True)})
+
+    return run
+
+
+def quantized(counts: np.ndarray) -> np.ndarray:
+    big = EXACT + np.round(4 * np.log2(np.maximum(counts, EXACT) / EXACT))
+    return np.where(counts < EXACT, counts, np.minimum(big, 255)).astype(np.uint8)
+
+
+def _count(rows: pa.Table) -> pa.Table:
+    """For each chunk, how often its names and their contexts occur in the corpus, in the chunk's order."""
+    names, counts = [], []
+    for planes, many, n in zip(*(rows[k].to_pylist() for k in ("names", "many", "counts")), strict=True):
+        own = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+        count = np.ones(len(own), np.int64)
+        count[np.frombuffer(many, np.uint32)] = np.frombuffer(n, np.int64)
+        names.append(own)
+        counts.append(count)
+    sizes = [len(x) for x in names]
+    every = np.concatenate(names)
+    order = np.argsort(every, kind="stable")
+    ordered, count = every[order], np.concatenate(counts)[order]
+    out = []
+    for key in (ordered, ordered >> np.uint64(16)):
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        totals = np.empty(len(key), np.uint8)
+        totals[order] = quantized(np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(key)))))
+        out.append(np.split(totals, np.cumsum(sizes)[:-1]))
+    told = [pa.array([x.tobytes() for x in part], pa.binary()) for part in out]
+    return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "here": told[0], "context": told[1]})
+
+
+def elsewhere(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of each distinct name of a chunk, and of its context, besides the token itself."""
+    at = np.argsort(found["bucket"].to_numpy(), kind="stable")
+    whole = (np.frombuffer(b"".join(found[k].to_pylist()[i] for i in at), np.uint8) for k in ("here", "context"))
+    here, context = (COUNTS[x] - 1 for x in whole)
+    if len(here) != n:
+        raise ValueError("a chunk got answers for other names than it sent")
+    return here, context
+
+
+def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int = 64, dim: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns id, n_tokens, log_prob, mean_log_prob (0 without tokens), seen (share of tokens whose context occurs elsewhere
+    with the same token)."""
+    spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     corpus = gather(source.select("bytes"), vocabulary, n_classes)
-    weights = train(source.select("bytes"), corpus, n_classes, dim, stride)
-    told = docs.sparkSession.sparkContext.broadcast((corpus, weights))  # bounded by the vocabulary
+    weights = train(source.select("bytes"), corpus, n_classes, dim)
+    told = spark.sparkContext.broadcast((corpus, weights))  # bounded by the vocabulary
 
-    def run(batches):
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
         know, flat = told.value
         ids, model = Ids((w, i) for i, w in enumerate(know["words"])), Model(len(know["words"]), n_classes, dim)
         model.load(flat)
-        for batch in batches:
-            texts = Flat(batch.column("bytes"))
-            for lo, hi in texts.runs(512 << 10):
-                words, edge = numbered([texts[i].tobytes().decode("utf-8", "replace") for i in range(lo, hi)], ids)
-                total = np.concatenate(([0.0], np.cumsum(token_scores(model, know, words, edge)))) if len(words) else np.zeros(1)
-                n, score = np.diff(edge), total[edge[1:]] - total[edge[:-1]]
-                yield pa.record_batch({"id": batch.column("id").slice(lo, hi - lo), "n_tokens": pa.array(n), "log_prob": pa.array(score), "mean_log_prob": pa.array(score / np.maximum(n, 1))})
-
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, log_prob double, mean_log_prob double")
+        texts = Flat(own["bytes"])
+        runs, names, _ = chunk_names(texts)
+        here, context = elsewhere(found, len(names))
+        sizes, sums, again = [], [], []
+        for (lo, hi), run in zip(texts.runs(2 << 20), runs, strict=True):
+            words, edge = numbered([texts[i].tobytes() for i in range(lo, hi)], ids)
+            prior = np.exp(token_scores(model, know, words, edge))
+            at = np.searchsorted(names, run)
+            p = np.concatenate(([0.0], np.cumsum(np.log((here[at] + prior) / (context[at] + 1)))))
+            met = np.concatenate(([0], np.cumsum(here[at] > 0)))
+            sizes.append(np.diff(edge))
+            sums.append(p[edge[1:]] - p[edge[:-1]])
+            again.append(met[edge[1:]] - met[edge[:-1]])
+        n, total, met = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, sums, again))
+        least = np.maximum(n, 1)
+        return pa.table({"id": own["id"], "n_tokens": pa.array(n.astype(np.int64)), "log_prob": pa.array(total), "mean_log_prob": pa.array(total / least), "seen": pa.array(met / least)})
+
+    chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id", "bytes"), F.lit(2 * parts))).repartition(parts, "chunk")
+    sent = chunked.groupBy("chunk").applyInArrow(_tell(parts), "bucket long, chunk long, names binary, many binary, counts binary")
+    found = sent.groupBy("bucket").applyInArrow(_count, "chunk long, bucket long, here binary, context binary")
+    id_type = source.schema["id"].dataType.simpleString()
+    return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {id_type}, n_tokens long, log_prob double, mean_log_prob double, seen double")

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -95,50 +96,85 @@ def test_fingerprints(spark):
 
 def test_pseudo_likelihood(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    odd = spark.createDataFrame([(9001, None), (9002, " \n"), (9003, "the")], "doc_id long, text string")
-    rows = d.unionByName(odd)
-    got = {r["id"]: r for r in pseudo_likelihood(rows, vocabulary=3000, stride=5).collect()}
-    assert got[9001]["n_tokens"] == got[9002]["n_tokens"] == 0 and got[9001]["log_prob"] == 0
+    odd = spark.createDataFrame([(9001, None, 1, 2), (9002, " \n", 1, 2), (9003, "the", 1, 2), (None, "a b", 1, 2), (None, "a b", 1, 2)], "doc_id long, text string, chunk int, bytes int")
+    rows = d.unionByName(odd, allowMissingColumns=True)
     texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
-    assert all(got[k]["n_tokens"] == len(t.lower().split()) for k, t in texts.items())
-    assert all(r["log_prob"] <= 1e-6 for r in got.values())
+    # production parameters; the shuffled texts are part of the corpus too
     rng = random.Random(1)
-    some = [t for t in texts.values() if 200 < len(t) < 3000][:60]
-    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in some]
-    both = spark.createDataFrame([(i, t) for i, t in enumerate(some + mixed)], "doc_id long, text string")
+    some = {k: t for k, t in texts.items() if k is not None and 200 < len(t) < 3000}
+    mixed = {100_000 + k: " ".join(rng.sample(t.split(), len(t.split()))) for k, t in some.items()}
+    both = rows.select("doc_id", "text").unionByName(spark.createDataFrame(list(mixed.items()), "doc_id long, text string"))
+    out = pseudo_likelihood(both).collect()
+    got = {r["id"]: r for r in out}
+    assert len(out) == both.count() and all(got[k]["n_tokens"] == len(t.encode().split()) for k, t in texts.items())
+    assert got[9001]["n_tokens"] == got[9002]["n_tokens"] == 0 and got[9001]["log_prob"] == 0
+    assert all(r["log_prob"] <= 1e-6 for r in out)
+    assert sum(got[k]["log_prob"] > got[100_000 + k]["log_prob"] for k in some) >= 0.9 * len(some)
     assert pseudo_likelihood(both.limit(0)).count() == 0
 
 
+def test_contexts_elsewhere_by_brute_force(spark, monkeypatch):
+    """Untrained network, so that its part is known; counts of contexts and tokens by hand."""
+    rng = random.Random(3)
+    rows = [(i % 50, " ".join(rng.choice("ab cd éf. G h".split()) for _ in range(rng.randrange(9)))) for i in range(80)] + [(7, None), (None, "ab  cd\tab"), (None, "ab cd ab")]
+    monkeypatch.setattr(lm_scoring, "train", lambda source, corpus, n_classes, dim: lm_scoring.Model(len(corpus["words"]), n_classes, dim).flat())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    corpus = lm_scoring.gather(df.selectExpr("coalesce(cast(text as binary), X'') as bytes"), 3, 4)
+    ids = lm_scoring.Ids((w, i) for i, w in enumerate(corpus["words"]))
+    model = lm_scoring.Model(3, 4, 8)
+    lists = [(t or "").encode().split() for _, t in rows]
+    triples = [(w, i, (w[i - 1] if i else None, w[i + 1] if i + 1 < len(w) else None)) for w in lists for i in range(len(w))]
+    pairs, around = Counter((c, w[i]) for w, i, c in triples), Counter(c for _, _, c in triples)
+    want = []
+    for (d, _), w in zip(rows, lists, strict=True):
+        numbers, edge = lm_scoring.numbered([b" ".join(w)], ids)
+        prior = np.exp(lm_scoring.token_scores(model, corpus, numbers, edge))
+        keys = [(w[i - 1] if i else None, w[i + 1] if i + 1 < len(w) else None) for i in range(len(w))]
+        want.append((d or -1, len(w), round(sum(math.log((pairs[k, x] - 1 + p) / around[k]) for k, x, p in zip(keys, w, prior)), 4)))
+    got = [(r["id"] or -1, r["n_tokens"], round(r["log_prob"], 4)) for r in pseudo_likelihood(df, 3, 4, 8).collect()]
+    assert sorted((d, n) for d, n, _ in got) == sorted((d, n) for d, n, _ in want)
+    assert np.allclose([x for *_, x in sorted(got)], [x for *_, x in sorted(want)], atol=1e-2)
+    assert (lm_scoring.COUNTS[lm_scoring.quantized(np.arange(128))] == np.arange(128)).all()
+    big = np.array([128, 1000, 10**9])
+    assert (abs(lm_scoring.COUNTS[lm_scoring.quantized(big)] / big - 1) < 0.1).all()
+
+
+def test_a_text_that_occurs_twice_scores_higher(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    twice, once = [text() for _ in range(20)], [text() for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(twice + twice + once)), "doc_id long, text string")
+    got = {r["id"]: r["mean_log_prob"] for r in pseudo_likelihood(df).collect()}
+    assert min(got[i] for i in range(40)) > max(got[i] for i in range(40, 80))
+
+
 def test_token_scores_by_hand():
-    corpus = {"words": ["a", "b"], "class": np.array([0, 0, 1]), "share": np.log(np.array([0.75, 0.25, 0.5]))}
+    corpus = {"words": ["a", "b"], "class": np.array([0, 0, 1, 2, 3, 4]), "share": np.log(np.array([0.75, 0.25, 0.5, 0.5, 0.5, 0.5]))}
     model = lm_scoring.Model(2, 1, 4)
     words, edge = np.array([0, 1, 2, 0]), np.array([0, 3, 4])
     got = lm_scoring.token_scores(model, corpus, words, edge)
     for i, (lo, hi) in enumerate(((0, 3), (0, 3), (0, 3), (3, 4))):
-        around = [int(words[i + o]) if lo <= i + o < hi else 3 for o in lm_scoring.OFFSETS]
+        around = [int(words[i + o]) if lo <= i + o < hi else 6 for o in lm_scoring.OFFSETS]
         h = np.tanh(sum(model.vectors[w] * s for w, s in zip(around, model.scales)))
         z = h @ model.layer[:-1] + model.layer[-1]
         p = np.exp(z) / np.exp(z).sum()
         assert math.isclose(got[i], math.log(p[corpus["class"][words[i]]]) + corpus["share"][words[i]], rel_tol=1e-4)
     # one step of training raises the likelihood of what was seen
-    around = lm_scoring.contexts(words, edge, 3)
+    around = lm_scoring.contexts(words, edge, 6)
     before = lm_scoring.token_scores(model, corpus, words, edge).sum()
     for _ in range(50):
         model.step(around, corpus["class"][words], 0.5)
     assert lm_scoring.token_scores(model, corpus, words, edge).sum() > before
 
 
-def test_every_position_is_trained_on(spark):
-    from inspect import signature
-
-    stride = signature(pseudo_likelihood).parameters["stride"].default
-    edge = np.array([0, 3, 3, 20, 21])
-    assert lm_scoring.positions(edge, stride).tolist() == list(range(21))
-    # documents of three words each are learned from
+def test_every_position_is_trained_on(spark, monkeypatch):
+    # documents of three words each are learned from; one task, so the steps of all positions are seen here
     df = spark.createDataFrame([("the cat sat",), ("a dog ran",)], "text string").selectExpr("cast(text as binary) as bytes")
     corpus = lm_scoring.gather(df, 10, 2)
-    learned = lm_scoring.train(df, corpus, 2, 4, stride)
+    learned = lm_scoring.train(df, corpus, 2, 4)
     assert not np.array_equal(learned, lm_scoring.Model(6, 2, 4).flat())
+    changed = (learned != lm_scoring.Model(6, 2, 4).flat())[: 6 * 4].reshape(6, 4).any(axis=1)
+    assert changed.all()  # each of the six words is a neighbour of a trained position
 
 
 def test_words_of_an_unseen_script_touch_no_other_text():
