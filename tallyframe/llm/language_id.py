@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Flat, PieceCache, held_out, text_bytes
+from tallyframe.llm.rolling import mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -33,6 +34,8 @@ START = "▁"
 LIFT = 16.0
 #: Below this a sum may have lost parts that were too small for a number.
 TINY = 1e-200
+#: Longer words, with their start sign, are summed one by one, rescaled as they go.
+WIDE = 60
 #: From this many letters on, words are learned from by logarithms.
 LONG = 40
 
@@ -77,27 +80,77 @@ def forward(n: int, width: int, edges: tuple[np.ndarray, ...], weight: np.ndarra
     return alpha
 
 
+class Pieces:
+    """Numbers of vocabulary strings by a 64-bit hash of their characters, for many strings at once."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.base = np.uint64(0x9E3779B97F4A7C15)
+        inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+        self.powers, self.inverses = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(WIDE, x))), dtype=np.uint64) for x in (self.base, inverse))
+        of_length: dict[int, list[str]] = {}
+        for piece in vocab:
+            of_length.setdefault(len(piece), []).append(piece)
+        pieces = [x for k, x in of_length.items() if k <= WIDE]
+        names = np.concatenate([self.sums(x)[:, -1] for x in pieces])
+        numbers = np.array([vocab[x] for x in itertools.chain.from_iterable(pieces)])
+        order = np.argsort(names)
+        self.names, self.numbers = names[order], numbers[order]
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        """Sums over the first k characters, for words of one length: (word, k)."""
+        width = len(words[0])
+        codes = np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
+        out = np.zeros((len(words), width + 1), np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64)) * self.powers[:width], axis=1, out=out[:, 1:])
+        return out
+
+    def find(self, sums: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Numbers of the strings from start to end, -1 where they are none of the vocabulary."""
+        names = (sums[:, end] - sums[:, start]) * self.inverses[start]
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.numbers[at], -1)
+
+
+_PIECES: dict[int, tuple[dict, Pieces]] = {}
+
+
+def pieces_of(vocab: dict[str, int]) -> Pieces:
+    if id(vocab) not in _PIECES:
+        _PIECES[id(vocab)] = (vocab, Pieces(vocab))
+    return _PIECES[id(vocab)][1]
+
+
 def log_words(words: list[str], vocab: dict[str, int], longest: int, table: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language; table: (piece, language), the last row for unknown characters."""
+    """Log-probability of each word in each language; table: (piece, language), the last row for unknown characters.
+
+    Words of one length are summed together: each end of a segmentation from all starts that a piece leads back to.
+    """
     out = np.zeros((len(words), table.shape[1]))
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    at = 0
+    pieces, at = pieces_of(vocab), 0
     while at < len(order):
         width = len(words[order[at]]) + 1
-        if width > 60:
+        if width > WIDE:
             out[order[at]] = _log_long(START + words[order[at]], vocab, longest, table)
             at += 1
             continue
-        group = list(itertools.takewhile(lambda i: len(words[i]) + 1 <= min(60, width + 3), itertools.islice(order, at, at + 20_000)))
+        group = list(itertools.takewhile(lambda i: len(words[i]) + 1 == width, itertools.islice(order, at, at + 20_000)))
         some = [START + words[i] for i in group]
-        edges = lattice(some, vocab, longest)
-        word, start, end, piece = edges
-        alpha = forward(len(some), max(map(len, some)), edges, table[piece] * LIFT ** (end - start)[:, None])
-        sizes = np.array([len(s) for s in some])
-        last = alpha[np.arange(len(some)), sizes]
+        sums = pieces.sums(some)
+        alpha = np.zeros((width + 1, len(some), table.shape[1]))
+        alpha[0] = 1
+        for end in range(1, width + 1):
+            for start in range(max(0, end - longest), end):
+                piece = pieces.find(sums, start, end)
+                if start == end - 1:
+                    alpha[end] += alpha[start] * (table[piece] * LIFT)  # piece -1 is the last row
+                else:
+                    hit = np.flatnonzero(piece >= 0)
+                    alpha[end, hit] += alpha[start, hit] * (table[piece[hit]] * LIFT ** (end - start))
+        last = alpha[width]
         # sums near the smallest number have lost digits or are 0: these words are summed again, rescaled as they go
         tiny = (last < TINY).any(axis=1)
-        out[group] = np.log(np.maximum(last, TINY)) - sizes[:, None] * math.log(LIFT)
+        out[group] = np.log(np.maximum(last, TINY)) - width * math.log(LIFT)
         for i in np.flatnonzero(tiny):
             out[group[i]] = _log_long(some[i], vocab, longest, table)
         at += len(group)
@@ -136,40 +189,47 @@ def _log_shares(size: int, edges: tuple[np.ndarray, ...], log_weight: np.ndarray
     return np.exp(ahead[start] + log_weight + behind[end] - ahead[size])
 
 
-def learn(counts: dict[str, dict[str, int]], path: str, rounds: int = 4, floor: float = 1e-7) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the (piece, language) table from word counts by language."""
+def learn_one(counts: dict[str, int], path: str, rounds: int = 4, floor: float = 1e-7) -> np.ndarray:
+    """Piece probabilities of one language from its word counts; the last one is for unknown characters."""
     vocab, longest = vocabulary(path)
-    names = sorted(counts)
-    table = np.zeros((len(vocab) + 1, len(names)))
-    for column, name in enumerate(names):
-        words = sorted(w for w in counts[name] if len(w) < LONG)
-        long = [(counts[name][w], len(w) + 1, lattice([START + w], vocab, longest)) for w in sorted(counts[name]) if len(w) >= LONG]
-        n = np.array([counts[name][w] for w in words], float)
-        groups = []
-        for size, some in itertools.groupby(sorted(range(len(words)), key=lambda i: (len(words[i]), i)), key=lambda i: len(words[i])):
-            some = list(some)
-            groups.append((some, size + 1, lattice([START + words[i] for i in some], vocab, longest)))
-        p = np.full(len(vocab) + 1, 1 / len(vocab))
-        for _ in range(rounds):
-            expected = np.zeros(len(vocab) + 1)
-            for some, width, edges in groups:
-                word, start, end, piece = edges
-                weight = (p[piece] * 64.0 ** (end - start))[:, None]
-                ahead = forward(len(some), width, edges, weight)[:, :, 0]
-                back_order = np.argsort(width - start, kind="stable")
-                mirrored = tuple(x[back_order] for x in (word, width - end, width - start, piece))
-                behind = forward(len(some), width, mirrored, weight[back_order])[:, :, 0]
-                share = ahead[word, start] * weight[:, 0] * behind[word, width - end] / ahead[word, width]
-                expected += np.bincount(piece, share * n[some][word], minlength=len(vocab) + 1)
-            for times, size, edges in long:
-                expected += np.bincount(edges[3], _log_shares(size, edges, np.log(p[edges[3]])) * times, minlength=len(vocab) + 1)
-            p = expected / max(expected.sum(), 1) + floor
-        table[:, column] = p / p.sum()
-    if len(names):
+    words = sorted(w for w in counts if len(w) < LONG)
+    long = [(counts[w], len(w) + 1, lattice([START + w], vocab, longest)) for w in sorted(counts) if len(w) >= LONG]
+    n = np.array([counts[w] for w in words], float)
+    groups = []
+    for size, some in itertools.groupby(sorted(range(len(words)), key=lambda i: (len(words[i]), i)), key=lambda i: len(words[i])):
+        some = list(some)
+        groups.append((some, size + 1, lattice([START + words[i] for i in some], vocab, longest)))
+    p = np.full(len(vocab) + 1, 1 / len(vocab))
+    for _ in range(rounds):
+        expected = np.zeros(len(vocab) + 1)
+        for some, width, edges in groups:
+            word, start, end, piece = edges
+            weight = (p[piece] * 64.0 ** (end - start))[:, None]
+            ahead = forward(len(some), width, edges, weight)[:, :, 0]
+            back_order = np.argsort(width - start, kind="stable")
+            mirrored = tuple(x[back_order] for x in (word, width - end, width - start, piece))
+            behind = forward(len(some), width, mirrored, weight[back_order])[:, :, 0]
+            share = ahead[word, start] * weight[:, 0] * behind[word, width - end] / ahead[word, width]
+            expected += np.bincount(piece, share * n[some][word], minlength=len(vocab) + 1)
+        for times, size, edges in long:
+            expected += np.bincount(edges[3], _log_shares(size, edges, np.log(p[edges[3]])) * times, minlength=len(vocab) + 1)
+        p = expected / max(expected.sum(), 1) + floor
+    return p / p.sum()
+
+
+def table_of(fitted: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the (piece, language) table; an unknown character says nothing about the language."""
+    names = sorted(fitted)
+    table = np.stack([fitted[k] for k in names], axis=1) if names else np.zeros((0, 0))
+    if names:
         table[-1] = table[-1].mean()
     return names, table
 
 
+def learn(counts: dict[str, dict[str, int]], path: str) -> tuple[list[str], np.ndarray]:
+    return table_of({k: learn_one(v, path) for k, v in counts.items()})
+
+
 class Scorer:
     def __init__(self, names: list[str], table: np.ndarray, prior: np.ndarray, path: str):
         self.names, self.table, self.prior = names, table, prior
@@ -218,11 +278,14 @@ def train(docs: DataFrame, path: str, per_language: int, id_col: str, text_col:
                 found.update((lang, w) for w in LETTERS.findall(text.lower()))
             yield pa.record_batch({"lang": pa.array([k[0] for k in found], pa.string()), "word": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: dict[str, dict[str, int]] = {k: {} for k in shares}
-    for lang, word, n in zip(*(words[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[lang][word] = n
-    names, table = learn(counts, path)
+    def fit(rows: pa.Table) -> pa.Table:
+        counts = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
+        return pa.table({"lang": rows["lang"].slice(0, 1), "p": pa.array([learn_one(counts, path).tobytes()], pa.binary())})
+
+    # one task a language, on the words of its bounded sample
+    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    fitted = {r["lang"]: np.frombuffer(r["p"]).copy() for r in words.groupBy("lang").applyInArrow(fit, "lang string, p binary").collect()}
+    names, table = table_of({k: fitted[k] if k in fitted else learn_one({}, path) for k in shares})
     all_rows = sum(shares.values())
     return names, table, np.log(np.array([shares[k] / all_rows for k in names]))
 
