@@ -36,6 +36,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         gone.alias("n_removed"),
         F.size("starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "n_shared",
     )
 
 

@@ -5,7 +5,7 @@ is too much to hold or to move, so, as in blockwise construction with a differen
 
 1. *Cover sample.* With a difference cover D modulo v, any two positions i, j have one shift d < v at which both i+d and
    j+d fall into the sample (position mod v in D). Two equal strings of `min_len` bytes therefore hold two sampled
-   suffixes that agree on `min_len - v + 1` bytes. Sample suffixes are dealt to suffix buckets by their name (a
+   suffixes that agree on `min_len - v + 1` bytes, of which the name takes 200 at most. Sample suffixes are dealt to suffix buckets by their name (a
    fingerprint of those bytes), each bucket is sorted on its own, and names that occur once are dropped.
 2. *Long ties.* Each tied sample suffix gets the rank of a longer string, of `min_len + v - 1` bytes, that starts v - 1
    bytes before it. If that string occurs again, every suffix starting in those v positions is repeated without being
@@ -15,6 +15,7 @@ is too much to hold or to move, so, as in blockwise construction with a differen
    names that agree by chance must do so in both.
 
 Ranks are fingerprints: suffixes are grouped by equality, which is all that removal needs, not put in alphabetical order.
+The sample is named by 200 bytes even where more would do: its ties then tell of repeats too short to be removed, too.
 A bucket holds each distinct name once per chunk of documents, so a string in a third of all documents costs one entry
 per chunk. Chunks hold a few MB of text; documents are shuffled once, and the exchange is used again by later steps.
 
@@ -41,16 +42,17 @@ COVERS = {
     13: (0, 1, 3, 9),
     31: (1, 5, 11, 24, 25, 27),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
-    183: (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175),
 }
 
 KEYS = "bucket long, chunk long, tag int, once binary, more binary"
 FOUND = "chunk long, tag int, names binary"
+#: Sample suffixes are named by so many bytes at most. Shorter names tie more often, but also show repeats below min_len.
+NAMED = 200
 #: Tags: repeated names of the cover sample; repeated long strings that other chunks, or none, need to hear of; repeated
 #: long strings whose suffixes this chunk has to sort for all; repeated names of suffixes; names that a chunk tells others
 #: and needs no answer for, as it knows them to be repeated.
 SAMPLE, SILENT, SPEAKS, SUFFIX, TOLD = 1, 2, 3, 4, 5
-NO_LONG, LOW, LOW7 = np.uint64(0), np.uint64(2**48 - 1), np.uint64(2**56 - 1)
+NO_LONG, LOW = np.uint64(0), np.uint64(2**48 - 1)
 
 
 class Cover:
@@ -59,7 +61,7 @@ class Cover:
             raise ValueError("min_len must be 14 at least")
         self.min_len = min_len
         self.v = max(v for v in COVERS if 2 * v <= min_len)
-        self.short, self.long = min_len - self.v + 1, min_len + self.v - 1
+        self.short, self.long = min(min_len - self.v + 1, NAMED), min_len + self.v - 1
         self.member = np.zeros(self.v, bool)
         self.member[list(COVERS[self.v])] = True
         self.one, self.two = Rolling(11), Rolling(12)
@@ -92,16 +94,16 @@ def _among(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 
 def _packed(tag: int, names: np.ndarray) -> bytes:
-    """Names of the sample only rule suffixes out, so six bytes of them will do; of others, seven beside the bucket's
-    number, which comes from independent bits."""
-    width = 6 if tag == SAMPLE else 7
-    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Names of the sample only rule suffixes out, so six bytes of them will do; of others, all eight beside the bucket's
+    number, which comes from independent bits. Byte by byte, as the upper bytes of sorted names compress."""
+    width = 6 if tag == SAMPLE else 8
+    return np.ascontiguousarray(np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpacked(tag: int, packed: bytes) -> np.ndarray:
-    width = 6 if tag == SAMPLE else 7
+    width = 6 if tag == SAMPLE else 8
     wide = np.zeros((len(packed) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
     return wide.view(np.uint64).ravel()
 
 
@@ -204,22 +206,23 @@ def _long(c: Cover, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Names of the long strings around sampled positions, even numbers; NO_LONG where they don't fit."""
     out = np.full(len(at), NO_LONG)
     fits = (at >= c.v - 1) & (at + c.min_len < len(prefix))
-    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & LOW7 & ~np.uint64(1), np.uint64(2))
+    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & ~np.uint64(1), np.uint64(2))
     return out
 
 
-def _open(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes that are repeated by their long rank (a mask); positions, names and second names of those to be sorted."""
+def _open(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, ...]:
+    """Suffixes that are repeated by their long rank (a mask); positions, names and second names of those to be sorted; tied
+    positions of the sample."""
     n = len(data) - c.min_len + 1
     prefix, at, names = _tied(c, data, known)
     if not len(at):
-        return np.zeros(n, bool), at, names, names
+        return np.zeros(n, bool), at, names, names, at
     second = c.two.prefix(data)
     long = _long(c, second, at)
     silent = _among(long, known[SILENT])
     speaks = _among(long, known[SPEAKS])
     left = np.flatnonzero(c.marks(at[~silent | speaks], c.v - 1, 0, n))
-    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len) & LOW7, c.two.at(second, left, length=c.min_len)
+    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len), c.two.at(second, left, length=c.min_len), at
 
 
 def _emit_samples(min_len: int, buckets: int):
@@ -228,7 +231,7 @@ def _emit_samples(min_len: int, buckets: int):
         names = [np.zeros(0, np.uint64)]
         for i in range(len(texts)):
             data = texts[i]
-            if len(data) >= min_len:
+            if len(data) >= c.short:
                 names.append(c.one.at(c.one.prefix(data), c.samples(len(data)), length=c.short))
         names = np.concatenate(names)
         return _table(_dealt(docs["chunk"][0].as_py(), SAMPLE, names, names, buckets))
@@ -255,7 +258,7 @@ def _emit_next(min_len: int, buckets: int, tag: int):
                     names.append(name)
                     seconds.append(_long(c, c.two.prefix(data), at))
             else:
-                sure, left, name, second = _open(c, data, known)
+                sure, left, name, second, _ = _open(c, data, known)
                 names.append(name)
                 seconds.append(second)
                 told.append(sure[left])
@@ -275,12 +278,13 @@ def _emit_next(min_len: int, buckets: int, tag: int):
     return run
 
 
-def _repeated(c: Cover, data: np.ndarray, known: dict) -> np.ndarray:
+def _repeated(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of repeated suffixes, and tied positions of the sample."""
     if len(data) < c.min_len:
-        return np.zeros(0, np.int64)
-    hit, left, names, _ = _open(c, data, known)
+        return np.zeros(0, np.int64), _tied(c, data, known)[1] if len(data) >= c.short else np.zeros(0, np.int64)
+    hit, left, names, _, at = _open(c, data, known)
     hit[left[_among(names, known[SUFFIX])]] = True
-    return np.flatnonzero(hit)
+    return np.flatnonzero(hit), at
 
 
 def _worth(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int, min_words: int) -> np.ndarray:
@@ -294,10 +298,12 @@ def _worth(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_len: int,
 def _cut(min_len: int, min_words: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         c, texts, known = _cover(min_len), Flat(docs["bytes"]), _known(found)
-        sizes, starts, ends, kept = [], [], [], []
+        sizes, starts, ends, kept, shared = [], [], [], [], []
         for i in range(len(texts)):
             data = texts[i]
-            gone = c.marks(_repeated(c, data, known), 0, min_len - 1, len(data))
+            hit, tied = _repeated(c, data, known)
+            gone = c.marks(hit, 0, min_len - 1, len(data))
+            shared.append(int(c.marks(tied, 0, c.short - 1, len(data)).sum()) if len(tied) else 0)
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False]))))
             if min_words and len(edge):
                 edge = edge.reshape(-1, 2)[_worth(data, edge[::2], edge[1::2], min_len, min_words)].ravel()
@@ -309,13 +315,15 @@ def _cut(min_len: int, min_words: int):
             ends.append(edge[1::2])
             kept.append(data[~gone].tobytes() if len(edge) else data.tobytes())
         spans = pa.list_(pa.int64())
-        return pa.table({"id": docs["id"], "n_bytes": pa.array(sizes, pa.int64()), "starts": pa.array(starts, spans), "ends": pa.array(ends, spans), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"id": docs["id"], "n_bytes": pa.array(sizes, pa.int64()), "starts": pa.array(starts, spans), "ends": pa.array(ends, spans), "kept": pa.array(kept, pa.binary()), "n_shared": pa.array(shared, pa.int64())})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, min_words: int = 0) -> DataFrame:
-    """Returns id (or `key` in its place, such as a struct of columns to pass through), n_bytes, starts and ends (arrays: the maximal byte spans removed), kept (the remaining bytes).
+    """Returns id (or `key` in its place, such as a struct of columns to pass through), n_bytes, starts and ends (arrays: the maximal byte spans removed), kept (the remaining bytes), n_shared (bytes of
+    sampled strings, NAMED long at most, that occur elsewhere: shows repeats too short to be removed, from about NAMED + 90
+    bytes on for sure).
     With `min_words`, a span of fewer words stays, unless it has twice `min_len` bytes or more.
 
     The number of chunks and suffix buckets follows spark.sql.shuffle.partitions, which the cluster sizes to its input.
@@ -330,4 +338,4 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     for tag in (SILENT, SUFFIX):
         found = by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_emit_next(min_len, buckets, tag), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
     id_type = source.schema["id"].dataType.simpleString()
-    return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_cut(min_len, min_words), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_cut(min_len, min_words), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary, n_shared long")

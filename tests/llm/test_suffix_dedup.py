@@ -54,3 +54,22 @@ def test_empty_table_and_all_equal(spark):
     got = run(spark, [(i, "x y" * 50, None, None) for i in range(7)], 30)
     assert set(got.values()) == {(150, 150, 1, b"")}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_passages_by_length(spark):
+    """Passages of two documents each: from 400 bytes on they are removed; shorter ones show in n_shared."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    sizes, rows = (60, 190, 300, 340, 399, 400, 700), []
+    for k, n in enumerate(sizes):
+        p = text(n)
+        rows += [(2 * k, text(rng.randrange(500)) + p + text(40), "x", 1), (2 * k + 1, text(7) + p, "x", 1)]
+    rows += [(90, text(3000), "x", 1), (91, text(90), "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chunk string, bytes int")
+    got = {r["id"]: (sum(e - s for s, e in zip(r["starts"], r["ends"])), r["n_shared"]) for r in remove_repeats(df, 400).collect()}
+    for k, n in enumerate(sizes):
+        for d in (2 * k, 2 * k + 1):
+            removed, shared = got[d]
+            assert removed >= n if n >= 400 else removed == 0
+            assert shared >= 200 if n >= 290 else shared <= n
+    assert got[90] == got[91] == (0, 0)
