@@ -5,7 +5,7 @@ is too much to hold or to move, so, as in blockwise construction with a differen
 
 1. *Cover sample.* With a difference cover D modulo v, any two positions i, j have one shift d < v at which both i+d and
    j+d fall into the sample (position mod v in D). Two equal strings of `min_len` bytes therefore hold two sampled
-   suffixes that agree on `min_len - v + 1` bytes, of which the name takes 200 at most. Sample suffixes are dealt to suffix buckets by their name (a
+   suffixes that agree on `min_len - v + 1` bytes, of which the name takes 160 at most. Sample suffixes are dealt to suffix buckets by their name (a
    fingerprint of those bytes), each bucket is sorted on its own, and names that occur once are dropped.
 2. *Long ties.* Each tied sample suffix gets the rank of a longer string, of `min_len + v - 1` bytes, that starts v - 1
    bytes before it. If that string occurs again, every suffix starting in those v positions is repeated without being
@@ -15,7 +15,7 @@ is too much to hold or to move, so, as in blockwise construction with a differen
    names that agree by chance must do so in both.
 
 Ranks are fingerprints: suffixes are grouped by equality, which is all that removal needs, not put in alphabetical order.
-The sample is named by 200 bytes even where more would do: its ties then tell of repeats too short to be removed, too.
+The sample is named by 160 bytes even where more would do: its ties then tell of repeats too short to be removed, too.
 A bucket holds each distinct name once per chunk of documents, so a string in a third of all documents costs one entry
 per chunk. Chunks hold a few MB of text; documents are shuffled once, and the exchange is used again by later steps.
 
@@ -42,17 +42,18 @@ COVERS = {
     13: (0, 1, 3, 9),
     31: (1, 5, 11, 24, 25, 27),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
+    133: (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110),
 }
 
 KEYS = "bucket long, chunk long, tag int, once binary, more binary"
 FOUND = "chunk long, tag int, names binary"
 #: Sample suffixes are named by so many bytes at most. Shorter names tie more often, but also show repeats below min_len.
-NAMED = 200
+NAMED = 160
 #: Tags: repeated names of the cover sample; repeated long strings that other chunks, or none, need to hear of; repeated
 #: long strings whose suffixes this chunk has to sort for all; repeated names of suffixes; names that a chunk tells others
 #: and needs no answer for, as it knows them to be repeated.
 SAMPLE, SILENT, SPEAKS, SUFFIX, TOLD = 1, 2, 3, 4, 5
-NO_LONG, LOW = np.uint64(0), np.uint64(2**48 - 1)
+NO_LONG, LOW, LOW7 = np.uint64(0), np.uint64(2**40 - 1), np.uint64(2**56 - 1)
 
 
 class Cover:
@@ -94,14 +95,14 @@ def _among(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 
 def _packed(tag: int, names: np.ndarray) -> bytes:
-    """Names of the sample only rule suffixes out, so six bytes of them will do; of others, all eight beside the bucket's
+    """Names of the sample only rule suffixes out, so five bytes of them will do; of others, seven beside the bucket's
     number, which comes from independent bits. Byte by byte, as the upper bytes of sorted names compress."""
-    width = 6 if tag == SAMPLE else 8
+    width = 5 if tag == SAMPLE else 7
     return np.ascontiguousarray(np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpacked(tag: int, packed: bytes) -> np.ndarray:
-    width = 6 if tag == SAMPLE else 8
+    width = 5 if tag == SAMPLE else 7
     wide = np.zeros((len(packed) // width, 8), np.uint8)
     wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
     return wide.view(np.uint64).ravel()
@@ -206,7 +207,7 @@ def _long(c: Cover, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Names of the long strings around sampled positions, even numbers; NO_LONG where they don't fit."""
     out = np.full(len(at), NO_LONG)
     fits = (at >= c.v - 1) & (at + c.min_len < len(prefix))
-    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & ~np.uint64(1), np.uint64(2))
+    out[fits] = np.maximum(c.two.at(prefix, at[fits] - (c.v - 1), length=c.long) & LOW7 & ~np.uint64(1), np.uint64(2))
     return out
 
 
@@ -222,7 +223,7 @@ def _open(c: Cover, data: np.ndarray, known: dict) -> tuple[np.ndarray, ...]:
     silent = _among(long, known[SILENT])
     speaks = _among(long, known[SPEAKS])
     left = np.flatnonzero(c.marks(at[~silent | speaks], c.v - 1, 0, n))
-    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len), c.two.at(second, left, length=c.min_len), at
+    return c.marks(at[silent | speaks], c.v - 1, 0, n), left, c.one.at(prefix, left, length=c.min_len) & LOW7, c.two.at(second, left, length=c.min_len), at
 
 
 def _emit_samples(min_len: int, buckets: int):
@@ -264,7 +265,7 @@ def _emit_next(min_len: int, buckets: int, tag: int):
                 told.append(sure[left])
         chunk, names, seconds = docs["chunk"][0].as_py(), np.concatenate(names), np.concatenate(seconds)
         if tag == SILENT:
-            rows = _dealt(chunk, tag, names, names << np.uint64(16), buckets, seconds)
+            rows = _dealt(chunk, tag, names, names << np.uint64(24), buckets, seconds)
         else:
             told = np.concatenate(told)
             a, b = (_dealt(chunk, t, names[x], seconds[x], buckets) for t, x in ((SUFFIX, ~told), (TOLD, told)))
@@ -322,8 +323,8 @@ def _cut(min_len: int, min_words: int):
 
 def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, min_words: int = 0) -> DataFrame:
     """Returns id (or `key` in its place, such as a struct of columns to pass through), n_bytes, starts and ends (arrays: the maximal byte spans removed), kept (the remaining bytes), n_shared (bytes of
-    sampled strings, NAMED long at most, that occur elsewhere: shows repeats too short to be removed, from about NAMED + 90
-    bytes on for sure).
+    sampled strings, NAMED long at most, that occur elsewhere: shows repeats too short to be removed, from NAMED + 132
+    bytes on for sure; a sampled string ties by chance once in some hundred thousand).
     With `min_words`, a span of fewer words stays, unless it has twice `min_len` bytes or more.
 
     The number of chunks and suffix buckets follows spark.sql.shuffle.partitions, which the cluster sizes to its input.
