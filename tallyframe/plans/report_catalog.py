@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tallyframe.operators import extraction, lookups, positions
 from tallyframe.plans.catalog import registered
 from tallyframe.plans.facts import FACTS_SQL, facts, read
 from tallyframe.sources.report_lines import LINES_SQL, ROWS_SQL, report_lines, row_lines
+from tallyframe.streaming.status import drained
 
 METRICS = {"accounts_receivable_net": "应收账款", "inventory_net": "存货"}
 YEAR = 2024
@@ -371,3 +375,11 @@ def rule_profit_cash_current(spark, sf_dir):
     w = f.groupBy("entity", "year").agg(of("net_profit_parent").alias("profit"), of("operating_cash_flow").alias("cash"), n.alias("n"), F.bool_and(F.when(mine, F.col("verified"))).alias("ok"), F.bool_or(F.when(mine, F.col("restatement") == "restated")).alias("restated"))
     checks = [("missing_fact", F.expr("profit IS NULL OR cash IS NULL")), ("duplicate_fact", F.col("n") > 1), ("restatement_conflict", F.col("restated")), ("verification_unconfirmed", ~F.col("ok"))]
     return w.withColumn("issues", F.array_join(lookups.violations(checks), ",")).select("entity", "year", "issues", F.when(F.col("issues") == "", F.expr("profit > 0 AND cash < 0")).alias("triggered"))
+
+
+@registered("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def streamed_status_counts(spark, sf_dir):
+    """The event table read as a stream. Its table and checkpoint lie in the shared folder; without one (tests) in a new one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-")
+    at = f"{shared.rstrip('/')}/status-{uuid.uuid4().hex}"
+    return drained(spark, f"{sf_dir}/events.parquet", f"{at}/table", f"{at}/checkpoint")
