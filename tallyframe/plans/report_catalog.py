@@ -135,14 +135,11 @@ def extraction_issues(spark, sf_dir):
     return sheet.groupBy("metric", "code").agg(F.count("*").alias("n"), F.count_if(F.expr("code = 'ok' AND currency IS NULL")).alias("undisclosed"))
 
 
-ARMS = {
-    "clean": {},
-    "amount": {"now": F.expr("now + 1")},
-    "year": {"now": F.col("before")},
-    "unit": {"unit": F.lit("千元")},
-    "currency": {"currency": F.lit("欧元")},
-    "sign": {"now": F.expr("-now")},
-}
+def _arms() -> dict:
+    """What each arm of the ablation changes in a fact."""
+    return {"clean": {}, "amount": {"now": F.expr("now + 1")}, "year": {"now": F.col("before")}, "unit": {"unit": F.lit("千元")}, "currency": {"currency": F.lit("欧元")}, "sign": {"now": F.expr("-now")}}
+
+
 _OWN = f"WITH {LINES_SQL}, {_sheet_sql('sheet', 'NULL')}, {_sheet_sql('own', '{bare}')}"
 _TOLD = """told AS (SELECT doc, metric, arm, CASE arm WHEN 'unit' THEN '千元' ELSE unit END AS unit, CASE arm WHEN 'currency' THEN '欧元' ELSE currency END AS currency,
   CASE arm WHEN 'amount' THEN now + 1 WHEN 'year' THEN before WHEN 'sign' THEN -now ELSE now END AS now FROM (SELECT *, unnest(['clean', 'amount', 'year', 'unit', 'currency', 'sign']) AS arm FROM sheet WHERE code = 'ok')),
@@ -156,7 +153,7 @@ def verification_ablation(spark, sf_dir):
     lines = report_lines(spark, sf_dir)
     sheet = extraction.balance_sheet(lines, YEAR, METRICS).filter("code = 'ok'")
     own = extraction.balance_sheet(lines, YEAR, METRICS, reader=R.verifier_amount)
-    judged = extraction.checked(extraction.mutated(sheet, ARMS), own, ["doc", "metric"])
+    judged = extraction.checked(extraction.mutated(sheet, _arms()), own, ["doc", "metric"])
     n = lambda e: F.count_if(F.expr(e))
     return judged.groupBy("arm").agg(F.count("*").alias("n"), n("status = 'verified'").alias("accepted"), n("status NOT IN ('verified', 'insufficient')").alias("rejected"), n("status = 'insufficient'").alias("abstained"), n("status = 'value_in_other_year'").alias("other_year"))
 
