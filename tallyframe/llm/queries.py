@@ -13,6 +13,7 @@ from tallyframe.llm.fingerprints import fingerprints
 from tallyframe.llm.jaccard_join import near_duplicates
 from tallyframe.llm.language_id import identify
 from tallyframe.llm.lm_scoring import pseudo_likelihood
+from tallyframe.llm.mixing import mix
 from tallyframe.llm.orc_tokens import tokens_through_orc
 from tallyframe.llm.packing import pack
 from tallyframe.llm.quality import score_quality
@@ -84,6 +85,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048, 1).withColumnRenamed("id", "doc_id")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
+    "op12_mixing": op12_mixing,
 }
 
 #: Windows of ten item words, found again among all runs of as many document words.
@@ -125,7 +131,23 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.component_id, w.d
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 """
 
+#: Targets by trying each number of full sources in order of the level at which they are full; draws by a running sum.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  0.05 + coalesce(length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) / greatest(length(text), 1), 0) AS weight,
+  (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS share FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / share, source NULLS LAST) AS k FROM s),
+full_first AS (SELECT a.k, 2.0 * a.source_size / a.share AS need, ((SELECT sum(source_size) FROM s) * 1.5 - sum(CASE WHEN b.k < a.k THEN 2.0 * b.source_size ELSE 0 END)) / sum(CASE WHEN b.k >= a.k THEN b.share END) AS level FROM o a, o b GROUP BY 1, 2),
+cut AS (SELECT coalesce(min(k) FILTER (need > level), 1e9) AS k, min_by(level, k) FILTER (need > level) AS level FROM full_first),
+t AS (SELECT source, source_size, CASE WHEN o.k < cut.k THEN 2.0 * source_size ELSE share * level END AS target FROM o, cut),
+r AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS words, greatest(source_size, 1) AS every, sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / weight, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target, CAST(words // every * size + greatest(0, least(size, words % every - before)) AS BIGINT) AS taken FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION_SQL,
     "op7_jaccard_join": JACCARD_SQL,
+    "op12_mixing": MIXING_SQL,
 }
