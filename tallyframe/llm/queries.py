@@ -19,6 +19,7 @@ from tallyframe.llm.packing import pack
 from tallyframe.llm.quality import score_quality
 from tallyframe.llm.suffix_dedup import remove_repeats
 from tallyframe.llm.token_counts import count_tokens
+from tallyframe.llm.vector_codes import compress, digest
 
 
 def tokenizer(name: str) -> str:
@@ -85,6 +86,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048, 1).withColumnRenamed("id", "doc_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
     "op12_mixing": op12_mixing,
 }
 
@@ -131,6 +138,24 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.component_id, w.d
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 """
 
+#: Every part against every entry, three times.
+_FAR = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+_ASSIGNED = "SELECT r, p, any_value(x) AS x, arg_min(e, far * 64 + e) AS e, min(far) AS far FROM (SELECT r, p, x, e, {far} AS far FROM part JOIN {book} USING (p)) GROUP BY r, p"
+_LEARNED = """SELECT p, b.e, coalesce(n.c, b.c) AS c FROM {book} b LEFT JOIN (SELECT p, e, list(s ORDER BY i) AS c FROM
+  (SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS s FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM {assigned}) GROUP BY p, e, i) GROUP BY p, e) n USING (p, e)"""
+VECTOR_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept) JOIN part USING (r) WHERE e < 64),
+a0 AS MATERIALIZED ({_ASSIGNED.format(far=_FAR, book="b0")}), b1 AS MATERIALIZED ({_LEARNED.format(book="b0", assigned="a0")}),
+a1 AS MATERIALIZED ({_ASSIGNED.format(far=_FAR, book="b1")}), b2 AS MATERIALIZED ({_LEARNED.format(book="b1", assigned="a1")}),
+a2 AS MATERIALIZED ({_ASSIGNED.format(far=_FAR, book="b2")}),
+coded AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r), book
+"""
+
 #: Targets by trying each number of full sources in order of the level at which they are full; draws by a running sum.
 MIXING_SQL = r"""
 WITH d AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -149,5 +174,6 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE)
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION_SQL,
     "op7_jaccard_join": JACCARD_SQL,
+    "op11_vector_codes": VECTOR_SQL,
     "op12_mixing": MIXING_SQL,
 }
