@@ -17,6 +17,7 @@ from tallyframe.llm.mixing import mix
 from tallyframe.llm.orc_tokens import tokens_through_orc
 from tallyframe.llm.packing import pack
 from tallyframe.llm.quality import score_quality
+from tallyframe.llm.ranked_search import ranked_search
 from tallyframe.llm.suffix_dedup import remove_repeats
 from tallyframe.llm.token_counts import count_tokens
 from tallyframe.llm.vector_codes import compress, digest
@@ -95,6 +96,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_vector_codes": op11_vector_codes,
     "op12_mixing": op12_mixing,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: Windows of ten item words, found again among all runs of as many document words.
@@ -171,9 +178,22 @@ r AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target, CAST(words // every * size + greatest(0, least(size, words % every - before)) AS BIGINT) AS taken FROM r
 """
 
+#: Every document scored for every item.
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY t, n_all),
+x AS (SELECT item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN p USING (t), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": DECONTAMINATION_SQL,
     "op7_jaccard_join": JACCARD_SQL,
     "op11_vector_codes": VECTOR_SQL,
     "op12_mixing": MIXING_SQL,
+    "op13_ranked_search": SEARCH_SQL,
 }
