@@ -149,7 +149,7 @@ def source_fault(report: dict[str, Column], source: dict[str, Column]) -> Column
     sha = lambda c: F.when(F.lower(F.trim(c)).rlike("^[0-9a-f]{64}$"), F.lower(F.trim(c)))
     differs = lambda a, b: ~a.eqNullSafe(b)
     period = told(source["period"])
-    day = F.when(period.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(period, F.lit("yyyy-MM-dd")))
+    day = F.when(period.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(period, "yyyy-MM-dd"))
     steps = (
         (told(report["company"]).isNull(), "report_company_id_missing_or_invalid"),
         (F.coalesce(~report["year"].between(1900, 2200), F.lit(True)), "report_year_missing_or_invalid"),
