@@ -87,8 +87,8 @@ def unit_lines(spark, sf_dir):
 
 
 _BODY = "regexp_replace({raw}, '(.)', '[\\1]\\\\s*', 'g')"
-_BEFORE = f"(?:^|[\\n\\r]|[^{R.BEFORE} \\t]|(?:^|[\\n\\r]|[^{R.BEFORE_SPACE} \\t])[ \\t]+)"
-_AFTER = f"(?:$|[\\n\\r]|[^{R.AFTER} \\t]|[ \\t]+(?:$|[\\n\\r]|[^{R.AFTER_SPACE} \\t]))"
+_BEFORE = "(?:^|[\\n\\r]|[^0-9,，.．\\-－−(（ \\t]|(?:^|[\\n\\r]|[^,，.．\\-－−(（ \\t])[ \\t]+)"
+_AFTER = "(?:$|[\\n\\r]|[^0-9,，.．)） \\t]|[ \\t]+(?:$|[\\n\\r]|[^,，.．)） \\t]))"
 _COMPLETE = f"regexp_matches({{text}}, '{_BEFORE}' || {_BODY} || '{_AFTER}')"
 _BARE = "regexp_replace(now, '[-()（）]', '', 'g')"
 
