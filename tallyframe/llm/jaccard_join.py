@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Flat, materialize, shuffle_partitions, text_bytes
+from tallyframe.llm.common import Flat, give_back, materialize, shuffle_partitions, text_bytes, tidy
 from tallyframe.llm.components import components
 from tallyframe.llm.rolling import Rolling, mix
 
@@ -289,8 +289,12 @@ def _groups(rows: pa.Table) -> pa.Table:
     take[held < 2] = 0
     keep = take[group] > 0
     at = group[keep]
+    del names, group, first, same, shared, new, order
     columns = {"sid": sids[keep].view(np.int64), "gid": gid[at].view(np.int64), "step": steps[keep].astype(np.int64), "n": take[at], "need": needs[keep].astype(np.int64)}
-    return table(int(keep.sum()), **{k: pa.array(v) for k, v in columns.items()})
+    found = table(int(keep.sum()), **{k: pa.array(v) for k, v in columns.items()})
+    del columns, sids, steps, needs, keep, at
+    give_back()
+    return found
 
 
 def _enough(groups: DataFrame) -> DataFrame:
@@ -313,7 +317,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch({"node": batch.column("node").slice(lo, hi - lo), "shingles": pa.ListArray.from_arrays(pa.array(edge), pa.array(shingles.view(np.int64)))})
 
     kind = docs.schema["node"].dataType.simpleString()
-    return docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, f"node {kind}, shingles array<long>")
+    return docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(tidy(run), f"node {kind}, shingles array<long>")
 
 
 def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -354,7 +358,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 3, denomin
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     kind = source.schema["id"].dataType.simpleString()
     id_of = f"id {kind}"
-    dealt = source.mapInArrow(_emit(words, (numerator, denominator), shuffle_partitions(spark)), DEALT.format(id=id_of))
+    dealt = source.mapInArrow(tidy(_emit(words, (numerator, denominator), shuffle_partitions(spark))), DEALT.format(id=id_of))
     both = materialize(dealt.groupBy("bucket").applyInArrow(_groups, SORTED.format(id=id_of)), "signatures")
     rows = both.filter("gid is null").select("id", "sid", "sid2", "size")
     classes = materialize(rows.filter("sid is not null").groupBy("sid", "sid2", "size").agg(F.min("id").alias("node")).filter("node is not null"), "classes")

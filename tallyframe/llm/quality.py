@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Flat, PieceCache, held_out, text_bytes
+from tallyframe.llm.common import Flat, PieceCache, held_out, text_bytes, tidy
 
 BUCKETS = 1 << 18
 SHORT, LONG = 2, 4
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col:
 class Scorer:
     def __init__(self, adds: np.ndarray, bias: float):
         self.adds, self.bias = adds, bias
-        self.cache = PieceCache(self._fill, 300_000)
+        self.cache = PieceCache(self._fill, 150_000)
 
     def _fill(self, words: list[str]) -> list[complex]:
         """A word's sum and number of features as one complex number."""
@@ -135,4 +135,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, thresh
                 yield pa.record_batch({"id": batch.column("id").slice(lo, hi - lo), "held_out": batch.column("held_out").slice(lo, hi - lo), "score": pa.array(score, pa.float64()), "predicted": pa.array([int(s >= threshold) for s in score], pa.int32())})
 
     source = docs.select((F.col(id_col) if key is None else key).alias("id"), held_out(id_col).alias("held_out"), text_bytes(text_col).alias("bytes"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
