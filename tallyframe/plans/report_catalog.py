@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from tallyframe.plans.catalog import registered
 from tallyframe.plans.facts import FACTS_SQL, facts, read
 from tallyframe.sources.report_lines import LINES_SQL, ROWS_SQL, report_lines, row_lines
 from tallyframe.streaming.status import drained
+from tallyframe.streaming.tables import shared_place
 
 METRICS = {"accounts_receivable_net": "应收账款", "inventory_net": "存货"}
 YEAR = 2024
@@ -377,6 +375,5 @@ def rule_profit_cash_current(spark, sf_dir):
 @registered("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def streamed_status_counts(spark, sf_dir):
     """The event table read as a stream. Its table and checkpoint lie in the shared folder; without one (tests) in a new one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-")
-    at = f"{shared.rstrip('/')}/status-{uuid.uuid4().hex}"
+    at = shared_place(spark, "status")
     return drained(spark, f"{sf_dir}/events.parquet", f"{at}/table", f"{at}/checkpoint")

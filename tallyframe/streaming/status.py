@@ -1,7 +1,10 @@
 """Counts of states by time window over a stream of events, kept up to date as files arrive.
 
-State is one row a window and kind, whatever the number of events. Late events within the delay still count; null times and
-kinds make groups of their own only if the stream is unbounded by a watermark, so rows without time are dropped.
+The stream's state is one row for each open window and kind: the watermark frees windows that late events can no longer
+reach. A micro-batch writes only the windows that it changed, and a window's count is that of its last batch.
+
+Defined cases: events without time are dropped, as no watermark would ever free them; null kinds are a kind; events later
+than the delay count no more.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.streaming.tables import keeper, kept, newest, stream_of
+
 
 def window_counts(events: DataFrame, kind: str = "event_type", ts: str = "ts", width: str = "1 day", delay: str = "1 day") -> DataFrame:
     """start, kind, n of every window; works on streams and on tables alike."""
@@ -17,11 +22,10 @@ def window_counts(events: DataFrame, kind: str = "event_type", ts: str = "ts", w
     return counted.select(F.col("w.start").alias("start"), kind, "n")
 
 
-def drained(spark: SparkSession, source: str, path: str, checkpoint: str) -> DataFrame:
+def drained(spark: SparkSession, source: str, path: str, checkpoint: str, kind: str = "event_type") -> DataFrame:
     """Runs the stream over all files that are there, and returns the table that it keeps at `path`."""
-    # a pattern, as a stream takes a single file only by one
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
-    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    query = window_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+    counts = window_counts(stream_of(spark, source), kind)
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keeper(path)).start()
     query.awaitTermination()
-    return spark.read.parquet(path)
+    schema = f"start timestamp, {kind} {counts.schema[kind].dataType.simpleString()}, n long"
+    return newest(kept(spark, path, schema), ["start", kind], "n")
