@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import inspect
 import re
 import tempfile
 import uuid
@@ -56,10 +57,11 @@ def text_bytes(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Returns what this Python worker no longer uses to the machine. Workers outlive their tasks, and memory that they
     keep is missing to the stages that come after."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)
@@ -78,6 +80,22 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def tidy_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A group's function, of one table or two, that gives memory back after each group."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        found = run(rows)
+        give_back(collect=False)
+        return found
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = run(left, right)
+        give_back(collect=False)
+        return found
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
 class Flat:
     """The values of an Arrow binary or string column as one byte array with offsets, without copying."""
 

@@ -198,7 +198,7 @@ def _emit(words: int, bands_of: tuple[int, int], buckets: int):
         bands = _bands(*bands_of)
         for batch in batches:
             texts, ids = Flat(batch.column("bytes")), batch.column("id")
-            for lo, hi in texts.runs(2 << 20):
+            for lo, hi in texts.runs(3 << 19):
                 of, shingles = shingle_sets(texts, lo, hi, words)
                 n = hi - lo
                 sizes = np.bincount(of, minlength=n)
@@ -254,23 +254,26 @@ def _groups(rows: pa.Table) -> pa.Table:
 
     if rows["bucket"][0].as_py() < 0:
         return table(rows.num_rows, **{k: rows[k] for k in ("id", "sid", "sid2", "size")})
-    names, sids, steps, needs = [], [], [], []
-    for packed, members, listed, least in zip(*(rows[k].to_pylist() for k in ("names", "members", "sids", "needs")), strict=True):
-        wide = np.zeros((len(packed) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-        member = np.frombuffer(members, np.uint16 if len(members) == 2 * len(wide) else np.uint32)
-        names.append(wide.view(np.uint64).ravel())
+    # names alone first: most stand alone, and of these nothing else is unpacked
+    packed = rows["names"].to_pylist()
+    wide = np.zeros((sum(map(len, packed)) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 5)
+    names = wide.view(np.uint64).ravel()
+    edges = np.concatenate(([0], np.cumsum([len(p) // 5 for p in packed])))
+    twice = np.sort(names)
+    twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+    if not len(twice):
+        return table(0)
+    shared = twice[np.minimum(np.searchsorted(twice, names), len(twice) - 1)] == names
+    sids, steps, needs = [], [], []
+    for members, listed, least, a, b in zip(*(rows[k].to_pylist() for k in ("members", "sids", "needs")), edges[:-1], edges[1:], strict=True):
+        member = np.frombuffer(members, np.uint16 if len(members) == 2 * (b - a) else np.uint32)[shared[a:b]]
         sids.append(np.frombuffer(listed, np.uint64)[member >> 1])
         steps.append((member & 1).astype(np.int8))
         needs.append(np.frombuffer(least, np.uint32)[member])
-    names, sids, steps, needs = map(np.concatenate, (names, sids, steps, needs))
-    order = np.argsort(names, kind="stable")
-    names, sids, steps, needs = (x[order] for x in (names, sids, steps, needs))
-    same = names[1:] == names[:-1]
-    shared = np.zeros(len(names), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    names, sids, steps, needs = (x[shared] for x in (names, sids, steps, needs))
+    names = names[shared]
+    del packed, wide, twice, shared
+    sids, steps, needs = map(np.concatenate, (sids, steps, needs))
     # a class counts once in its group, and groups of one class are none
     order = np.lexsort((sids, names))
     names, sids, steps, needs = (x[order] for x in (names, sids, steps, needs))
@@ -289,11 +292,11 @@ def _groups(rows: pa.Table) -> pa.Table:
     take[held < 2] = 0
     keep = take[group] > 0
     at = group[keep]
-    del names, group, first, same, shared, new, order
+    del names, group, first, new, order
     columns = {"sid": sids[keep].view(np.int64), "gid": gid[at].view(np.int64), "step": steps[keep].astype(np.int64), "n": take[at], "need": needs[keep].astype(np.int64)}
     found = table(int(keep.sum()), **{k: pa.array(v) for k, v in columns.items()})
     del columns, sids, steps, needs, keep, at
-    give_back()
+    give_back(collect=False)
     return found
 
 

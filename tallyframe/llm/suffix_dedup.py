@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Flat, shuffle_partitions, text_bytes
+from tallyframe.llm.common import Flat, shuffle_partitions, text_bytes, tidy_group
 from tallyframe.llm.rolling import Rolling
 
 #: Perfect difference sets: every residue modulo v is a difference of two members.
@@ -331,12 +331,12 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    buckets, chunks = max(1, 2 * parts // 3), 2 * parts
+    buckets, chunks = max(1, 4 * parts // 3), 2 * parts
     source = docs.select((F.col(id_col) if key is None else key).alias("id"), text_bytes(text_col).alias("bytes"))
     chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id", "bytes"), F.lit(chunks))).repartition(parts, "chunk")
     by_chunk = lambda df: df.groupBy("chunk")
-    found = by_chunk(chunked).applyInArrow(_emit_samples(min_len, buckets), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
+    found = by_chunk(chunked).applyInArrow(tidy_group(_emit_samples(min_len, buckets)), KEYS).groupBy("bucket").applyInArrow(tidy_group(_sort_bucket), FOUND)
     for tag in (SILENT, SUFFIX):
-        found = by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_emit_next(min_len, buckets, tag), KEYS).groupBy("bucket").applyInArrow(_sort_bucket, FOUND)
+        found = by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(tidy_group(_emit_next(min_len, buckets, tag)), KEYS).groupBy("bucket").applyInArrow(tidy_group(_sort_bucket), FOUND)
     id_type = source.schema["id"].dataType.simpleString()
-    return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(_cut(min_len, min_words), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary, n_shared long")
+    return by_chunk(chunked).cogroup(by_chunk(found)).applyInArrow(tidy_group(_cut(min_len, min_words)), f"id {id_type}, n_bytes long, starts array<long>, ends array<long>, kept binary, n_shared long")
