@@ -11,6 +11,7 @@ of white space, strings that look like special tokens) is encoded whole.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import itertools
 import json
@@ -43,7 +44,19 @@ def ranked(tok):
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     special = {t["content"] for t in rule["added_tokens"]}
     ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items() if s not in special}
-    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    made = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return made if alike(tok, made, ranks) else None
+
+
+def alike(tok, made, ranks: dict[bytes, int]) -> bool:
+    """Whether both libraries encode every string of the vocabulary alike, that is, merge it in the same way. Strings that
+    are no UTF-8 by themselves occur inside of others only."""
+    texts = []
+    for b in ranks:
+        with contextlib.suppress(UnicodeDecodeError):
+            texts.append(b.decode())
+    theirs = tok.encode_batch_fast(texts, add_special_tokens=False)
+    return all(e.ids == made.encode_ordinary(t) for e, t in zip(theirs, texts, strict=True))
 
 
 class Encoder:

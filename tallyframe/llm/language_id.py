@@ -29,6 +29,15 @@ from tallyframe.llm.common import Flat, PieceCache, held_out, text_bytes
 from tallyframe.llm.rolling import mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters. The pattern also takes numbers that are no decimal digits, such as fractions and Roman numerals, for
+    letters; where it has met one, its run is cut there."""
+    runs = LETTERS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
 START = "▁"
 #: Probabilities are multiplied by this for each character, so that those of usual words stay near 1.
 LIFT = 16.0
@@ -246,7 +255,7 @@ class Scorer:
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
-        words = [LETTERS.findall(t.lower()) for t in texts]
+        words = [letter_runs(t.lower()) for t in texts]
         self.cache.know(itertools.chain.from_iterable(words))
         flat = np.fromiter(map(self.cache.__getitem__, itertools.chain.from_iterable(words)), np.int64)
         edge = np.concatenate(([0], np.cumsum([len(w) for w in words])))
@@ -275,7 +284,7 @@ def train(docs: DataFrame, path: str, per_language: int, id_col: str, text_col:
         for batch in batches:
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.update((lang, w) for w in LETTERS.findall(text.lower()))
+                found.update((lang, w) for w in letter_runs(text.lower()))
             yield pa.record_batch({"lang": pa.array([k[0] for k in found], pa.string()), "word": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     def fit(rows: pa.Table) -> pa.Table:

@@ -317,8 +317,9 @@ def elsewhere(found: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int = 64, dim: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, n_tokens, log_prob, mean_log_prob (0 without tokens), seen (share of tokens whose context occurs elsewhere
-    with the same token)."""
+    """Returns id, n_tokens, log_prob and mean_log_prob (0 without tokens) by the network alone; corpus_log_prob and
+    corpus_mean_log_prob, the same updated by how often each token's context occurs elsewhere, with it and in all; and seen
+    (share of tokens whose context occurs elsewhere with the same token)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
@@ -333,22 +334,25 @@ def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int
         texts = Flat(own["bytes"])
         runs, names, _ = chunk_names(texts)
         here, context = elsewhere(found, len(names))
-        sizes, sums, again = [], [], []
+        sizes, alone, sums, again = [], [], [], []
         for (lo, hi), run in zip(texts.runs(2 << 20), runs, strict=True):
             words, edge = numbered([texts[i].tobytes() for i in range(lo, hi)], ids)
-            prior = np.exp(token_scores(model, know, words, edge))
-            at = np.searchsorted(names, run)
+            told_by_network = token_scores(model, know, words, edge)
+            prior, at = np.exp(told_by_network), np.searchsorted(names, run)
+            q = np.concatenate(([0.0], np.cumsum(told_by_network)))
             p = np.concatenate(([0.0], np.cumsum(np.log((here[at] + prior) / (context[at] + 1)))))
             met = np.concatenate(([0], np.cumsum(here[at] > 0)))
             sizes.append(np.diff(edge))
+            alone.append(q[edge[1:]] - q[edge[:-1]])
             sums.append(p[edge[1:]] - p[edge[:-1]])
             again.append(met[edge[1:]] - met[edge[:-1]])
-        n, total, met = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, sums, again))
+        n, own_sum, total, met = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, alone, sums, again))
         least = np.maximum(n, 1)
-        return pa.table({"id": own["id"], "n_tokens": pa.array(n.astype(np.int64)), "log_prob": pa.array(total), "mean_log_prob": pa.array(total / least), "seen": pa.array(met / least)})
+        scores = {"log_prob": own_sum, "mean_log_prob": own_sum / least, "corpus_log_prob": total, "corpus_mean_log_prob": total / least, "seen": met / least}
+        return pa.table({"id": own["id"], "n_tokens": pa.array(n.astype(np.int64))} | {k: pa.array(x) for k, x in scores.items()})
 
     chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id", "bytes"), F.lit(2 * parts))).repartition(parts, "chunk")
     sent = chunked.groupBy("chunk").applyInArrow(_tell(parts), "bucket long, chunk long, names binary, many binary, counts binary")
     found = sent.groupBy("bucket").applyInArrow(_count, "chunk long, bucket long, here binary, context binary")
     id_type = source.schema["id"].dataType.simpleString()
-    return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {id_type}, n_tokens long, log_prob double, mean_log_prob double, seen double")
+    return chunked.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {id_type}, n_tokens long, log_prob double, mean_log_prob double, corpus_log_prob double, corpus_mean_log_prob double, seen double")
