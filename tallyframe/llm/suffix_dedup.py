@@ -30,7 +30,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Flat, shuffle_partitions, text_bytes, tidy_group
@@ -321,6 +321,14 @@ def _cut(min_len: int, min_words: int):
     return run
 
 
+def even_labels(spark: SparkSession, parts: int, each: int) -> DataFrame:
+    """k (0 up to parts * each) and chunk: numbers of which a shuffle into `parts` partitions by hash deals `each` to every
+    one. Numbers taken as they come leave some partitions several times as full as others."""
+    tried = spark.range(12 * parts * each).select(F.col("id").alias("chunk"), F.pmod(F.hash("id"), F.lit(parts)).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("at").orderBy("chunk"))
+    return tried.withColumn("nth", nth).filter(F.col("nth") <= each).select((F.col("at") * each + F.col("nth") - 1).alias("k"), "chunk")
+
+
 def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, min_words: int = 0) -> DataFrame:
     """Returns id (or `key` in its place, such as a struct of columns to pass through), n_bytes, starts and ends (arrays: the maximal byte spans removed), kept (the remaining bytes), n_shared (bytes of
     sampled strings, NAMED long at most, that occur elsewhere: shows repeats too short to be removed, from NAMED + 132
@@ -333,7 +341,10 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     parts = shuffle_partitions(spark)
     buckets, chunks = max(1, 4 * parts // 3), 2 * parts
     source = docs.select((F.col(id_col) if key is None else key).alias("id"), text_bytes(text_col).alias("bytes"))
-    chunked = source.withColumn("chunk", F.pmod(F.xxhash64("id", "bytes"), F.lit(chunks))).repartition(parts, "chunk")
+    dealt = source.withColumn("k", F.pmod(F.xxhash64("id", "bytes"), F.lit(chunks)).cast("int"))
+    # a number that no label was found for gets one of its own, beyond all tried
+    labelled = dealt.join(F.broadcast(even_labels(spark, parts, 2)), "k", "left").withColumn("chunk", F.coalesce("chunk", 12 * chunks + F.col("k")))
+    chunked = labelled.select("id", "bytes", "chunk").repartition(parts, "chunk")
     by_chunk = lambda df: df.groupBy("chunk")
     found = by_chunk(chunked).applyInArrow(tidy_group(_emit_samples(min_len, buckets)), KEYS).groupBy("bucket").applyInArrow(tidy_group(_sort_bucket), FOUND)
     for tag in (SILENT, SUFFIX):

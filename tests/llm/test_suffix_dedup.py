@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
-from tallyframe.llm.suffix_dedup import COVERS, remove_repeats
+from pyspark.sql import functions as F
+
+from tallyframe.llm.suffix_dedup import COVERS, even_labels, remove_repeats
 
 
 def brute(texts, k):
@@ -73,3 +75,12 @@ def test_passages_by_length(spark):
             assert removed >= n if n >= 400 else removed == 0
             assert shared >= 160 if n >= 292 else shared <= n
     assert got[90] == got[91] == (0, 0)
+
+
+def test_labels_are_dealt_evenly(spark):
+    for parts, each in ((1, 2), (7, 2), (51, 3)):
+        labels = even_labels(spark, parts, each)
+        rows = labels.collect()
+        assert sorted(r["k"] for r in rows) == list(range(parts * each)) and len({r["chunk"] for r in rows}) == parts * each
+        dealt = labels.repartition(parts, "chunk").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert [r["count"] for r in dealt] == [each] * parts
