@@ -88,7 +88,8 @@ def incompatible(names: dict[str, str] = LATER) -> Column:
 
 
 def later_changes(facts: DataFrame, verifications: DataFrame, comparability: DataFrame) -> DataFrame:
-    """report, metric, status, reason (of incompatible facts), difference, rate_status and rate by the later path.
+    """report, metric, status, reason (of incompatible facts), difference, rate_status, rate and basis (what another metric's
+    pair must share for both to be compared) by the later path.
 
     verifications: target_id, target_type, status; a fact needs exactly one of type financial_fact, and it verified.
     comparability: document, report_year, status, restatement; the pair needs one verified as not restated."""
@@ -124,7 +125,9 @@ def later_changes(facts: DataFrame, verifications: DataFrame, comparability: Dat
     done = F.col("status") == "succeeded"
     difference = (F.col("cur.value") - F.col("pri.value")).cast("decimal(20,2)")
     base = F.col("pri.value") > 0
+    basis = F.concat_ws("|", *(F.col(f"cur.{c}") for c in ("company", "document", "sha256", "currency", "unit", "scope")), F.col("cur.multiplier").try_cast("decimal(38,10)").cast("string"))
     return rows.select(
         "report", "metric", "status", F.when(F.col("status") == "incompatible_facts", F.col("reason")).alias("reason"), F.when(done, difference).alias("difference"),
         F.when(done & ~base, "nonpositive_base").otherwise(F.col("status")).alias("rate_status"), F.when(done & base, F.try_divide(difference, F.col("pri.value")).cast("decimal(20,8)")).alias("rate"),
+        F.when(done, basis).alias("basis"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import identity_changes as I
+from tallyframe.operators import screening
 from tallyframe.plans.catalog import registered
 from tallyframe.plans.facts import FACTS_SQL, facts
 
@@ -64,18 +65,24 @@ def earlier_changes(spark, sf_dir):
 _LATER = {"company_id": "company", "source_document_id": "document", "source_sha256": "sha256", "currency": "currency", "scope": "scope", "unit": "unit", "unit_multiplier": "CAST(multiplier{s} AS DOUBLE)"}
 
 
-@registered(f"""WITH {FACTS_SQL}, {_CLAIMS},
+_LATER_SQL = f"""WITH {FACTS_SQL}, {_CLAIMS},
 n AS (SELECT report AS of_report, fact_id AS of_id, count(*) AS same FROM claims GROUP BY 1, 2),
 w AS (SELECT claims.*, same > 1 AS again FROM claims JOIN n ON of_report = report AND of_id = fact_id),
 {_PAIRED.replace("FROM claims WHERE", "FROM w WHERE NOT again AND")},
 v AS (SELECT report, metric, bool_or(again) AS blocked, bool_and(CASE WHEN e % 16 = 12 AND metric = 'revenue' THEN false ELSE verified END) FILTER (NOT again AND year(period_end) = CASE WHEN k THEN report_year ELSE report_year - 1 END) AS verified, any_value(e) AS e, any_value(r) AS r FROM w GROUP BY 1, 2),
 s AS (SELECT v.*, p.* EXCLUDE (report, metric), {_differ(_LATER)} AS differ FROM v LEFT JOIN p ON p.report = v.report AND p.metric = v.metric),
 t AS (SELECT *, CASE WHEN period_type_c <> 'duration' OR period_type_p <> 'duration' THEN 'period_type' WHEN month(period_start_c) <> 1 THEN 'natural_year' WHEN frequency_p <> 'annual' THEN 'frequency' WHEN differ <> '' THEN differ WHEN scope_c = 'unknown' AND metric <> 'non_recurring_total' THEN 'scope_unknown' END AS reason FROM s),
-u AS (SELECT *, CASE WHEN blocked THEN 'duplicate_fact_id' WHEN coalesce(n_c, 0) = 0 OR coalesce(n_p, 0) = 0 THEN 'missing_fact' WHEN n_c > 1 OR n_p > 1 THEN 'duplicate_fact' WHEN reason IS NOT NULL THEN 'incompatible_facts' WHEN NOT verified THEN 'verification' WHEN e % 4 = 2 AND r % 2 = 0 THEN 'comparability' WHEN restatement_c = 'restated' OR restatement_p = 'restated' THEN 'restatement_mismatch' ELSE 'succeeded' END AS status FROM t)
-SELECT report, metric, status, CASE WHEN status = 'incompatible_facts' THEN reason END AS reason, CASE WHEN status = 'succeeded' THEN CAST(value_c - value_p AS DECIMAL(20,2)) END AS difference, CASE WHEN status = 'succeeded' AND value_p <= 0 THEN 'nonpositive_base' ELSE status END AS rate_status,
+u AS (SELECT *, CASE WHEN blocked THEN 'duplicate_fact_id' WHEN coalesce(n_c, 0) = 0 OR coalesce(n_p, 0) = 0 THEN 'missing_fact' WHEN n_c > 1 OR n_p > 1 THEN 'duplicate_fact' WHEN reason IS NOT NULL THEN 'incompatible_facts' WHEN NOT verified THEN 'verification' WHEN e % 4 = 2 AND r % 2 = 0 THEN 'comparability' WHEN restatement_c = 'restated' OR restatement_p = 'restated' THEN 'restatement_mismatch' ELSE 'succeeded' END AS status FROM t)"""
+
+
+@registered(_LATER_SQL + """ SELECT report, metric, status, CASE WHEN status = 'incompatible_facts' THEN reason END AS reason, CASE WHEN status = 'succeeded' THEN CAST(value_c - value_p AS DECIMAL(20,2)) END AS difference, CASE WHEN status = 'succeeded' AND value_p <= 0 THEN 'nonpositive_base' ELSE status END AS rate_status,
   CAST(round(CASE WHEN status = 'succeeded' AND value_p > 0 THEN CAST(value_c - value_p AS DOUBLE) / CAST(value_p AS DOUBLE) END, 8) AS DECIMAL(20,8)) AS rate FROM u""")
 def later_changes(spark, sf_dir):
     """Changes of the later path: ids, roles, periods, identity, verification, comparability and restatement."""
+    return _later(spark, sf_dir).drop("basis")
+
+
+def _later(spark, sf_dir):
     claims = _claims(spark, sf_dir)
     checked = claims.select(F.col("fact_id").alias("target_id"), F.lit("financial_fact").alias("target_type"), F.when(F.col("verified"), "verified").otherwise("conflict").alias("status"), "e", "metric")
     # facts of some entities have no verification, or a second one; claims are verified once for each fact id
@@ -85,3 +92,16 @@ def later_changes(spark, sf_dir):
     verdicts = claims.select("document", F.col("r").alias("report_year"), "e").filter("document IS NOT NULL").distinct()
     verdicts = verdicts.select("document", "report_year", F.expr("CASE WHEN e % 4 = 2 AND report_year % 2 = 0 THEN 'conflict' ELSE 'verified' END").alias("status"), F.lit("not_restated").alias("restatement"))
     return I.later_changes(claims, checked.unionByName(second).unionByName(other), verdicts)
+
+
+PAIRS = {"profit_up_cash_down": ("net_profit_parent", "operating_cash_flow"), "revenue_up_cash_down": ("revenue", "operating_cash_flow")}
+
+
+@registered(_LATER_SQL + """,
+k AS (SELECT *, concat_ws('|', company_c, document_c, sha256_c, currency_c, unit_c, scope_c, CAST(CAST(multiplier_c AS DOUBLE) AS VARCHAR)) AS basis, value_c - value_p AS d FROM u WHERE metric IN ('net_profit_parent', 'revenue', 'operating_cash_flow')),
+sg AS (SELECT DISTINCT report, signal, up FROM u, (VALUES ('profit_up_cash_down', 'net_profit_parent'), ('revenue_up_cash_down', 'revenue')) t(signal, up))
+SELECT sg.report, signal, CASE WHEN a.status = 'succeeded' AND b.status = 'succeeded' AND a.basis = b.basis THEN CASE WHEN a.d > 0 AND b.d < 0 THEN 'candidate' ELSE 'not_triggered' END ELSE 'abstained' END AS status
+FROM sg LEFT JOIN k a ON a.report = sg.report AND a.metric = up LEFT JOIN k b ON b.report = sg.report AND b.metric = 'operating_cash_flow'""")
+def signal_candidates(spark, sf_dir):
+    """Profit or revenue up while cash is down, of confirmed differences on one basis."""
+    return screening.candidates(_later(spark, sf_dir), PAIRS)
