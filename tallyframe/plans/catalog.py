@@ -141,12 +141,15 @@ def forward_asof(spark, sf_dir):
     return relations.next_within(read(spark, sf_dir, "events"), "signup", "purchase", 86400)
 
 
-@registered("SELECT e.event_id, p.p_partkey FROM (SELECT * FROM events WHERE event_type = 'error') e JOIN (SELECT p_partkey, p_size FROM part WHERE p_size <= 3) p ON e.value BETWEEN p.p_size - 0.25 AND p.p_size + 0.25")
+@registered("SELECT p.p_partkey, count(e.event_id) AS n_events, min(e.event_id) AS first_event, count(*) FILTER (e.event_type = 'error') AS n_errors FROM part p LEFT JOIN events e ON e.value BETWEEN p.p_size - 0.25 AND p.p_size + 0.25 GROUP BY p.p_partkey")
 def band_join(spark, sf_dir):
-    """The band becomes an equi-join on the nearest whole size, with the exact bounds as a filter."""
-    events = read(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "value", F.round("value").cast("int").alias("p_size"))
-    sizes = read(spark, sf_dir, "part").filter("p_size <= 3").select("p_partkey", "p_size")
-    return events.join(sizes, "p_size").filter("value BETWEEN p_size - 0.25 AND p_size + 0.25").select("event_id", "p_partkey")
+    """All parts with all events of their band. The band becomes an equi-join on the nearest whole size, and events are
+    gathered by size before they meet parts, so neither side's pairs are made."""
+    size = F.round("value").cast("int")
+    near = read(spark, sf_dir, "events").select("event_id", "event_type", "value", size.alias("p_size")).filter("value BETWEEN p_size - 0.25 AND p_size + 0.25")
+    of_size = near.groupBy("p_size").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size").join(of_size, "p_size", "left")
+    return parts.select("p_partkey", F.coalesce("n_events", F.lit(0)).alias("n_events"), "first_event", F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
 
 
 @registered("SELECT e.event_id, count(*) AS n_parts, min(p.p_partkey) AS first_part FROM events e JOIN part p ON e.value BETWEEN p.p_size - 0.25 AND p.p_size + 0.25 GROUP BY e.event_id")
@@ -224,7 +227,7 @@ def job_latest_state(spark, sf_dir):
 
 @registered("SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'failed' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'abstained' ELSE 'passed' END AS status FROM events GROUP BY 1")
 def job_status_rollup(spark, sf_dir):
-    return relations.rolled_up(read(spark, sf_dir, "events"))
+    return relations.rolled_up(read(spark, sf_dir, "events"), "user_id", "event_type", "error", 20, "purchase")
 
 
 @registered("SELECT lang, count(*) FILTER (quality = 1 AND toxic = 0) AS accepted, count(*) FILTER (quality = 0) AS rejected, count(*) FILTER (quality = 1 AND toxic = 1) AS abstained, CAST(round(count(*) FILTER (quality = 0) / count(*), 6) AS DECIMAL(20,6)) AS rejected_rate FROM labels JOIN documents USING (doc_id) GROUP BY 1")
