@@ -18,6 +18,8 @@ SQL: dict[str, str] = {}
 
 def registered(sql: str) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         SQL[f.__name__] = sql
         return f

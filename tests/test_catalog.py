@@ -10,7 +10,7 @@ import __spark_entry__
 from tallyframe.functions.text import lines, parse_amount
 from tallyframe.operators import changes, rules
 from tallyframe.operators.ordered import assembled, section
-from tallyframe.plans import alignment_catalog, catalog, change_catalog, comparability_catalog, evidence_catalog, narrative_catalog, report_catalog, request_catalog, screening_catalog, statement_catalog, stream_catalog, token_catalog, words_catalog  # noqa: F401
+from tallyframe.plans import alignment_catalog, catalog, change_catalog, comparability_catalog, evidence_catalog, narrative_catalog, placement_catalog, report_catalog, request_catalog, screening_catalog, statement_catalog, stream_catalog, token_catalog, words_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
