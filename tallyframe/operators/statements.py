@@ -175,3 +175,31 @@ def statement_facts(pages: DataFrame, year: int, targets: tuple[Target, ...] = T
     }
     df = df.withColumn("code", code)
     return df.select("doc", "target.metric", "code", *(F.when(F.col("code") == "ok", c).alias(n) for n, c in given.items()))
+
+
+# How the later path names these metrics and their statements, and scopes as tables print them.
+LATER_NAMES = {"营业收入": ("revenue", "income_statement"), "归属于母公司股东的净利润": ("net_profit_parent", "income_statement"), "经营活动产生的现金流量净额": ("operating_cash_flow", "cash_flow_statement"), "披露的非经常性损益合计": ("non_recurring_total", "non_recurring")}
+LATER_SCOPES = {"合并": "consolidated", "母公司": "parent"}
+
+
+def as_later_facts(facts: DataFrame, year: int, scope: str = "scope") -> DataFrame:
+    """Facts of statements in the form of the later path, a row for each of both years of every fact whose code is ok:
+    doc, fact_id, metric, statement, report_year, role, period_start, period_end, period_type, frequency, raw_value, value,
+    unit (null: the earlier form has none), multiplier, currency, scope, restatement (unknown, as nothing proves more) and
+    limits, the names of what the earlier form left open. Metrics that are not known to be flows have no period and the
+    name unknown; a scope that is none of a table's, and that of the one-off total, is unknown."""
+    known = lambda i: F.coalesce(*(F.when(F.col("metric") == m, two[i]) for m, two in LATER_NAMES.items()))
+    both = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(r).alias("role"), F.col(f"raw_{s}").alias("raw"), F.col(s).alias("value")) for y, r, s in ((year, "current", "now"), (year - 1, "comparative", "before"))))
+    # a filter on the code would be pushed into the steps that make it, which makes them again and again
+    rows = facts.withColumn("side", F.explode_outer(F.when(F.col("code") == "ok", both))).filter("side IS NOT NULL").withColumn("later", F.coalesce(known(0), F.lit("unknown")))
+    flow, total = F.col("later") != "unknown", F.col("later") == "non_recurring_total"
+    shown = F.coalesce(*(F.when(F.col(scope) == t, name) for t, name in LATER_SCOPES.items()))
+    told = F.when(total | shown.isNull(), "unknown").otherwise(shown)
+    day = lambda month, d: F.when(flow, F.make_date("side.y", F.lit(month), F.lit(d)))
+    limits = F.array_compact(F.array(F.when(~flow, "unknown_metric"), F.when(told == "unknown", "unknown_scope"), F.when(F.col("currency").isNull(), "currency_undisclosed"), F.lit("restatement_unknown"), F.lit("text_blocks_only")))
+    scale = F.coalesce(*(F.when(F.col("unit") == u, F.lit(str(m))) for u, m in MULTIPLIERS.items()))
+    return rows.select(
+        "doc", F.concat_ws(":", F.col("doc").cast("string"), "later", F.col("side.y").cast("string"), "side.role").alias("fact_id"), F.col("later").alias("metric"), known(1).alias("statement"), F.lit(year).alias("report_year"), "side.role",
+        day(1, 1).alias("period_start"), day(12, 31).alias("period_end"), F.when(flow, "duration").alias("period_type"), F.when(flow, "annual").alias("frequency"), F.col("side.raw").alias("raw_value"), "side.value",
+        F.lit(None).cast("string").alias("unit"), scale.alias("multiplier"), F.coalesce("currency", F.lit("未披露")).alias("currency"), told.alias("scope"), F.lit("unknown").alias("restatement"), limits.alias("limits"),
+    )

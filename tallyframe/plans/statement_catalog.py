@@ -50,3 +50,15 @@ _OK = {"raw_now": "raw_now", "raw_before": "raw_before", "now": "CAST(now * scal
 def statement_facts(spark, sf_dir):
     """Both years of four metrics, or the first gate that failed."""
     return statements.statement_facts(statement_pages(spark, sf_dir), 2024, order=("ord", "k", "text", "page"))
+
+
+@registered(f"""WITH RECURSIVE {PAGES_SQL}, {_LINES}, {_FACTS},
+s2 AS (SELECT *, unnest([2024, 2023]) AS y, unnest([raw_now, raw_before]) AS raw, unnest([now * scale, before * scale]) AS v, CASE metric WHEN '营业收入' THEN 'revenue' WHEN '归属于母公司股东的净利润' THEN 'net_profit_parent' WHEN '经营活动产生的现金流量净额' THEN 'operating_cash_flow' ELSE 'non_recurring_total' END AS m FROM c WHERE code = 'ok')
+SELECT doc || ':' || m || ':' || y || ':' || CASE y WHEN 2024 THEN 'current' ELSE 'comparative' END AS fact_id, m AS metric, make_date(y, 1, 1) AS period_start, make_date(y, 12, 31) AS period_end, raw AS raw_value, CAST(v AS DECIMAL(38,2)) AS value, CAST(scale AS VARCHAR) AS multiplier, coalesce(currencies[1], '未披露') AS currency,
+  CASE WHEN m = 'non_recurring_total' THEN 'unknown' ELSE 'consolidated' END AS scope, concat_ws(',', CASE WHEN m = 'non_recurring_total' THEN 'unknown_scope' END, CASE WHEN currencies[1] IS NULL THEN 'currency_undisclosed' END, 'restatement_unknown', 'text_blocks_only') AS limits FROM s2""")
+def adapted_facts(spark, sf_dir):
+    """Facts of statements in the form of the later path."""
+    found = statements.statement_facts(statement_pages(spark, sf_dir), 2024, order=("ord", "k", "text", "page"))
+    scope = F.when(F.col("metric") == "披露的非经常性损益合计", "披露表格口径").otherwise("合并")
+    rows = statements.as_later_facts(found.withColumn("scope", scope), 2024)
+    return rows.select("fact_id", "metric", "period_start", "period_end", "raw_value", "value", "multiplier", "currency", "scope", F.array_join("limits", ",").alias("limits"))

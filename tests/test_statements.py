@@ -96,3 +96,16 @@ def test_rows_equal_plain_loop(spark):
     for i, c in enumerate(cases):
         want = list(itertools.chain.from_iterable([k] * len(r) for k, r in enumerate(brute_rows(c))))
         assert (got.get(i) or []) == want, c
+
+
+def test_facts_in_the_later_form(spark):
+    schema = "doc string, metric string, code string, raw_now string, raw_before string, now decimal(38,2), before decimal(38,2), unit string, currency string, scope string"
+    rows = [("a", "营业收入", "ok", "1.00", "2.00", 1, 2, "万元", "人民币", "合并"), ("b", "披露的非经常性损益合计", "ok", "1.00", "2.00", 1, 2, "元", None, "合并"), ("c", "其他", "ok", "1.00", "2.00", 1, 2, "元", "美元", "x"), ("d", "营业收入", "row_not_found", None, None, None, None, None, None, "合并")]
+    df = spark.createDataFrame(rows, schema.replace("decimal(38,2)", "int")).withColumn("now", F.col("now").cast("decimal(38,2)")).withColumn("before", F.col("before").cast("decimal(38,2)"))
+    got = {r["fact_id"]: r for r in S.as_later_facts(df, 2024).collect()}
+    assert sorted(got) == ["a:revenue:2023:comparative", "a:revenue:2024:current", "b:non_recurring_total:2023:comparative", "b:non_recurring_total:2024:current", "c:unknown:2023:comparative", "c:unknown:2024:current"]
+    r = got["a:revenue:2023:comparative"]
+    assert (r["raw_value"], str(r["value"]), r["multiplier"], r["scope"], r["period_type"], str(r["period_end"]), r["report_year"], r["unit"], r["limits"]) == ("2.00", "2.00", "10000", "consolidated", "duration", "2023-12-31", 2024, None, ["restatement_unknown", "text_blocks_only"])
+    assert got["b:non_recurring_total:2024:current"]["limits"] == ["unknown_scope", "currency_undisclosed", "restatement_unknown", "text_blocks_only"] and got["b:non_recurring_total:2024:current"]["currency"] == "未披露"
+    r = got["c:unknown:2024:current"]
+    assert (r["period_start"], r["period_type"], r["statement"], r["limits"][:2]) == (None, None, None, ["unknown_metric", "unknown_scope"])
