@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tallyframe.operators import comparability as C
 
 NO, YES = "□适用√不适用", "√适用□不适用"
@@ -99,3 +101,14 @@ def test_without_lines(spark):
     r = C.comparability(lines, spark.createDataFrame([(1, 2024)], "doc int, report_year int")).first()
     assert r["status"] == "insufficient_evidence" and r["missing"][-1] == "no_evidence" and len(r["missing"]) == 10
     assert C.comparability(lines, spark.createDataFrame([], "doc int, report_year int")).count() == 0
+
+
+def test_reports_are_never_broadcast(spark):
+    schema = "doc int, page int, n int, y0 double, y1 double, text string"
+    rows = [(d, p, n, n * 14.0, n * 14.0 + 8, t) for d in range(4) for p in (1, 2) for n, t in enumerate(("2024年年度报告", "重要会计政策变更", YES if d == p else NO, "前期会计差错更正", "追溯重述法", NO))]
+    lines, reports = spark.createDataFrame(rows, schema), spark.createDataFrame([(d, 2024) for d in range(5)], "doc int, report_year int")
+    flat = C.comparability(lines, reports)
+    assert "Broadcast" not in flat._jdf.queryExecution().executedPlan().toString()
+    nested = lines.groupBy("doc", "page").agg(F.collect_list(F.struct("n", "y0", "y1", "text")).alias("lines")).groupBy("doc").agg(F.collect_list(F.struct("page", "lines")).alias("pages"))
+    own = C.comparability_of_reports(reports.join(nested, "doc", "left"))
+    assert sorted(flat.collect()) == sorted(own.collect()) and flat.count() == 5
