@@ -1,5 +1,8 @@
 """Facts out of report lines, and readings that check them: all documents at once, one shuffle by document.
 
+Lines are told apart before they are shuffled, each by itself, and only those that a gate asks for go along: titles,
+headings of years, units and the rows with a wanted label.
+
 Every failed gate gives its code and no amounts; gates are asked in the order of the code list. Documents without lines do
 not occur; null lines match nothing.
 """
@@ -12,14 +15,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import report as R
-from tallyframe.functions.text import parse_amount
+from tallyframe.functions.text import compact, parse_amount
+
+
+def told_apart(lines: DataFrame, labels: dict[str, str], title: str) -> DataFrame:
+    """doc and line (null if no gate asks for it): ord, text, whether it is the title or any statement's, years, whether it
+    tells a unit and which, and the metrics whose row it is."""
+    text, short = F.col("text"), F.col("short")
+    lines = lines.select("doc", "ord", "text", compact(text).alias("short"))
+    told = text.contains("单位") & text.rlike(r"^\s*单位\s*[:：]")
+    flags = {"is_title": R.is_title(short, title), "stops": R.is_statement_title(short), "years": R.year_ends(short), "told": told, "unit": F.when(told, R.unit_of(short))}
+    rows = {f"row_{m}": R.has_exact_prefix(short, label) & text.rlike(R.SIGNED_AMOUNT) for m, label in labels.items()}
+    lines = lines.withColumns(flags | rows)
+    wanted = F.col("is_title") | F.col("stops") | F.col("years").isNotNull() | F.col("told")
+    for m in rows:
+        wanted = wanted | F.col(m)
+    return lines.select("doc", F.when(wanted, F.struct("ord", "text", *flags, *rows)).alias("line"))
 
 
-def body(lines: Column, title: str) -> tuple[Column, Column]:
+def body(lines: Column) -> tuple[Column, Column]:
     """How many lines are the title, and the lines between the first of them and the next statement's title."""
-    at = F.filter(F.transform(lines, lambda x, i: F.when(R.is_title(x, title), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x["is_title"], i)), lambda i: i.isNotNull())
     start = F.get(at, 0)
-    stops = F.filter(F.transform(lines, lambda x, i: F.when(R.is_statement_title(x) & (i > start), i)), lambda i: i.isNotNull())
+    stops = F.filter(F.transform(lines, lambda x, i: F.when(x["stops"] & (i > start), i)), lambda i: i.isNotNull())
     stop = F.coalesce(F.get(stops, 0), F.size(lines))
     return F.size(at), F.when(start.isNotNull(), F.slice(lines, start + 2, F.greatest(stop - start - 1, F.lit(0))))
 
@@ -29,20 +47,33 @@ def balance_sheet(lines: DataFrame, report_year: int, labels: dict[str, str], ti
 
     Where the currency is not told the amounts stay and the currency is null.
     """
-    docs = lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("lines"))
-    titles, inside = body(F.col("lines"), title)
+    return balance_sheets(lines, report_year, labels, title, {"": reader})
+
+
+def balance_sheets(lines: DataFrame, report_year: int, labels: dict[str, str], title: str, readers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The same by several readers, from lines that are gathered once; a reader's columns begin with its name."""
+    docs = told_apart(lines, labels, title).groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    titles, inside = body(F.col("lines"))
     docs = docs.select("doc", titles.alias("titles"), inside.alias("body"))
-    years = F.filter(F.transform("body", R.year_ends), lambda y: y.isNotNull())
-    told = F.filter("body", lambda x: x.rlike(r"^\s*单位\s*[:：]"))
-    units = F.transform(told, R.unit_of)
-    docs = docs.select("doc", "titles", "body", F.array_distinct(years).alias("years"), F.size(told).alias("told"), F.exists(units, lambda u: u.isNull()).alias("unread"), F.array_distinct(units).alias("units"))
-    rows_of = lambda label: F.filter("body", lambda x: R.has_exact_prefix(x, label) & x.rlike(R.SIGNED_AMOUNT))
-    wanted = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), rows_of(label).alias("rows")) for m, label in labels.items())))
+    years = F.filter(F.transform("body", lambda x: x["years"]), lambda y: y.isNotNull())
+    told = F.filter("body", lambda x: x["told"])
+    docs = docs.select("doc", "titles", "body", F.array_distinct(years).alias("years"), F.transform(told, lambda x: x["unit"]).alias("told"))
+    docs = docs.select("doc", "titles", "body", "years", F.size("told").alias("told"), F.exists("told", lambda u: u.isNull()).alias("unread"), F.array_distinct("told").alias("units"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.transform(F.filter("body", lambda x: x[f"row_{m}"]), lambda x: x["text"]).alias("rows")) for m in labels)))
     rows = docs.select("doc", "titles", "years", "told", "unread", "units", wanted.alias("w")).select("*", "w.metric", "w.rows").drop("w")
     rows = rows.withColumn("tokens", R.signed_amounts(F.get("rows", 0))).withColumn("year", F.get("years", 0)).withColumn("unit", F.get("units", 0))
     flip = (F.get("year", 0) == report_year - 1).cast("int")
-    read = lambda k: reader(F.get("tokens", k)).cast("decimal(22,2)")
-    amount = lambda k: read(k) * F.col("unit.multiplier")
+    out = ["doc", "metric"]
+    for name, reader in readers.items():
+        rows = _read_by(rows, reader, report_year, flip, name)
+        ok = F.col(f"{name}code") == "ok"
+        out += [f"{name}code", *(F.when(ok, F.col(c)).alias(f"{name}{n}") for c, n in (("unit.unit", "unit"), ("unit.currency", "currency"), (f"{name}now", "now"), (f"{name}before", "before")))]
+    return rows.select(*out)
+
+
+def _read_by(rows: DataFrame, reader: Callable[[Column], Column], report_year: int, flip: Column, name: str) -> DataFrame:
+    rows = rows.withColumns({f"_{k}": reader(F.get("tokens", k)).cast("decimal(22,2)") for k in (0, 1)})
+    amount = lambda k: F.when(k == 0, F.col("_0")).otherwise(F.col("_1")) * F.col("unit.multiplier")
     code = (
         F.when(F.col("titles") == 0, "table_not_found")
         .when(F.col("titles") > 1, "ambiguous_table")
@@ -53,12 +84,10 @@ def balance_sheet(lines: DataFrame, report_year: int, labels: dict[str, str], ti
         .when(F.size("rows") == 0, "row_not_found")
         .when(F.size("rows") > 1, "ambiguous_row")
         .when(F.size("tokens") != 2, "amount_alignment")
-        .when(read(0).isNull() | read(1).isNull(), "amount_unreadable")
+        .when(F.col("_0").isNull() | F.col("_1").isNull(), "amount_unreadable")
         .otherwise("ok")
     )
-    rows = rows.withColumn("code", code).withColumn("now", amount(flip).cast("decimal(38,2)")).withColumn("before", amount(1 - flip).cast("decimal(38,2)"))
-    ok = F.col("code") == "ok"
-    return rows.select("doc", "metric", "code", *(F.when(ok, F.col(c)).alias(n) for c, n in (("unit.unit", "unit"), ("unit.currency", "currency"), ("now", "now"), ("before", "before"))))
+    return rows.withColumns({f"{name}code": code, f"{name}now": amount(flip).cast("decimal(38,2)"), f"{name}before": amount(1 - flip).cast("decimal(38,2)")})
 
 
 def mutated(facts: DataFrame, mutations: dict[str, dict[str, Column]]) -> DataFrame:
@@ -73,7 +102,15 @@ def checked(told: DataFrame, own: DataFrame, key: list[str]) -> DataFrame:
 
     No reading, or one without a currency, is `insufficient`; a value found under the other year is told apart.
     """
-    mine = own.select(*key, *(F.col(c).alias(f"own_{c}") for c in ("code", "unit", "currency", "now", "before")))
+    mine = own.select(*key, *(F.col(c).alias(f"own_{c}") for c in OWN))
+    return judged(told.join(mine, key, "left"))
+
+
+OWN = ("code", "unit", "currency", "now", "before")
+
+
+def judged(df: DataFrame) -> DataFrame:
+    """The same where both readings stand in one row, the independent one's columns beginning with own_."""
     status = (
         F.when(F.col("own_code").isNull() | (F.col("own_code") != "ok"), "insufficient")
         .when(F.col("own_currency").isNull(), "insufficient")
@@ -83,4 +120,4 @@ def checked(told: DataFrame, own: DataFrame, key: list[str]) -> DataFrame:
         .when(F.col("now") == F.col("own_before"), "value_in_other_year")
         .otherwise("value_conflict")
     )
-    return told.join(mine, key, "left").withColumn("status", status).drop(*(f"own_{c}" for c in ("code", "unit", "currency", "now", "before")))
+    return df.withColumn("status", status).drop(*(f"own_{c}" for c in OWN))

@@ -148,10 +148,10 @@ judged AS (SELECT t.*, CASE WHEN o.code IS NULL OR o.code <> 'ok' OR o.currency
 @registered(f"{_OWN}, {_TOLD} SELECT arm, count(*) AS n, count(*) FILTER (status = 'verified') AS accepted, count(*) FILTER (status NOT IN ('verified', 'insufficient')) AS rejected, count(*) FILTER (status = 'insufficient') AS abstained, count(*) FILTER (status = 'value_in_other_year') AS other_year FROM judged GROUP BY 1")
 def verification_ablation(spark, sf_dir):
     """Every fact clean and with five kinds of injected error, against a second reading of the same lines."""
-    lines = report_lines(spark, sf_dir)
-    sheet = extraction.balance_sheet(lines, YEAR, METRICS).filter("code = 'ok'")
-    own = extraction.balance_sheet(lines, YEAR, METRICS, reader=R.verifier_amount)
-    judged = extraction.checked(extraction.mutated(sheet, _arms()), own, ["doc", "metric"])
+    both = extraction.balance_sheets(report_lines(spark, sf_dir), YEAR, METRICS, "合并资产负债表", {"": T.parse_amount, "own_": R.verifier_amount})
+    both = both.withColumn("own_code", F.when(F.col("doc").isNotNull(), F.col("own_code")))
+    # a filter before the arms would be pushed into the steps that make the code, which makes them again
+    judged = extraction.judged(extraction.mutated(both, _arms()).filter("code = 'ok'"))
     n = lambda e: F.count_if(F.expr(e))
     return judged.groupBy("arm").agg(F.count("*").alias("n"), n("status = 'verified'").alias("accepted"), n("status NOT IN ('verified', 'insufficient')").alias("rejected"), n("status = 'insufficient'").alias("abstained"), n("status = 'value_in_other_year'").alias("other_year"))
 
