@@ -38,20 +38,26 @@ def placed(words: DataFrame) -> DataFrame:
 def visual_lines(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """doc, page, line (from 0), y (of its first word) and words of each visual line: words from top to bottom, where one
     farther below the line's first word than the tolerance begins the next. Words of a line are from left to right."""
-    at = F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "word")))
-    pages = placed(words).groupBy("doc", "page").agg(at.alias("words"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("lines"))
+    at = F.collect_list(F.struct(*PLACE, "word")).alias("words")
+    return visual_lines_of(placed(words).groupBy("doc", "page").agg(at), tolerance)
+
+
+def visual_lines_of(pages: DataFrame, tolerance: float = 2.5) -> DataFrame:
+    """The same for pages that hold their words, an array of x0, y0, x1, y1, word with none of them null; nothing is
+    shuffled. As words are in order from top to bottom, a line is a slice of them."""
+    by = lambda words, *names: F.array_sort(F.transform(words, lambda w: F.struct(*(w[n].alias(n) for n in names))))
+    pages = pages.select("doc", "page", by("words", "y0", "x0", "x1", "y1", "word").alias("words"))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(s, w):
         new = s["y"].isNull() | (w["y0"] - s["y"] > tolerance)
-        line = s["line"] + new.cast("int")
-        return F.struct(line.alias("line"), F.when(new, w["y0"].cast("double")).otherwise(s["y"]).alias("y"), F.array_append(s["lines"], line).alias("lines"))
+        return F.struct(F.when(new, w["y0"].cast("double")).otherwise(s["y"]).alias("y"), (s["at"] + 1).alias("at"), F.when(new, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"))
 
-    pages = pages.withColumn("lines", F.aggregate("words", start, step, lambda s: s["lines"]))
-    member = F.explode(F.arrays_zip("lines", "words"))
-    rows = pages.select("doc", "page", member.alias("m")).select("doc", "page", "m.lines", "m.words.*")
-    order = F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1", "word")))
-    return rows.groupBy("doc", "page", F.col("lines").alias("line")).agg(F.min("y0").alias("y"), order.alias("words"))
+    pages = pages.withColumn("starts", F.aggregate("words", start, step, lambda s: s["starts"]))
+    members = lambda at, i: F.slice("words", at, F.coalesce(F.get("starts", i + 1), F.size("words") + 1) - at)
+    lines = F.transform("starts", lambda at, i: F.struct(F.element_at("words", at)["y0"].alias("y"), by(members(at, i), "x0", "y0", "x1", "y1", "word").alias("words")))
+    rows = pages.select("doc", "page", F.posexplode(lines).alias("line", "l"))
+    return rows.select("doc", "page", "line", "l.y", "l.words")
 
 
 def baseline_lines(words: DataFrame) -> DataFrame:

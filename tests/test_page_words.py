@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.operators import page_words
 from tallyframe.operators import tokens as T
 
 
@@ -67,3 +68,11 @@ def test_cited_analyses(spark):
     rows = [("ok", 1, 1, 5), ("ok", 2, 2, 6), ("back", 1, 2, 6), ("back", 2, 1, 5), ("twice", 1, 1, 5), ("twice", 2, 1, 5), ("none", 1, 9, 5), ("not", 1, 3, 7), ("off", 1, 2, 7), ("null", 1, 4, None)]
     got = {r[0]: r[1] for r in T.cited_analyses(spark.createDataFrame(rows, "k string, ordinal int, id int, value int"), confirmed, "k").collect()}
     assert got == {"ok": "ok", "back": "unordered", "twice": "unordered", "none": "missing", "not": "unverified", "off": "value_mismatch", "null": "ok"}
+
+
+def test_visual_lines_shuffle_words_once(spark):
+    words = spark.createDataFrame([(d, 1, x, y, x + 5, y + 9, f"w{d}") for d in range(3) for x, y in ((10.0, 1.0), (2.0, 3.0), (1.0, 3.6), (1.0, 6.5), (7.0, 6.5))], "doc int, page int, x0 double, y0 double, x1 double, y1 double, word string")
+    lines = page_words.visual_lines(words)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = sorted((r["doc"], r["line"], r["y"], [w["x0"] for w in r["words"]]) for r in lines.collect())
+    assert got == [(d, *x) for d in range(3) for x in ((0, 1.0, [2.0, 10.0]), (1, 3.6, [1.0]), (2, 6.5, [1.0, 7.0]))]
