@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import let
+
 
 @dataclass(frozen=True)
 class Text:
@@ -90,9 +92,9 @@ def fault_at(v: Column, path: Column, shape: object) -> Column:
     kind = _kind(v)
     if isinstance(shape, Object):
         inner = _object_fault(v, path, shape)
-        found = F.when(kind != "OBJECT", _told(path, "type")).otherwise(inner)
+        found = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNull(), _told(path, "type")).otherwise(inner)
     elif isinstance(shape, List):
-        found = F.when(kind != "ARRAY", _told(path, "type"))
+        found = F.when(F.try_variant_get(v, "$", "array<variant>").isNull(), _told(path, "type"))
         if shape.item is not None:
             at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
             faults = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: fault_at(x, at(i), shape.item))
@@ -115,7 +117,7 @@ def fault_at(v: Column, path: Column, shape: object) -> Column:
     else:
         found = F.when(kind != "BOOLEAN", _told(path, "type"))
     if shape.optional:
-        return F.when(v.isNotNull() & (kind != "VOID"), found)
+        return F.when(v.isNotNull() & ~F.is_variant_null(v), found)
     return F.when(v.isNull(), _told(path, "missing")).otherwise(found)
 
 
@@ -127,7 +129,7 @@ def _object_fault(v: Column, path: Column, shape: Object) -> Column:
             size = F.size(F.try_variant_get(v, f"$.{inner.key}", "array<variant>"))
             steps.append(F.when(F.try_variant_get(v, f"$.{key}", "decimal(38,0)") != size, _told(_step(path, key), "value")))
         else:
-            steps.append(fault_at(get(key), _step(path, key), inner))
+            steps.append(let(get(key), lambda x: fault_at(x, _step(path, key), inner)))  # noqa: B023
     if shape.exact:
         keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
         surplus = F.get(F.array_sort(F.array_except(keys, F.array(*(F.lit(k) for k, _ in shape.keys)))), 0)
@@ -137,8 +139,7 @@ def _object_fault(v: Column, path: Column, shape: Object) -> Column:
 
 def first_fault(text: Column, shape: Object) -> Column:
     """The path and kind of the first fault of a JSON text, or null if it is of the shape; null texts are invalid."""
-    v = F.try_parse_json(text)
-    return F.when(v.isNull(), "invalid").otherwise(fault_at(v, F.lit(""), shape))
+    return let(F.try_parse_json(text), lambda v: F.when(v.isNull(), "invalid").otherwise(fault_at(v, F.lit(""), shape)))
 
 
 def canonical(text: Column) -> Column:

@@ -128,3 +128,8 @@ def test_canonical_text(spark):
         assert got[i] == (want, hashlib.sha256(want.encode()).hexdigest())
     bad = spark.createDataFrame([("{",), ('{"a":1,"a":1}',), (None,)], "t string").select(J.canonical(F.col("t")), J.content_hash(F.col("t"))).collect()
     assert all(r[0] is None and r[1] is None for r in bad)
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "t string").select(J.first_fault(F.col("t"), J.PARSED_REPORT).alias("f"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1 and df.first()["f"] == "document_id: missing"
