@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import let
+
 
 def nearest_heading(headings: Column, x: Column) -> Column:
     """The heading (a struct with x and year) closest to a position; headings must have positions."""
@@ -33,9 +35,18 @@ def one_each(headings: Column, amounts: Column, left: Column, right: Column, mar
     """Fault (null if none) and amounts, one raw for each heading in order of years and places. Amounts within `margin` of the band
     from left to right are no amounts of a year; of the others each must lie within `farthest` of its nearest heading
     ('no_heading'), and each heading must be claimed by exactly one ('claimed_twice', 'unclaimed')."""
-    headings = F.array_sort(F.transform(placed(headings), lambda h: F.struct(h["x"].alias("x"), h["year"].alias("year"))))
+    ordered = F.array_sort(F.transform(placed(headings), lambda h: F.struct(h["x"].alias("x"), h["year"].alias("year"))))
     outside = F.filter(placed(amounts), lambda a: ~F.coalesce(a["x"].between(left - margin, right + margin), F.lit(False)))
-    claims = F.transform(outside, lambda a: F.struct(nearest_heading(headings, a["x"]).alias("to"), a["raw"].alias("raw")))
+
+    def claimed(headings):
+        claims = F.transform(outside, lambda a: F.struct(nearest_heading(headings, a["x"]).alias("to"), a["raw"].alias("raw")))
+        return let(claims, lambda claims: _each(headings, claims, farthest))
+
+    # without let, headings would be put in order again for every amount, and amounts be placed again for every heading
+    return let(ordered, claimed)
+
+
+def _each(headings: Column, claims: Column, farthest: float) -> Column:
     of = lambda h: F.filter(claims, lambda c: c["to"]["x"] == h["x"])
     fault = (
         F.when(F.coalesce(F.size(headings), F.lit(0)) <= 0, "no_headings")
@@ -44,7 +55,7 @@ def one_each(headings: Column, amounts: Column, left: Column, right: Column, mar
         .when(F.coalesce(F.exists(headings, lambda h: F.size(of(h)) != 1), F.lit(True)), "unclaimed")
     )
     chosen = F.transform(F.array_sort(F.transform(headings, lambda h: F.struct(h["year"].alias("year"), h["x"].alias("x"), F.get(of(h), 0)["raw"].alias("raw")))), lambda y: y["raw"])
-    return F.struct(fault.alias("fault"), F.when(fault.isNull(), chosen).alias("amounts"))
+    return let(fault, lambda fault: F.struct(fault.alias("fault"), F.when(fault.isNull(), chosen).alias("amounts")))
 
 
 def subset_making(fragments: Column, label: Column) -> Column:

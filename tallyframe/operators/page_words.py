@@ -1,7 +1,7 @@
 """Words with positions: visual lines with their members, and a fact read from a table by where its words stand.
 
-Words come as doc, page, x0, y0, x1, y1, word. They meet by page for lines, and lines meet by document for the table; both
-are one shuffle, and everything after it is an expression on the document's own row.
+Words come as doc, page, x0, y0, x1, y1, word. They meet by page for visual lines, by document for the table, in one shuffle;
+everything after it is an expression on the page's or document's own row, and those that hold their words need none.
 
 Defined cases: words without text or position are left out; words of equal place are ordered by their text; a document
 without words does not occur; the first failed gate is the document's code.
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import compact, parse_amount
+from tallyframe.functions.text import compact, let, parse_amount
 from tallyframe.operators.alignment import one_each
 
 # Titles of the table's section and of the next one, its first heading, the words over the column of changes,
@@ -60,65 +60,89 @@ def visual_lines_of(pages: DataFrame, tolerance: float = 2.5) -> DataFrame:
     return rows.select("doc", "page", "line", "l.y", "l.words")
 
 
-def baseline_lines(words: DataFrame) -> DataFrame:
-    """doc, page, y (rounded height, half to even), words from left to right, text and bottom of the words of one height."""
-    order = F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1", "word")))
-    lines = placed(words).groupBy("doc", "page", F.bround("y0").cast("double").alias("y")).agg(order.alias("words"), F.max("y1").alias("bottom"))
-    return lines.withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
+def baseline_lines(words: Column) -> Column:
+    """Lines of a document's words, those of one page and height: page, y (rounded height, half to even), words from left to
+    right, bottom and text, in order from top to bottom. As words are put in that order, a line is a slice of them."""
+    ordered = F.sort_array(F.transform(words, lambda w: F.struct(w["page"].alias("page"), F.bround(w["y0"]).cast("double").alias("y"), *(w[c].alias(c) for c in (*PLACE, "word")))))
+    starts = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | ~w["page"].eqNullSafe(F.get(ws, i - 1)["page"]) | ~w["y"].eqNullSafe(F.get(ws, i - 1)["y"]), i + 1)), lambda at: at.isNotNull())
 
+    def line(mine):
+        first = F.get(mine, 0)
+        members = F.transform(mine, lambda w: F.struct(*(w[c].alias(c) for c in (*PLACE, "word"))))
+        return F.struct(first["page"].alias("page"), first["y"].alias("y"), members.alias("words"), F.array_max(F.transform(mine, lambda w: w["y1"])).alias("bottom"), F.array_join(F.transform(mine, lambda w: w["word"]), " ").alias("text"))
 
-def _line_flags(lines: DataFrame) -> DataFrame:
-    short = compact(F.col("text"))
+    cut = lambda ws, starts: F.transform(starts, lambda at, i: let(F.slice(ws, at, F.coalesce(F.get(starts, i + 1), F.size(ws) + 1) - at), line))
+    return let(ordered, lambda ws: let(starts(ws), lambda starts: cut(ws, starts)))
+
+
+def _flagged(line: Column) -> Column:
     centre = lambda w: (w["x0"] + w["x1"]) / 2
-    is_year = F.filter("words", lambda w: w["word"].rlike("^20[0-9]{2}年$"))
-    years = F.array_sort(F.transform(is_year, lambda w: F.struct(centre(w).alias("x"), F.substring(w["word"], 1, 4).cast("int").alias("year"), w["x0"].alias("x0"), w["x1"].alias("x1"))))
-    told = F.array_distinct(F.regexp_extract_all(short, F.lit(f"币种[:：]({CURRENCIES})"), F.lit(1)))
-    unit = F.nullif(F.regexp_extract(short, "单位[:：](亿元|万元|元)", 1), F.lit(""))
-    return lines.withColumns({
-        "section": F.when(short.isin(*SECTION), 1).when(short.isin(*NEXT_SECTION), 2),
-        "years": F.when(short.startswith(FIRST_HEADING), years),
-        "change": short.contains(CHANGE) | reduce(Column.__and__, (short.contains(w) for w in CHANGE_WORDS)),
-        "unit_line": short.startswith("单位：") | short.startswith("单位:"),
-        "unit": F.when(unit.isNotNull() & (F.size(told) <= 1), F.struct(unit.alias("unit"), F.get(told, 0).alias("currency"))),
-        "heads": F.startswith("text", F.lit(FIRST_HEADING)),
-    })
-
-
-def label_at(body: Column, i: Column, limit: Column, label: str) -> Column:
-    """The place of a label that begins on line i: page, top and bottom of its words, or null. The left column's words of at
-    most LABEL_LINES lines, none more than LABEL_GAP below the one before, must join to it; lines without such words are
-    passed over."""
-    first = F.get(body, i)
-    start = F.struct(F.lit("").alias("made"), first["y"].alias("y"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(False).alias("over"), F.lit(False).alias("done"))
-
-    def step(s, line):
-        words = F.filter(line["words"], lambda w: w["x1"] <= limit)
-        part = compact(F.array_join(F.transform(words, lambda w: w["word"]), ""))
-        stops = s["over"] | s["done"] | (line["page"] != first["page"]) | (line["y"] - s["y"] > LABEL_GAP)
-        adds = part != ""
-        wrong = adds & ~F.startswith(F.lit(label), F.concat(s["made"], part))
-        takes = ~stops & adds & ~wrong
-        made = F.when(takes, F.concat(s["made"], part)).otherwise(s["made"])
+
+    def flags(short):
+        is_year = F.filter(line["words"], lambda w: w["word"].startswith("20") & w["word"].rlike("^20[0-9]{2}年$"))
+        years = F.array_sort(F.transform(is_year, lambda w: F.struct(centre(w).alias("x"), F.substring(w["word"], 1, 4).cast("int").alias("year"), w["x0"].alias("x0"), w["x1"].alias("x1"))))
+        told = F.array_distinct(F.regexp_extract_all(short, F.lit(f"币种[:：]({CURRENCIES})"), F.lit(1)))
+        unit = F.nullif(F.regexp_extract(short, "单位[:：](亿元|万元|元)", 1), F.lit(""))
+        unit_line = short.startswith("单位：") | short.startswith("单位:")
         return F.struct(
-            made.alias("made"),
-            F.when(stops, s["y"]).otherwise(line["y"]).alias("y"),
-            F.when(takes, F.least(s["top"], F.array_min(F.transform(words, lambda w: w["y0"])).cast("double"))).otherwise(s["top"]).alias("top"),
-            F.when(takes, F.greatest(s["bottom"], F.array_max(F.transform(words, lambda w: w["y1"])).cast("double"))).otherwise(s["bottom"]).alias("bottom"),
-            (stops | wrong).alias("over"),
-            (made == label).alias("done"),
+            *(line[c].alias(c) for c in ("page", "y", "words", "bottom", "text")),
+            F.when(short.isin(*SECTION), 1).when(short.isin(*NEXT_SECTION), 2).alias("section"),
+            F.when(short.startswith(FIRST_HEADING), years).alias("years"),
+            (short.contains(CHANGE) | reduce(Column.__and__, (short.contains(w) for w in CHANGE_WORDS))).alias("change"),
+            unit_line.alias("unit_line"),
+            F.when(unit_line & unit.isNotNull() & (F.size(told) <= 1), F.struct(unit.alias("unit"), F.get(told, 0).alias("currency"))).alias("unit"),
+            F.startswith(line["text"], F.lit(FIRST_HEADING)).alias("heads"),
         )
 
-    own = F.exists(first["words"], lambda w: (w["x1"] <= limit) & (compact(w["word"]) != ""))
-    end = F.aggregate(F.slice(body, i + 1, LABEL_LINES), start, step)
-    return F.when(~first["heads"] & own & end["done"], F.struct(first["page"].alias("page"), end["top"].alias("top"), end["bottom"].alias("bottom")))
+    return let(compact(line["text"]), flags)
+
+
+def left_parts(body: Column, limit: Column) -> Column:
+    """Of each line, what its words of the left column make: page, y, heads, part, and top and bottom of these words."""
+
+    def part(x):
+        made = lambda words: F.struct(x["page"].alias("page"), x["y"].alias("y"), x["heads"].alias("heads"), compact(F.array_join(F.transform(words, lambda w: w["word"]), "")).alias("part"), F.array_min(F.transform(words, lambda w: w["y0"])).cast("double").alias("top"), F.array_max(F.transform(words, lambda w: w["y1"])).cast("double").alias("bottom"))
+        return let(F.filter(x["words"], lambda w: w["x1"] <= limit), made)
+
+    return F.transform(body, part)
+
+
+def label_at(parts: Column, i: Column, label: str) -> Column:
+    """The place of a label that begins on line i of left_parts: page, top and bottom of its words, or null. The left column's
+    words of at most LABEL_LINES lines, none more than LABEL_GAP below the one before, must join to it; lines without such
+    words are passed over."""
+
+    def follow(first):
+        start = F.struct(F.lit("").alias("made"), first["y"].alias("y"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(False).alias("over"), F.lit(False).alias("done"))
+
+        def step(s, x):
+            stops = s["over"] | s["done"] | (x["page"] != first["page"]) | (x["y"] - s["y"] > LABEL_GAP)
+            adds = x["part"] != ""
+            made = F.concat(s["made"], x["part"])
+            over = F.struct(s["made"].alias("made"), s["y"].alias("y"), s["top"].alias("top"), s["bottom"].alias("bottom"), F.lit(True).alias("over"), s["done"].alias("done"))
+            passed = F.struct(s["made"].alias("made"), x["y"].alias("y"), s["top"].alias("top"), s["bottom"].alias("bottom"), F.lit(False).alias("over"), s["done"].alias("done"))
+            taken = F.struct(made.alias("made"), x["y"].alias("y"), F.least(s["top"], x["top"]).alias("top"), F.greatest(s["bottom"], x["bottom"]).alias("bottom"), F.lit(False).alias("over"), (made == label).alias("done"))
+            return F.when(stops, over).when(~adds, passed).when(F.startswith(F.lit(label), made), taken).otherwise(over)
+
+        end = F.aggregate(F.slice(parts, i + 1, LABEL_LINES), start, step)
+        place = let(end, lambda end: F.when(end["done"], F.struct(first["page"].alias("page"), end["top"].alias("top"), end["bottom"].alias("bottom"))))
+        return F.when(~first["heads"] & (first["part"] != "") & F.startswith(F.lit(label), first["part"]), place)
+
+    return let(F.get(parts, i), follow)
 
 
 def key_figures(words: DataFrame, year: int, label: str = ROW) -> DataFrame:
+    """The figures of key_figures_of for documents whose words are rows."""
+    held = F.collect_list(F.struct("page", *PLACE, "word")).alias("words")
+    return key_figures_of(placed(words).groupBy("doc").agg(held), year, label)
+
+
+def key_figures_of(docs: DataFrame, year: int, label: str = ROW) -> DataFrame:
     """doc, code and, where it is ok, raw_now, raw_before, now, before, unit, currency (null: not told), top and bottom of
-    the row's label."""
-    lines = _line_flags(baseline_lines(words))
-    fields = ["page", "y", "words", "bottom", "text", "section", "years", "change", "unit_line", "unit", "heads"]
-    df = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lines"))
+    the row's label. Documents hold their words, an array of page, x0, y0, x1, y1, word with none of them null; nothing is
+    shuffled."""
+    df = docs.select("doc", baseline_lines(F.col("words")).alias("lines"))
+    df = df.select("doc", F.transform("lines", _flagged).alias("lines"))
     at = lambda c, test: F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
     df = df.withColumn("titles", at("lines", lambda x: x["section"] == 1)).withColumn("tail", F.when(F.size("titles") == 1, F.slice("lines", F.get("titles", 0) + 2, F.size("lines"))))
     end = F.coalesce(F.get(at("tail", lambda x: x["section"] == 2), 0), F.size("tail"))
@@ -132,8 +156,8 @@ def key_figures(words: DataFrame, year: int, label: str = ROW) -> DataFrame:
     df = df.withColumn("units", F.transform(F.filter("body", lambda x: x["unit_line"]), lambda x: x["unit"]))
     cell = F.get(F.filter("header.words", lambda w: compact(w["word"]) == FIRST_HEADING), 0)
     df = df.withColumn("limit", (cell["x1"] + F.get("header.years", 0)["x"]) / 2)
-    ids = F.when(F.size("body") > 0, F.sequence(F.lit(0), F.size("body") - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("labels", F.array_compact(F.transform(ids, lambda i: label_at(F.col("body"), i, F.col("limit"), label))))
+    df = df.withColumn("parts", left_parts(F.col("body"), F.col("limit")))
+    df = df.withColumn("labels", F.array_compact(F.transform(F.coalesce("parts", F.array()), lambda _, i: label_at(F.col("parts"), i, label))))
     # labels of one top on one page are one
     df = df.withColumn("labels", F.filter("labels", lambda r, i: ~F.exists(F.slice("labels", 1, i), lambda q: (q["page"] == r["page"]) & (q["top"] == r["top"])))).withColumn("row", F.get("labels", 0))
     near = F.filter("body", lambda x: (x["page"] == F.col("row.page")) & (x["bottom"] >= F.col("row.top") - 2) & (x["y"] <= F.col("row.bottom") + 2))

@@ -1,6 +1,7 @@
 import random
 
 from tallyframe.operators import page_words as P
+from tallyframe.plans import words_catalog
 
 SCHEMA = "doc string, page int, x0 double, y0 double, x1 double, y1 double, word string"
 
@@ -81,3 +82,26 @@ def test_visual_lines_equal_plain_loop(spark):
             want[doc, page, k] = (line[0][3], [r[6] for r in sorted(line, key=lambda r: (r[2], r[3], r[4], r[5], r[6]))])
     got = P.visual_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert {(r["doc"], r["page"], r["line"]): (r["y"], [w["word"] for w in r["words"]]) for r in got} == want
+
+
+def test_documents_that_hold_their_words(spark):
+    import __spark_entry__ as e
+    from pyspark.sql import functions as F
+
+    held = e.queries()["key_figures"](spark, e.FLAGSHIP_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert held.count("Exchange hashpartitioning") == 1 and held.count("Exchange") == 1
+    docs = words_catalog._documents(spark, e.FLAGSHIP_DIR)
+    apart = docs.select("doc", F.explode("words").alias("w")).select("doc", "w.*").repartition(3)
+    key = lambda r: r["doc"]
+    found = sorted(P.key_figures_of(docs, 2024).collect(), key=key)
+    assert found == sorted(P.key_figures(apart, 2024).collect(), key=key) and {r["code"] for r in found} >= {"ok", "row_not_found", "amount_alignment"}
+
+
+def test_lines_of_pages_and_heights(spark):
+    from pyspark.sql import functions as F
+
+    words = [(2, 5.0, 10.0, 6.0, 19.0, "c"), (1, 9.0, 10.4, 9.5, 20.0, "b"), (1, 1.0, 10.5, 2.0, 18.0, "a"), (1, 0.0, 11.0, 1.0, 21.0, "d")]
+    df = spark.createDataFrame([(words,), ([],), (None,)], "words array<struct<page: int, x0: double, y0: double, x1: double, y1: double, word: string>>")
+    got = [r["l"] for r in df.select(P.baseline_lines(F.col("words")).alias("l")).collect()]
+    assert [(x["page"], x["y"], x["text"], x["bottom"]) for x in got[0]] == [(1, 10.0, "a b", 20.0), (1, 11.0, "d", 21.0), (2, 10.0, "c", 19.0)]
+    assert got[1] == [] and got[2] is None
