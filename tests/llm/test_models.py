@@ -210,3 +210,27 @@ def test_long_words_are_learned_from(monkeypatch):
     assert table[vocab["chat"] if "chat" in vocab else vocab["c"], 1] > 0.01
     monkeypatch.setattr(language_id, "LONG", 1)
     assert np.allclose(language_id.learn(counts, PATH)[1], table)
+
+
+def test_places_of_names_and_a_step(spark):
+    import pyarrow as pa
+
+    texts = lm_scoring.Flat(pa.array([b"a b c a b", b"", b" a b c", "ä b c".encode()], pa.binary()))
+    runs, names, _ = lm_scoring.chunk_names(texts)
+    places, n = lm_scoring.chunk_places(texts)
+    assert n == len(names) and [p.tolist() for p in places] == [np.searchsorted(names, r).tolist() for r in runs]
+    assert lm_scoring.chunk_places(lm_scoring.Flat(pa.array([], pa.binary())))[1] == 0
+    for dim in (4, 5):
+        model, plain = lm_scoring.Model(6, 3, dim), lm_scoring.Model(6, 3, dim)
+        context, target = np.array([[0, 1, 1, 5], [2, 10, 0, 0], [1, 1, 1, 1]]), np.array([0, 6, 2])
+        near = plain.vectors[context]
+        hidden = np.tanh((near * plain.scales).sum(axis=1))
+        p = np.exp(hidden @ plain.layer[:-1] + plain.layer[-1])
+        p = p / p.sum(axis=1, keepdims=True) - np.eye(p.shape[1])[target]
+        back = (p @ plain.layer[:-1].T) * (1 - hidden**2)
+        np.add.at(plain.vectors, context, -0.5 / 16 * back[:, None] * plain.scales)
+        plain.scales -= 0.5 / 3 * (near * back[:, None]).sum(axis=0)
+        plain.layer -= 0.5 / 3 * np.concatenate((hidden.T @ p, p.sum(axis=0)[None]))
+        model.step(context, target, 0.5)
+        assert np.allclose(model.flat(), plain.flat(), atol=1e-6)
+        assert np.isfinite(model.hidden(np.full((4, 2, dim), 1e9, np.float32))).all()
