@@ -26,8 +26,8 @@ columns are not read.
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ OFFSETS = (-2, -1, 1, 2)
 SHAPES = 4
 #: Counts up to this are told exactly, larger ones by their logarithm.
 EXACT = 128
+_ROLL = Rolling(81)
 COUNTS = np.concatenate((np.arange(EXACT), EXACT * 2 ** (np.arange(256 - EXACT) / 4)))
 
 
@@ -51,12 +52,89 @@ def shape_of(word: bytes) -> int:
     return text[0].isupper() + 2 * (not text[-1].isalnum())
 
 
+_UPPER, _ALNUM = (np.array([told(chr(i)) for i in range(256)]) for told in (str.isupper, str.isalnum))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of an array on, as one number (zeros follow the last)."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def shapes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """shape_of for the words data[start:end]. Words that begin or end beyond ASCII are decoded, one for all of the same four
+    bytes at either end, which hold the first and the last character."""
+    first, last = data[starts], data[ends - 1]
+    out = _UPPER[first] + 2 * ~_ALNUM[last]
+    odd = np.flatnonzero((first | last) > 127)
+    if len(odd):
+        starts, ends = starts[odd], ends[odd]
+        here, size = eights(data), np.minimum(ends - starts, 4).astype(np.uint64)
+        tails = np.where(size < 4, size, here[np.maximum(ends - 4, 0)] & np.uint64(0xFFFFFFFF))
+        _, some, which = np.unique(here[starts] << (np.uint64(64) - np.uint64(8) * size) | tails, return_index=True, return_inverse=True)
+        out[odd] = np.array([shape_of(data[starts[i] : ends[i]].tobytes()) for i in some])[which]
+    return out
+
+
+class Tokens:
+    """The words of rows lo to hi of a column: data[start:end], by row from edge to edge, each with its fingerprint."""
+
+    def __init__(self, texts: Flat, lo: int, hi: int):
+        base = int(texts.offsets[lo])
+        self.data = texts.data[base : int(texts.offsets[hi])]
+        bounds = texts.offsets[lo : hi + 1].astype(np.int64) - base
+        cut = np.zeros(len(self.data) + 1, bool)
+        cut[bounds] = True
+        inside = ~BLANK[self.data]
+        self.starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | cut[:-1]))
+        self.ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | cut[1:])) + 1
+        self.edge = np.searchsorted(self.starts, bounds)
+        self.prints = _ROLL.at(_ROLL.prefix(self.data), self.starts, self.ends)
+
+
 class Ids(dict):
-    """Word numbers; unknown words have the number of their shape after the last, and are not kept."""
+    """Word numbers; unknown words have the number of their shape after the last. Words are looked up many at a time by their
+    fingerprints, in order, and then compared byte by byte."""
+
+    def __init__(self, pairs):
+        super().__init__(pairs)
+        known = Flat(pa.array(list(self), pa.binary()))
+        starts, ends = known.offsets[:-1].astype(np.int64), known.offsets[1:].astype(np.int64)
+        prints = _ROLL.at(_ROLL.prefix(known.data), starts, ends)
+        order = np.argsort(prints)
+        self.bits = np.uint64(max(len(self) * 8, 2).bit_length())
+        # a last entry that no search passes
+        self.prints = np.append(prints[order], np.uint64(2**64 - 1))
+        self.number, self.starts, self.size = (np.append(x[order], 0) for x in (np.array(list(self.values()), np.int64), starts, ends - starts))
+        self.first = np.searchsorted(self.prints[:-1] >> (np.uint64(64) - self.bits), np.arange(1 << int(self.bits), dtype=np.uint64))
+        self.eights = eights(known.data)
 
     def __missing__(self, word: bytes) -> int:
         return len(self) + shape_of(word)
 
+    def numbers(self, told: Tokens) -> np.ndarray:
+        at = self.first[told.prints >> (np.uint64(64) - self.bits)]
+        behind = np.flatnonzero(self.prints[at] < told.prints)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.prints[at[behind]] < told.prints[behind]]
+        met = np.flatnonzero(self.prints[at] == told.prints)
+        there, at, size = told.starts[met], at[met], (told.ends - told.starts)[met]
+        same, here = self.size[at] == size, eights(told.data)
+        left = np.flatnonzero(same)
+        for k in range(0, int(size.max(initial=0)), 8):
+            left = left[size[left] > k]
+            beyond = np.maximum(8 - (size[left] - k), 0).astype(np.uint64) * np.uint64(8)
+            same[left] &= (here[there[left] + k] ^ self.eights[self.starts[at[left]] + k]) << beyond == 0
+        out = np.empty(len(told.starts), np.int64)
+        known = np.zeros(len(out), bool)
+        known[met] = True
+        other = np.flatnonzero(~known)
+        out[other] = len(self) + shapes_of(told.data, told.starts[other], told.ends[other])
+        out[met] = self.number[at]
+        for i in met[~same]:  # another word of the same fingerprint
+            out[i] = self[told.data[told.starts[i] : told.ends[i]].tobytes()]
+        return out
+
 
 def word_counts(source: DataFrame) -> DataFrame:
     """word, shape, n over all rows of a frame with a column bytes."""
@@ -65,8 +143,9 @@ def word_counts(source: DataFrame) -> DataFrame:
         found: Counter = Counter()
 
         def flush():
-            words = list(found)
-            return pa.record_batch({"word": pa.array(words, pa.binary()), "shape": pa.array(map(shape_of, words), pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+            words = pa.array(list(found), pa.binary())
+            flat = Flat(words)
+            return pa.record_batch({"word": words, "shape": pa.array(shapes_of(flat.data, flat.offsets[:-1], flat.offsets[1:]), pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
 
         for batch in batches:
             texts = Flat(batch.column("bytes"))
@@ -97,6 +176,9 @@ class Model:
         self.vectors = rng.normal(0, 0.1, (words + SHAPES + 1, dim)).astype(np.float32)
         self.scales = np.ones((len(OFFSETS), dim), np.float32)
         self.layer = rng.normal(0, 0.1, (dim + 1, n_classes + SHAPES)).astype(np.float32)
+        # one-dimensional indices of each vector, which numpy adds at much faster, and two numbers at a time where their count is even
+        self.kind = np.complex64 if dim % 2 == 0 else np.float32
+        self.cells = np.arange(self.vectors.view(self.kind).size).reshape(len(self.vectors), -1)
 
     def parts(self) -> list[np.ndarray]:
         return [self.vectors, self.scales, self.layer]
@@ -114,9 +196,9 @@ class Model:
         """The scales once for each of n positions: numpy multiplies arrays of one shape much faster."""
         return np.repeat(self.scales[:, None], n, axis=1)
 
-    def hidden(self, near: np.ndarray) -> np.ndarray:
-        """near: (place, position, dim)."""
-        total = (near * self.spread(near.shape[1])).sum(axis=0)
+    def hidden(self, near: np.ndarray, scales: np.ndarray | None = None) -> np.ndarray:
+        """near: (place, position, dim); (position, dim)."""
+        total = (near * (self.spread(near.shape[1]) if scales is None else scales)).sum(axis=0)
         # the hyperbolic tangent, as 1 - 2 / (exp(2x) + 1): numpy is several times as fast at that
         total *= 2
         with np.errstate(over="ignore"):
@@ -124,52 +206,57 @@ class Model:
         total += 1
         return np.subtract(1, np.divide(2, total, out=total), out=total)
 
-    def logits(self, context: np.ndarray) -> np.ndarray:
-        """(class, position): sums over classes run along whole rows."""
-        hidden = self.hidden(self.vectors.take(context.T, axis=0))
-        return self.layer[:-1].T @ hidden.T + self.layer[-1][:, None]
+    def logits(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, position), so that sums over classes run along whole rows; and hidden with a column of ones."""
+        more = np.ones((len(hidden), hidden.shape[1] + 1), np.float32)
+        more[:, :-1] = hidden
+        return self.layer.T @ more.T, more
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        n, dim = len(context), self.vectors.shape[1]
-        places = np.array(context.T, order="C")
+        n = len(context)
+        places, scales = np.ascontiguousarray(context.T), self.spread(n)
         near = self.vectors.take(places, axis=0)
-        hidden = self.hidden(near)
-        p = self.layer[:-1].T @ hidden.T
-        p += self.layer[-1][:, None]
-        p -= p.max(axis=0)
-        np.exp(p, out=p)
-        p /= p.sum(axis=0)
-        p[target, np.arange(n)] -= 1
+        hidden = self.hidden(near, scales)
+        z, more = self.logits(hidden)
+        p, total, _ = exponentials(z)
+        # errors of the softmax times each position's sum, by which the smaller arrays are divided
+        p[target, np.arange(n)] -= total
+        over = (1 / total)[:, None]
         back = p.T @ self.layer[:-1].T
-        back *= 1 - hidden * hidden
-        pull = back * (self.spread(n) * np.float32(-rate / 16))
+        hidden *= hidden
+        back *= np.subtract(1, hidden, out=hidden) * over
+        more *= over * np.float32(rate / n)
+        self.layer -= (p @ more).T
         near *= back
-        self.layer[:-1] -= hidden.T @ p.T * np.float32(rate / n)
-        self.layer[-1] -= p.sum(axis=1) * np.float32(rate / n)
         self.scales -= np.matmul(np.ones(n, np.float32), near) * np.float32(rate / n)
-        # one-dimensional indices, which numpy adds at much faster, and two numbers at a time where their count is even
-        kind = np.complex64 if dim % 2 == 0 else np.float32
-        wide = self.vectors.view(kind)
-        places *= wide.shape[1]
-        np.add.at(wide.reshape(-1), (places[:, :, None] + np.arange(wide.shape[1])).ravel(), pull.view(kind).ravel())
+        scales *= back * np.float32(-rate / 16)
+        np.add.at(self.vectors.view(self.kind).reshape(-1), self.cells.take(places, axis=0).reshape(-1), scales.view(self.kind).reshape(-1))
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - top), its sums by column, and top: 0, or the columns' greatest values where sums leave the range of the numbers."""
+    with np.errstate(over="ignore"):
+        p = np.exp(z)
+    total = np.ones(len(p), np.float32) @ p
+    if 1e-25 < total.min(initial=1) and total.max(initial=1) < 1e30:
+        return p, total, 0.0
+    top = z.max(axis=0)
+    p = np.exp(z - top)
+    return p, p.sum(axis=0), top
 
 
 def contexts(ids: np.ndarray, edge: np.ndarray, pad: int) -> np.ndarray:
-    """Words around each position, from the same document; (position, place)."""
-    doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    at = np.arange(len(ids))
-    out = np.full((len(ids), len(OFFSETS)), pad)
-    for k, o in enumerate(OFFSETS):
-        there = at + o
-        ok = (there >= edge[doc]) & (there < edge[doc + 1])
-        out[ok, k] = ids[there[ok]]
-    return out
+    """Words around each position, from the same document; (position, place), place by place in memory."""
+    far = max(map(abs, OFFSETS))
+    at = np.arange(far, far + len(ids)) + far * np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    spaced = np.full(len(ids) + far * len(edge), pad)
+    spaced[at] = ids
+    return np.stack([spaced[at + o] for o in OFFSETS]).T
 
 
 def numbered(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.split() for t in texts]
-    edge = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-    return np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(edge[-1])), edge
+    words = Tokens(Flat(pa.array(texts, pa.binary())), 0, len(texts))
+    return ids.numbers(words), words.edge
 
 
 def gather(source: DataFrame, vocabulary: int, n_classes: int) -> dict:
@@ -198,11 +285,11 @@ def train(source: DataFrame, corpus: dict, n_classes: int, dim: int, rate: float
             texts = Flat(batch.column("bytes"))
             for lo, hi in texts.runs(1 << 20):
                 words, edge = numbered([texts[i].tobytes() for i in range(lo, hi)], ids)
-                around, target = contexts(words, edge, pad), know["class"][words]
                 mixed = np.random.default_rng(len(words)).permutation(len(words))
+                around, target = contexts(words, edge, pad).T.take(mixed, axis=1).T, know["class"][words[mixed]]
                 for k in range(0, len(words), batch_size):
-                    some = mixed[k : k + batch_size]
-                    model.step(around[some], target[some], rate / (1 + seen / 200_000))
+                    some = target[k : k + batch_size]
+                    model.step(around[k : k + batch_size], some, rate / (1 + seen / 200_000))
                     seen += len(some)
         if seen:
             parts, team = np.array_split(model.flat(), blocks), TaskContext.get().partitionId() // 256
@@ -225,30 +312,16 @@ def token_scores(model: Model, corpus: dict, words: np.ndarray, edge: np.ndarray
     around, out = contexts(words, edge, len(corpus["words"]) + SHAPES), np.zeros(len(words))
     for lo in range(0, len(words), 1024):
         some = words[lo : lo + 1024]
-        z = model.logits(around[lo : lo + 1024])
+        z, _ = model.logits(model.hidden(model.vectors.take(around[lo : lo + 1024].T, axis=0)))
         picked = z[corpus["class"][some], np.arange(len(some))]
-        top = z.max(axis=0)
-        z -= top
-        out[lo : lo + 1024] = picked.astype(np.float64) - top - np.log(np.exp(z, out=z).sum(axis=0)) + corpus["share"][some]
+        _, total, top = exponentials(z)
+        out[lo : lo + 1024] = picked.astype(np.float64) - top - np.log(total) + corpus["share"][some]
     return out
 
 
-_ROLL = Rolling(81)
-
-
-def pair_names(texts: Flat, lo: int, hi: int) -> np.ndarray:
-    """One 64-bit name for each token of rows lo to hi: 48 bits of the words on both sides, 16 of the token."""
-    base = int(texts.offsets[lo])
-    data = texts.data[base : int(texts.offsets[hi])]
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[texts.offsets[lo : hi + 1].astype(np.int64) - base] = True
-    inside = ~BLANK[data]
-    starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | cut[:-1]))
-    ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | cut[1:])) + 1
-    word = _ROLL.at(_ROLL.prefix(data), starts, ends)
-    row = np.searchsorted(texts.offsets[lo : hi + 1].astype(np.int64) - base, starts, "right")
+def pair_names(told: Tokens) -> np.ndarray:
+    """One 64-bit name for each token: 48 bits of the words on both sides, 16 of the token."""
+    word, row = told.prints, np.repeat(np.arange(len(told.edge) - 1), np.diff(told.edge))
     same = row[1:] == row[:-1]
     left, right = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
     left[1:][same] = word[:-1][same]
@@ -259,13 +332,18 @@ def pair_names(texts: Flat, lo: int, hi: int) -> np.ndarray:
 
 def chunk_names(texts: Flat) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The names of a chunk's tokens by run of rows, and the distinct ones in order with their counts."""
-    runs = [pair_names(texts, lo, hi) for lo, hi in texts.runs(2 << 20)]
+    runs = [pair_names(Tokens(texts, lo, hi)) for lo, hi in texts.runs(2 << 20)]
     return runs, *np.unique(np.concatenate(runs or [np.zeros(0, np.uint64)]), return_counts=True)
 
 
-def chunk_places(texts: Flat) -> tuple[list[np.ndarray], int]:
-    """Where each token of a chunk is among its distinct names in order, by run of rows; and how many names there are."""
-    runs = [pair_names(texts, lo, hi) for lo, hi in texts.runs(2 << 20)]
+def chunk_places(texts: Flat, see: Callable[[Tokens], None] = lambda words: None) -> tuple[list[np.ndarray], int]:
+    """Where each token of a chunk is among its distinct names in order, by run of rows; and how many names there are. The runs'
+    words are shown to `see` on the way."""
+    runs = []
+    for lo, hi in texts.runs(2 << 20):
+        words = Tokens(texts, lo, hi)
+        see(words)
+        runs.append(pair_names(words))
     names, places = np.unique(np.concatenate(runs or [np.zeros(0, np.uint64)]), return_inverse=True)
     return np.split(places, np.cumsum([len(r) for r in runs])[:-1]), len(names)
 
@@ -348,12 +426,11 @@ def pseudo_likelihood(docs: DataFrame, vocabulary: int = 20_000, n_classes: int
         know, flat = told.value
         ids, model = Ids((w, i) for i, w in enumerate(know["words"])), Model(len(know["words"]), n_classes, dim)
         model.load(flat)
-        texts = Flat(own["bytes"])
-        runs, n_names = chunk_places(texts)
+        numbers = []
+        runs, n_names = chunk_places(Flat(own["bytes"]), lambda words: numbers.append((ids.numbers(words), words.edge)))
         here, context = elsewhere(found, n_names)
         sizes, alone, sums, again = [], [], [], []
-        for (lo, hi), at in zip(texts.runs(2 << 20), runs, strict=True):
-            words, edge = numbered([texts[i].tobytes() for i in range(lo, hi)], ids)
+        for (words, edge), at in zip(numbers, runs, strict=True):
             told_by_network = token_scores(model, know, words, edge)
             prior = np.exp(told_by_network)
             q = np.concatenate(([0.0], np.cumsum(told_by_network)))

@@ -234,3 +234,32 @@ def test_places_of_names_and_a_step(spark):
         model.step(context, target, 0.5)
         assert np.allclose(model.flat(), plain.flat(), atol=1e-6)
         assert np.isfinite(model.hidden(np.full((4, 2, dim), 1e9, np.float32))).all()
+
+
+def test_words_are_numbered_many_at_a_time(monkeypatch):
+    """Numbers are those of a search word by word; unknown words are decoded once for all of the same ends, not at every occurrence."""
+    rng = random.Random(5)
+    letters = ["a", "B", "z.", "É", "é", "ß", "字", "。", "𝒜", "²", "7", "-", " ", "\x00", "longer word".replace(" ", "_"), "Ünlängst"]
+    words = sorted({"".join(rng.choices(letters, k=rng.randrange(1, 5))).encode() for _ in range(3000)})
+    known = rng.sample(words, 700)
+    texts = [rng.choice([b" ", b"\t\n", b"  "]).join(rng.choices(words, k=rng.randrange(40))) for _ in range(900)] + [b"", b" \n", b"a\xff \xffa \xe5\xad", *known]
+    plain = {w: i for i, w in enumerate(known)}
+    want = [plain.get(w, len(known) + lm_scoring.shape_of(w)) for t in texts for w in t.split()]
+    ids, calls, shape_of = lm_scoring.Ids((w, i) for i, w in enumerate(known)), [], lm_scoring.shape_of
+    monkeypatch.setattr(lm_scoring, "shape_of", lambda word: calls.append(word) or shape_of(word))
+    got, edge = lm_scoring.numbered(texts, ids)
+    assert got.tolist() == want and np.diff(edge).tolist() == [len(t.split()) for t in texts]
+    assert len(calls) <= len({(w[:4], w[-4:]) for w in words}) + 3 < sum(n >= len(known) for n in want) / 3
+    # words of equal fingerprints are still told apart
+    monkeypatch.setattr(lm_scoring._ROLL, "at", lambda prefix, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(59))
+    assert lm_scoring.numbered(texts, lm_scoring.Ids((w, i) for i, w in enumerate(known)))[0].tolist() == want
+    assert lm_scoring.numbered([b"a B"], lm_scoring.Ids([]))[0].tolist() == [0, 1] and len(lm_scoring.numbered([], ids)[0]) == 0
+
+
+def test_exponentials_stay_in_range():
+    for shift in (0, 200, -200):
+        z = np.array([[1, -3], [2, 90], [0.5, 0]], np.float32) + np.float32(shift)
+        p, total, top = lm_scoring.exponentials(z)
+        wide = z.astype(np.float64)
+        assert np.allclose(np.log(total) + top, np.log(np.exp(wide - wide.max()).sum(axis=0)) + wide.max(), rtol=1e-5)
+        assert np.allclose(p / total, np.exp(wide - wide.max(axis=0)) / np.exp(wide - wide.max(axis=0)).sum(axis=0), rtol=1e-4, atol=1e-30)
