@@ -259,10 +259,22 @@ def numbered(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
     return ids.numbers(words), words.edge
 
 
+def least_count(counts: DataFrame, words: int) -> int:
+    """A count that at least so many words reach (or all words), and not many more but where small counts are alike: counts are
+    told to five binary digits, so that some hundred steps are collected, however many words and partitions there are."""
+    step = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 5, 0)), greatest(length(bin(n)) - 5, 0))")
+    least = 0
+    for least, kinds in sorted(counts.groupBy(step).agg(F.count("*")).collect(), reverse=True):
+        words -= kinds
+        if words <= 0:
+            break
+    return least
+
+
 def gather(source: DataFrame, vocabulary: int, n_classes: int) -> dict:
     """What the corpus tells: the vocabulary with classes and shares, and the numbers of rare words by shape."""
     counts = materialize(word_counts(source), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+    top = counts.where(F.col("n") >= least_count(counts, vocabulary)).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
     words, n, shapes = top["word"].to_pylist(), np.array(top["n"].to_pylist(), np.float64), np.array(top["shape"].to_pylist(), np.int64)
     kinds = np.zeros(SHAPES)
     for shape, count in counts.groupBy("shape").agg(F.count("*")).collect():

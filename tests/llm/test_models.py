@@ -263,3 +263,19 @@ def test_exponentials_stay_in_range():
         wide = z.astype(np.float64)
         assert np.allclose(np.log(total) + top, np.log(np.exp(wide - wide.max()).sum(axis=0)) + wide.max(), rtol=1e-5)
         assert np.allclose(p / total, np.exp(wide - wide.max(axis=0)) / np.exp(wide - wide.max(axis=0)).sum(axis=0), rtol=1e-4, atol=1e-30)
+
+
+def test_most_frequent_words_meet_only_their_like(spark):
+    """The words sorted in one task are about as many as are asked for, however many parts the counts have."""
+    rng = random.Random(6)
+    rows = [(f"w{i}".encode(), 0, 1 + int(40_000 / (1 + i)) + rng.randrange(3)) for i in range(6000)]
+    counts = spark.createDataFrame(rows, "word binary, shape int, n long").repartition(16)
+    for words in (1, 50, 200, 700):
+        least = lm_scoring.least_count(counts, words)
+        assert words <= sum(n >= least for *_, n in rows) <= 1.15 * words + 40
+    assert lm_scoring.least_count(counts, 6000) == lm_scoring.least_count(counts, 10**6) == min(n for *_, n in rows)
+    assert lm_scoring.least_count(counts.limit(0), 5) == 0
+    texts = [" ".join(f"w{i}" for i in range(300) if rng.random() < 20 / (i + 1)) for _ in range(200)]
+    source = spark.createDataFrame([(t.encode(),) for t in texts], "bytes binary").repartition(8)
+    want = sorted(Counter(w.encode() for t in texts for w in t.split()).items(), key=lambda x: (-x[1], x[0]))[:40]
+    assert lm_scoring.gather(source, 40, 4)["words"] == [w for w, _ in want]
